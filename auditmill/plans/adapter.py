@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditmill import vocab
 from auditmill.functions.scalars import is_business_hours
-from auditmill.session import ensure_utc
+from auditmill.session import ensure_utc, materialize
 
 FINE_MINUTES = 720
 CONTEXT_MINUTES = 10080
@@ -138,3 +138,82 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir).filter("is_attack")
     return ev.select("eventID", F.col("eventTime_str").alias("eventTime"), "eventName",
                      F.col("user_name").alias("userName"), "attack_id", "attack_name", "is_attack")
+
+
+_STAGES: dict = {}
+
+
+def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The stored output of a pipeline stage: written once per session, then read.
+
+    Windows, scores and alerts are stage outputs that later steps read from storage;
+    queries about a stage itself (such as ``feature_matrix``) compute it from the events.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGES:
+        df = materialize(build(), name)
+        _STAGES[key] = (df.inputFiles()[0].rsplit("/", 1)[0], df.schema)
+    path, schema = _STAGES[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored feature matrix."""
+    from auditmill.operators.features import feature_matrix
+
+    ensure_utc(spark)
+    return stage(spark, sf_dir, "features", lambda: feature_matrix(
+        events(spark, sf_dir), FINE_MINUTES, CONTEXT_MINUTES))
+
+
+def stand_in_scores(features: DataFrame) -> dict[str, DataFrame]:
+    """Deterministic scores per model, flagged at their 90th percentile."""
+    from auditmill.functions.ranks import exact_percentiles
+
+    formulas = {
+        "if": F.col("total_events"),
+        "lof": F.round("bytes_out_total", 2),
+        "ae": F.col("unique_event_types") + F.col("write_ratio"),
+    }
+    out = {}
+    for model, formula in formulas.items():
+        rows = features.select("user_name", "window", formula.cast("double").alias(f"{model}_score"))
+        cut = exact_percentiles(rows, f"{model}_score", [0.9]).select(F.col("percentiles")[0]).scalar()
+        out[model] = rows.withColumn(f"{model}_pred", (F.col(f"{model}_score") >= cut).cast("int"))
+    return out
+
+
+def scores(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The stored score table of each model."""
+    made: dict = {}
+
+    def build(model):
+        if not made:
+            made.update(stand_in_scores(features(spark, sf_dir)))
+        return made[model]
+
+    return {m: stage(spark, sf_dir, f"scores-{m}", lambda m=m: build(m)) for m in ("if", "lof", "ae")}
+
+
+def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ensemble table over the stand-in scores."""
+    from auditmill.operators.scoring import ensemble_scores
+
+    def build():
+        s = scores(spark, sf_dir)
+        return ensemble_scores(s["if"], s["lof"], s["ae"], features(spark, sf_dir))
+
+    return stage(spark, sf_dir, "ensemble", build)
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditmill.operators.scoring import alert_table
+
+    return alert_table(ensemble(spark, sf_dir))
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as points; class 0 plays the attack class."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "label",
+        (F.col("label") == 0).alias("is_attack"))
