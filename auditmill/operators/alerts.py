@@ -95,8 +95,8 @@ def overview_stats(alerts: DataFrame) -> DataFrame:
     return severity_buckets(alerts).withColumns({
         "attack_types": listed(attack_distribution(alerts), "attack_types"),
         "alerts_by_date": listed(alert_timeline(alerts), "alerts_by_date"),
-        "top_users": F.transform(listed(users, "top_users"), lambda u: u.dropFields("order")),
-    })
+        "_top": listed(users, "top_users"),
+    }).withColumn("top_users", F.transform("_top", lambda u: u.dropFields("order"))).drop("_top")
 
 
 MODEL_RESULTS = ("model string, precision double, recall double, f1 double, roc_auc double, "

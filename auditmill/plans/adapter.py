@@ -217,3 +217,73 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "label",
         (F.col("label") == 0).alias("is_attack"))
+
+
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The stored bridge graph: windows, indicator edges, nodes, edges."""
+    from auditmill import knowledge
+    from auditmill.operators import graph as gr
+
+    windows = stage(spark, sf_dir, "graph-windows", lambda: gr.window_nodes(
+        features(spark, sf_dir), ensemble(spark, sf_dir))[0])
+    had = windows.select(gr.node_id("User", F.col("user_name")).alias("src"), F.col("id").alias("dst"),
+                         F.lit("HAD_WINDOW").alias("type"))
+    indicator = stage(spark, sf_dir, "graph-indicator-edges", lambda: gr.triggers_indicator_edges(
+        windows, knowledge.patterns(spark)))
+
+    def nodes():
+        props = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v)])
+        win = windows.select("id", F.lit("Window").alias("type"), F.expr("substr(id, 8)").alias("key"),
+                             F.expr("substr(id, 8)").alias("label"), props(attack_name=F.col("attack_name")).alias("props"))
+        users = windows.select("user_name").distinct().select(
+            gr.node_id("User", F.col("user_name")).alias("id"), F.lit("User").alias("type"),
+            F.col("user_name").alias("key"), F.col("user_name").alias("label"),
+            props(name=F.col("user_name")).alias("props"))
+        return win.unionByName(users).unionByName(knowledge.nodes(spark))
+
+    def edges():
+        return (had.unionByName(indicator.select("src", "dst", "type"))
+                .unionByName(gr.anomalous_for_edges(windows)).unionByName(knowledge.edges(spark)))
+
+    return (windows, indicator, stage(spark, sf_dir, "graph-nodes", nodes), stage(spark, sf_dir, "graph-edges", edges))
+
+
+def kb_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The dimension tables read as a rule base: nations are techniques, regions services,
+    suppliers patterns and parts playbooks."""
+    t = lambda n: table(spark, sf_dir, n)
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+    technique = F.concat(F.lit("T"), (1000 + F.col("n_nationkey")).cast("string"))
+    pattern = lambda c: F.concat(F.lit("IOC-SUP-"), text(c))
+    playbook = lambda c: F.concat(F.lit("IR-PART-"), text(c))
+    nation, region, supplier, part = t("nation"), t("region"), t("supplier"), t("part")
+    both = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    severity = F.when(F.col("s_acctbal") > 8000, "Critical").when(F.col("s_acctbal") > 4000, "High").otherwise("Low")
+
+    def relation(df, src, st, rel, dst, dt, conf):
+        return df.select(src.alias("source_entity"), F.lit(st).alias("source_type"), F.lit(rel).alias("relationship"),
+                         dst.alias("target_entity"), F.lit(dt).alias("target_type"), conf.cast("double").alias("confidence"))
+
+    sup = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    sold = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max("l_discount").alias("c"))
+    relations = (
+        relation(sup, technique, "MITRETechnique", "detected-by", pattern("s_suppkey"), "DetectionPattern", F.lit(None))
+        .unionByName(relation(sold, pattern("l_suppkey"), "DetectionPattern", "triggers", playbook("l_partkey"), "Playbook", F.col("c")))
+        .unionByName(relation(both, technique, "MITRETechnique", "Affects", F.concat(F.lit("Zone "), "r_name"), "AWSService", F.lit(0.8)))
+        .unionByName(relation(nation, technique, "MITRETechnique", "often enables",
+                              F.concat(F.lit("T"), (1005 + F.col("n_nationkey")).cast("string")), "MITRETechnique", F.lit(0.7)))
+        .unionByName(relation(t("customer"), pattern("c_custkey"), "Customer", "buys", playbook("c_custkey"), "Playbook", F.lit(0.1))))
+    return {
+        "techniques": both.select(technique.alias("technique_id"), F.col("n_name").alias("name"),
+                                  F.array(F.lower("r_name"), F.concat(F.lit("tactic-"), (F.col("n_nationkey") % 3).cast("string"))).alias("tactics"),
+                                  F.array(F.when(F.col("n_nationkey") % 2 == 0, "AWS").otherwise("Linux"), F.lit("IaaS")).alias("platforms"),
+                                  F.concat(F.lit("Seen in "), "r_name").alias("description")),
+        "services": region.select(F.concat(F.lit("Zone "), "r_name").alias("service_name"),
+                                  F.when(F.col("r_regionkey") % 2 == 1, F.concat(F.lit("Z"), text("r_regionkey"))).alias("service_id"),
+                                  none.alias("description"), F.lit("High").alias("security_sensitivity")),
+        "patterns": supplier.select(pattern("s_suppkey").alias("pattern_id"), F.col("s_name").alias("name"), severity.alias("severity"),
+                                    F.concat(F.lit("Balance "), F.col("s_acctbal").cast("string")).alias("description")),
+        "playbooks": part.select(playbook("p_partkey").alias("playbook_id"), F.col("p_name").alias("name")),
+        "relations": relations,
+    }

@@ -173,3 +173,106 @@ SELECT model, (sum(r) FILTER (is_attack) - CAST(count(*) FILTER (is_attack) AS D
   / (CAST(count(*) FILTER (is_attack) AS DOUBLE) * count(*) FILTER (NOT is_attack)) AS roc_auc
 FROM (SELECT model, is_attack, rank() OVER (PARTITION BY model ORDER BY score)
   + (count(*) OVER (PARTITION BY model, score) - 1) / 2.0 AS r FROM q_long) GROUP BY model""")
+
+# --- points
+
+fragment("q_pt", "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label, label = 0 AS is_attack FROM embeddings")
+
+# --- rule base and graph -----------------------------------------------------
+
+from auditmill import knowledge as _kb  # noqa: E402
+from auditmill.plans.registry import sql_values  # noqa: E402
+
+fragment("q_pat", sql_values([(p[0], p[1], p[2]) for p in _kb.PATTERNS], ["pattern_id", "name", "severity"]))
+fragment("q_names", sql_values([(p[0], e) for p in _kb.PATTERNS for e in p[3]], ["pattern_id", "eventName"]))
+fragment("q_ind", sql_values(
+    [(p[0], len(p[6]), f, t, d) for p in _kb.PATTERNS for f, (t, d) in p[6].items()],
+    ["pattern_id", "total", "feature", "threshold", "direction"]))
+fragment("q_kb", sql_values([(*e, e[0].split(":")[1], e[1].split(":")[1]) for e in _kb.edge_rows()],
+                            ["src", "dst", "type", "s", "d"]))
+fragment("q_tech", sql_values([(t[0], t[1]) for t in _kb.TECHNIQUES], ["technique_id", "name"]))
+
+_key = "user_name || '_' || strftime(w, '%Y-%m-%d %H:%M:%S')"
+fragment("q_near", """
+SELECT a.user_name, a.w, e.eventID, e.eventName, e.is_error, e.request_bucket_name FROM q_al a
+JOIN q_ev e ON e.user_name = a.user_name AND e.eventTime >= a.w - INTERVAL 12 HOUR AND e.eventTime <= a.w + INTERVAL 12 HOUR""")
+fragment("q_m1", "SELECT DISTINCT user_name, w, pattern_id FROM q_near JOIN q_names USING (eventName)")
+
+
+def hits_sql(source: str, features) -> str:
+    cols = ", ".join(features)
+    return f"""
+SELECT user_name, w, pattern_id, any_value(total) AS total, count(*) AS comparable,
+  count(*) FILTER (hit) AS hits, array_to_string(list_sort(list(feature) FILTER (hit)), ';') AS matched
+FROM (SELECT u.user_name, u.w, i.pattern_id, i.total, i.feature,
+    CASE WHEN i.direction = 'below' THEN u.val < i.threshold ELSE u.val > i.threshold END AS hit
+  FROM (UNPIVOT (SELECT user_name, w, {cols} FROM {source}) ON {cols} INTO NAME feature VALUE val) u
+  JOIN q_ind i ON i.feature = u.feature) GROUP BY 1, 2, 3"""
+
+
+fragment("q_alf", "SELECT f.* FROM q_feat f SEMI JOIN q_al a ON a.user_name = f.user_name AND a.w = f.w")
+fragment("q_h2", hits_sql("q_alf", vocab.KEY_FEATURES))
+fragment("q_m2", "SELECT user_name, w, pattern_id, round(CAST(hits AS DOUBLE) / total, 3) AS match_score "
+                 "FROM q_h2 WHERE CAST(hits AS DOUBLE) / total > 0.5")
+fragment("q_best", """
+SELECT *, row_number() OVER (PARTITION BY user_name, w ORDER BY match_score DESC, pattern_id) AS rank FROM (
+  SELECT user_name, w, pattern_id, greatest(max(CASE WHEN by_name THEN 0.7 END), max(CASE WHEN NOT by_name THEN match_score END)) AS match_score,
+    CASE WHEN coalesce(max(CASE WHEN by_name THEN 0.7 END), 0) >= coalesce(max(CASE WHEN NOT by_name THEN match_score END), 0)
+      THEN 'cloudtrail_event_match' ELSE 'behavioral_indicator_match' END AS match_reason
+  FROM (SELECT user_name, w, pattern_id, CAST(0.7 AS DOUBLE) AS match_score, true AS by_name FROM q_m1
+    UNION ALL SELECT user_name, w, pattern_id, match_score, false FROM q_m2) GROUP BY 1, 2, 3)
+QUALIFY rank <= 5""")
+fragment("q_h6", hits_sql("q_feat", vocab.WINDOW_NODE_FEATURES))
+fragment("q_tri", f"""
+SELECT user_name, w, pattern_id, 'Window:' || {_key} AS src, 'DetectionPattern:' || pattern_id AS dst,
+  round(CAST(hits AS DOUBLE) / comparable, 3) AS match_score, matched
+FROM q_h6 WHERE CAST(hits AS DOUBLE) / comparable >= 0.5 AND hits >= 1""")
+fragment("q_links", """
+SELECT p.pattern_id,
+  coalesce((SELECT string_agg(s, ';' ORDER BY s) FROM q_kb WHERE type = 'DETECTED_BY' AND d = p.pattern_id), '') AS technique_ids,
+  coalesce((SELECT string_agg(d, ';' ORDER BY d) FROM q_kb WHERE type = 'TRIGGERS' AND s = p.pattern_id), '') AS playbook_ids,
+  (SELECT count(*) FROM q_kb WHERE type = 'DETECTED_BY' AND d = p.pattern_id) AS nt,
+  (SELECT count(*) FROM q_kb WHERE type = 'TRIGGERS' AND s = p.pattern_id) AS np FROM q_pat p""")
+fragment("q_bridge", """
+SELECT t.user_name, t.w, t.pattern_id, t.match_score, t.matched,
+  row_number() OVER (PARTITION BY t.user_name, t.w ORDER BY t.match_score DESC, t.pattern_id) AS rank
+FROM q_tri t SEMI JOIN q_al a ON a.user_name = t.user_name AND a.w = t.w QUALIFY rank <= 5""")
+fragment("q_intel", """
+SELECT DISTINCT b.user_name, b.w, 'technique' AS kind, k.s AS key FROM q_best b JOIN q_kb k ON k.type = 'DETECTED_BY' AND k.d = b.pattern_id
+UNION SELECT DISTINCT b.user_name, b.w, 'playbook', k.d FROM q_best b JOIN q_kb k ON k.type = 'TRIGGERS' AND k.s = b.pattern_id
+UNION SELECT DISTINCT b.user_name, b.w, 'service', v.d FROM q_best b JOIN q_kb k ON k.type = 'DETECTED_BY' AND k.d = b.pattern_id
+  JOIN q_kb v ON v.type = 'AFFECTS' AND v.s = k.s""")
+fragment("q_chain", """
+SELECT *, row_number() OVER (PARTITION BY user_name, w ORDER BY from_tech, to_tech, playbook_id) AS rank FROM (
+  SELECT i.user_name, i.w, p.d AS playbook_id, arg_min(e.s, e.s || e.d) AS from_tech, arg_min(e.d, e.s || e.d) AS to_tech,
+    arg_min(t.name, e.s || e.d) AS to_name
+  FROM q_intel i JOIN q_kb e ON e.type = 'ENABLES' AND e.s = i.key JOIN q_tech t ON t.technique_id = e.d
+  JOIN q_kb y ON y.type = 'DETECTED_BY' AND y.s = e.d JOIN q_kb p ON p.type = 'TRIGGERS' AND p.s = y.d
+  WHERE i.kind = 'technique' GROUP BY 1, 2, 3) QUALIFY rank <= 3""")
+fragment("q_win", f"SELECT f.*, 'Window:' || {_key.replace('user_name', 'f.user_name').replace('(w', '(f.w')} AS id, "
+         "coalesce(e.ensemble_score, 0.0) AS ensemble_score, coalesce(e.ensemble_pred, 0) AS ensemble_pred "
+         "FROM q_feat f LEFT JOIN q_ens e ON e.user_name = f.user_name AND e.w = f.w")
+fragment("q_nodes", "SELECT id, 'Window' AS type, substr(id, 8) AS key, substr(id, 8) AS label, '' AS name, attack_name FROM q_win "
+         "UNION ALL SELECT DISTINCT 'User:' || user_name, 'User', user_name, user_name, user_name, '' FROM q_win UNION ALL "
+         "SELECT id, type, key, label, name, '' FROM (" + sql_values(_kb.node_rows(), ["id", "type", "key", "label", "name"]) + ")")
+fragment("q_edges", """
+SELECT 'User:' || user_name AS src, id AS dst, 'HAD_WINDOW' AS type FROM q_win
+UNION ALL SELECT src, dst, 'TRIGGERS_INDICATOR' FROM q_tri
+UNION ALL SELECT id, 'User:' || user_name, 'ANOMALOUS_FOR' FROM q_win WHERE ensemble_pred = 1
+UNION ALL SELECT src, dst, type FROM q_kb""")
+fragment("q_kbn", """
+SELECT 'MITRETechnique' AS type, 'T' || (1000 + n_nationkey) AS key, n_name AS name, 'Seen in ' || r_name AS description
+FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'AWSService', CASE WHEN r_regionkey % 2 = 1 THEN 'Z' || r_regionkey ELSE upper(replace('Zone ' || r_name, ' ', '_')) END,
+  'Zone ' || r_name, '' FROM region
+UNION ALL SELECT 'DetectionPattern', 'IOC-SUP-' || s_suppkey, s_name, 'Balance ' || CAST(s_acctbal AS VARCHAR) FROM supplier
+UNION ALL SELECT 'Playbook', 'IR-PART-' || p_partkey, p_name, '' FROM part""")
+fragment("q_kbe", """
+SELECT 'MITRETechnique:T' || (1000 + n_nationkey) AS src, 'DetectionPattern:IOC-SUP-' || s_suppkey AS dst, 'DETECTED_BY' AS type,
+  CAST(0.5 AS DOUBLE) AS confidence FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 'DetectionPattern:IOC-SUP-' || l_suppkey, 'Playbook:IR-PART-' || l_partkey, 'TRIGGERS', CAST(max(l_discount) AS DOUBLE)
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey, l_partkey
+UNION ALL SELECT 'MITRETechnique:T' || (1000 + n_nationkey), 'AWSService:' || CASE WHEN r_regionkey % 2 = 1 THEN 'Z' || r_regionkey
+  ELSE upper(replace('Zone ' || r_name, ' ', '_')) END, 'AFFECTS', CAST(0.8 AS DOUBLE) FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'MITRETechnique:T' || (1000 + a.n_nationkey), 'MITRETechnique:T' || (1000 + b.n_nationkey), 'OFTEN_ENABLES', CAST(0.7 AS DOUBLE)
+  FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 5""")

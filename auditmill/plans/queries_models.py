@@ -80,7 +80,6 @@ def _(spark, sf):
         "candidate", "contamination", "threshold", "tp", "fp", F.round("f1", 6).alias("f1"))
 
 
-fragment("q_pt", "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label, label = 0 AS is_attack FROM embeddings")
 
 
 @query("knn_exact", """
@@ -226,7 +225,7 @@ fragment("q_pay", """
 SELECT *, list_filter([
   CASE WHEN if_pred <> 0 THEN 'IsolationForest(score=' || printf('%.3f', if_norm) || ')' END,
   CASE WHEN lof_pred <> 0 THEN 'LOF(score=' || printf('%.3f', lof_norm) || ')' END,
-  CASE WHEN ae_pred <> 0 THEN 'Autoencoder(score=' || printf('%.3f', ae_norm) || ')' END], x -> x IS NOT NULL) AS fired
+  CASE WHEN ae_pred <> 0 THEN 'Autoencoder(score=' || printf('%.3f', ae_norm) || ')' END], lambda x: x IS NOT NULL) AS fired
 FROM q_ens""")
 
 
