@@ -78,13 +78,13 @@ def dataset_status(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out.withColumn("ready", ready)
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
+def read_reports(spark: SparkSession, path: str, glob: str = "incident_report_*.txt") -> DataFrame:
     """Whole report files, with the time in their name, sorted by name."""
     name = F.col("_metadata.file_name")
     stamp = F.regexp_extract("file", r"incident_report_(\d{8}_\d{6})", 1)
     return (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "incident_report_*.txt")
-        .text(path)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+        .text(path, wholetext=True)
         .select(name.alias("file"), F.col("value").alias("content"))
         .withColumn("timestamp", F.nullif(stamp, F.lit("")))
         .orderBy("file")
