@@ -8,6 +8,7 @@ from auditmill import vocab
 from auditmill.functions.scalars import (
     floor_window, is_business_hours, is_weekend, safe_ratio, weekday,
 )
+from auditmill.session import materialize
 
 
 def event_flags(events: DataFrame) -> DataFrame:
@@ -101,28 +102,35 @@ def user_baselines(windows: DataFrame) -> DataFrame:
     return windows.groupBy("user_name").agg(*aggs)
 
 
-def daily_get_grid(events: DataFrame) -> DataFrame:
-    """GetObject events per user and day, with zeros, over the days of all events.
+def _fill_days(gets: DataFrame, events: DataFrame) -> DataFrame:
+    """Add the missing days of ``gets(user_name, event_date, gets)`` with a zero.
 
-    Only users with a GetObject have rows.  The day spine is exploded per user from two
-    scalar subqueries, so there is no join of users and days.
+    The day spine is exploded per user from a scalar subquery over the event times, so
+    there is no join of users and days.
     """
     day = F.to_date("eventTime")
     span = events.agg(F.struct(F.min(day).alias("lo"), F.max(day).alias("hi")).alias("span")).scalar()
-    gets = (
-        events.filter((F.col("eventName") == "GetObject") & F.col("user_name").isNotNull())
-        .groupBy("user_name", day.alias("event_date")).agg(F.count(F.lit(1)).alias("gets"))
-    )
     spine = (
-        gets.select("user_name").distinct()
-        .select("user_name", F.explode(F.sequence(span["lo"], span["hi"])).alias("event_date"))
-    )
+        gets.select("user_name").distinct().withColumn("span", span)
+        .select("user_name", F.explode(F.sequence("span.lo", "span.hi")).alias("event_date")))
     return (
         spine.join(gets, ["user_name", "event_date"], "left")
         .select("user_name", "event_date", F.coalesce("gets", F.lit(0)).alias("daily_s3_gets"))
     )
 
 
+def daily_get_grid(events: DataFrame) -> DataFrame:
+    """GetObject events per user and day, with zeros, over the days of all events.
+
+    Only users with a GetObject have rows.
+    """
+    gets = (
+        events.filter((F.col("eventName") == "GetObject") & F.col("user_name").isNotNull())
+        .groupBy("user_name", F.to_date("eventTime").alias("event_date")).agg(F.count(F.lit(1)).alias("gets"))
+    )
+    return _fill_days(gets, events)
+
+
 def daily_trends(grid: DataFrame, days: int = 3) -> DataFrame:
     """Least-squares slope over the last ``days`` days and change against yesterday.
 
@@ -227,16 +235,32 @@ def label_distribution(features: DataFrame) -> DataFrame:
     )
 
 
+def coarser_counts(windows: DataFrame, context_minutes: int) -> DataFrame:
+    """Counts of longer windows as sums of the shorter ones that fill them."""
+    sums = ["total_events", *FLAG_COUNTS]
+    return windows.groupBy("user_name", floor_window(F.col("window"), context_minutes).alias("window")).agg(
+        *[F.sum(c).alias(c) for c in sums])
+
+
+def daily_grid_of_windows(windows: DataFrame, events: DataFrame) -> DataFrame:
+    """:func:`daily_get_grid` from windows that do not cross midnight."""
+    gets = windows.filter("s3_get_events > 0").groupBy("user_name", F.to_date("window").alias("event_date")).agg(
+        F.sum("s3_get_events").alias("gets"))
+    return _fill_days(gets, events)
+
+
 def feature_matrix(events: DataFrame, window_minutes: int = 5, context_minutes: int = 60,
                    with_labels: bool = True) -> DataFrame:
-    """Events -> labelled feature matrix, as one plan.
+    """Events -> labelled feature matrix.
 
-    The window table is read twice (rows and baselines); Spark reuses its exchange.
+    The window table is written once: rows, baselines, the longer windows and the daily
+    counts are all read from it, so the events are aggregated a single time.
     """
-    windows = window_table(events, window_minutes)
-    hours = with_ratios(user_window_counts(events, context_minutes))
-    trends = daily_trends(daily_get_grid(events))
+    windows = materialize(window_table(events, window_minutes), "windows")
+    whole = context_minutes % window_minutes == 0
+    hours = with_ratios(coarser_counts(windows, context_minutes) if whole else user_window_counts(events, context_minutes))
+    grid = daily_grid_of_windows(windows, events) if 1440 % window_minutes == 0 else daily_get_grid(events)
     out = baseline_zscores(windows, user_baselines(windows))
-    out = daily_context(hour_context(out, hours, context_minutes), trends)
+    out = daily_context(hour_context(out, hours, context_minutes), daily_trends(grid))
     out = finalize_features(out)
     return label_windows(out, events if with_labels else None, window_minutes)

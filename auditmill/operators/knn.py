@@ -32,44 +32,50 @@ def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
-def _unit(vector, role):
+def _unit(x: np.ndarray, role: str) -> np.ndarray:
     """Unit vectors in two more dimensions, where zero vectors are orthogonal to all others."""
-    from auditmill.functions.vectors import norm
-    size = norm(vector)
-    pad = F.array(F.lit(0.0), F.lit(0.0))
-    zero = F.concat(F.transform(vector, lambda v: F.lit(0.0)),
-                    F.array(F.lit(1.0), F.lit(0.0)) if role == "query" else F.array(F.lit(0.0), F.lit(1.0)))
-    return F.when(size > 0, F.concat(F.transform(vector, lambda v: v / size), pad)).otherwise(zero)
+    size = np.sqrt((x * x).sum(1))
+    out = np.zeros((x.shape[0], x.shape[1] + 2))
+    some = size > 0
+    out[some, :-2] = x[some] / size[some, None]
+    out[~some, -2 if role == "query" else -1] = 1.0
+    return out
 
 
-def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot and the distance to it."""
-    schema = df.schema.simpleString()[len("struct<"):-1].replace(":", " ", 0)
+def _as_points(column, metric: str, role: str) -> np.ndarray:
+    x = np.array(list(column), dtype=float)
+    return _unit(x, role) if metric == "cosine" else x
+
+
+def _assign(df: DataFrame, pivots: np.ndarray, metric: str, role: str) -> DataFrame:
+    """Add the point that is compared, its nearest pivot and the distance to it."""
+    schema = df.schema.simpleString()[len("struct<"):-1]
 
     def run(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            d = _distances(np.array(pdf["vec"].tolist(), dtype=float), pivots)
+            x = _as_points(pdf["vec"], metric, role)
+            d = _distances(x, pivots)
             cell = d.argmin(1)
-            yield pdf.assign(cell=cell.astype("int32"), to_pivot=d[np.arange(len(d)), cell])
+            yield pdf.assign(point=list(x), cell=cell.astype("int32"), to_pivot=d[np.arange(len(d)), cell])
 
-    return df.mapInPandas(run, f"{schema}, cell int, to_pivot double")
+    return df.mapInPandas(run, f"{schema}, point array<double>, cell int, to_pivot double")
 
 
 def _blocks(df: DataFrame, parts: pd.DataFrame, id_col: str, name: str) -> DataFrame:
     """Pack the points of (cell, part) into one binary block."""
     spark = df.sparkSession
     counts = spark.createDataFrame(parts, "cell int, parts int")
-    key = F.xxhash64("vec")
+    key = F.xxhash64("point")
 
     def pack(pdf):
-        block = pickle.dumps((pdf[id_col].tolist(), np.array(pdf["vec"].tolist(), dtype=float)))
+        block = pickle.dumps((pdf[id_col].tolist(), np.array(pdf["point"].tolist(), dtype=float)))
         return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "part": [pdf["part"].iloc[0]], name: [block]})
 
     return (
         df.join(counts, "cell").withColumn("part", F.pmod(key, F.col("parts")).cast("int"))
-        .select("cell", "part", id_col, "vec").groupBy("cell", "part")
+        .select("cell", "part", id_col, "point").groupBy("cell", "part")
         .applyInPandas(pack, f"cell int, part int, {name} binary")
     )
 
@@ -107,12 +113,9 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", ve
     """
     keep = k + (1 if exclude_self else 0)
 
-    def vec(role):
-        v = F.col(vector).cast("array<double>")
-        return (_unit(v, role) if metric == "cosine" else v).alias("vec")
-
-    q_all = queries.select(F.col(id_col).alias("query_id"), vec("query"))
-    b_all = base.select(F.col(id_col).alias("neighbor_id"), vec("base"))
+    vec = F.col(vector).cast("array<double>").alias("vec")
+    q_all = queries.select(F.col(id_col).alias("query_id"), vec)
+    b_all = base.select(F.col(id_col).alias("neighbor_id"), vec)
     id_type, rep_type = b_all.schema["neighbor_id"].dataType.simpleString(), \
         q_all.schema["query_id"].dataType.simpleString()
 
@@ -127,10 +130,11 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", ve
         return queries.sparkSession.createDataFrame(
             [], f"query_id {rep_type}, neighbor_id {id_type}, distance double, rank int")
     m = max(1, min(MAX_CELLS, n // points_per_cell))
-    pivots = np.array([r.vec for r in points.orderBy(F.xxhash64("vec")).select("vec").limit(m).collect()])
+    sample = points.orderBy(F.xxhash64("vec")).select("vec").limit(m).collect()  # at most MAX_CELLS rows
+    pivots = _as_points([r.vec for r in sample], metric, "base")
 
-    points = materialize(_assign(points, pivots), "knn-cells")
-    wanted = materialize(_assign(wanted, pivots), "knn-queries")
+    points = materialize(_assign(points, pivots, metric, "base").drop("vec"), "knn-cells")
+    wanted = materialize(_assign(wanted, pivots, metric, "query"), "knn-queries")
 
     # cell statistics: at most MAX_CELLS rows each
     near = Window.partitionBy("cell").orderBy("to_pivot")
@@ -166,7 +170,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", ve
 
     order = Window.partitionBy("rep").orderBy("distance", "neighbor_id")
     best = partial.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep)
-    named = q_all.join(wanted.select("vec", "rep"), "vec").select("query_id", "rep")
+    hashed = lambda df: df.withColumn("h", F.xxhash64("vec"))  # noqa: E731  cheap to sort by
+    named = hashed(q_all).join(hashed(wanted.select("vec", "rep")), ["h", "vec"]).select("query_id", "rep")
     found = named.join(best, "rep").select("query_id", "neighbor_id", "distance")
     if exclude_self:
         found = found.filter(F.col("query_id") != F.col("neighbor_id"))
