@@ -18,9 +18,21 @@ FINE_MINUTES = 720
 CONTEXT_MINUTES = 10080
 
 
+SMALL_TABLES = ("region", "nation", "supplier", "labels", "benchmark")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table.
+
+    A table in fewer files than half the cores is spread over the cores (the test tables
+    are single files); one in many files, as on a cluster, is read as it is.
+    """
     ensure_utc(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name not in SMALL_TABLES and len(df.inputFiles()) < cores // 2:
+        df = df.repartition(cores)
+    return df
 
 
 def attack_name(attack_id):
