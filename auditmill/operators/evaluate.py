@@ -142,7 +142,7 @@ def severity_word(text: Column) -> Column:
 
 def action_lines(text: Column) -> Column:
     keep = F.filter(F.split(text, "\n"), lambda ln: any_contains(F.lower(ln), vocab.ACTION_WORDS) & (F.trim(ln) != "") & (F.length(ln) > 10))
-    return F.transform(keep, F.trim)
+    return F.transform(keep, lambda ln: F.regexp_replace(ln, r"^\s+|\s+$", ""))
 
 
 def extract_report_ids(df: DataFrame, text: str) -> DataFrame:
