@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -57,3 +61,19 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session: they need not run in its folder."""
+    flag = "auditmill.shipped"
+    if spark.conf.get(flag, "") == spark.sparkContext.applicationId:
+        return
+    package, held = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    folder = tempfile.mkdtemp(prefix="auditmill-")  # on the driver only, which serves it to the executors
+    name = os.path.join(os.path.realpath(folder), "auditmill.zip")
+    Path(name).write_bytes(held.getvalue())
+    spark.sparkContext.addPyFile(name)
+    spark.conf.set(flag, spark.sparkContext.applicationId)
