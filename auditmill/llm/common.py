@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from auditmill.session import materialize, ship_package
@@ -85,3 +87,29 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         state = summary
     return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def runs(batches, keys: list[str]):
+    """Tables of neighbouring rows that agree on the integer columns ``keys``; holds one run at a time."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch[k].to_numpy(zero_copy_only=False) for k in keys])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(values[:, a].tolist())
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every input bit reaches every output bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

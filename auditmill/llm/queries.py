@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from auditmill.llm import bpe
+from auditmill.llm import bpe, minhash
 from auditmill.llm.common import read
 
 QUERIES: dict = {}
@@ -24,3 +24,8 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def op8_byte_bpe(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, BYTE_BPE)
+
+
+@query
+def op7_minhash(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
