@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from auditmill.llm import bpe, minhash
+from auditmill.llm import bpe, langid, minhash
 from auditmill.llm.common import read
 
 QUERIES: dict = {}
@@ -29,3 +29,15 @@ def op8_byte_bpe(spark, sf_dir):
 @query
 def op7_minhash(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op1_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = langid.train(docs.filter(~F.coalesce(held_out, F.lit(False))).select("text", "lang"), PIECES)
+    rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    return langid.identify(rows, model, PIECES).select("doc_id", "held_out", "lang_pred", "score")
