@@ -34,7 +34,7 @@ STATES = "letter number other space blank ended suffix1 suffix2".split()
 SUFFIXES = ["s", "t", "m", "d", "re", "ve", "ll"]
 SEPARATOR = 0x110000  # no character
 BLOCK, WINDOW = 64, 1 << 20
-CACHED_PIECES, CACHED_LENGTH, SHORT, UNKNOWN = 400_000, 48, 100, 1 << 40
+CACHED_PIECES, CACHED_LENGTH, SHORT, UNKNOWN = 200_000, 48, 100, 1 << 40
 
 
 def _step(state: str, symbol: int) -> tuple[str, bool]:
