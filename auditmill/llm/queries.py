@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from auditmill.llm import bpe, langid, minhash
+from auditmill.llm import bpe, langid, minhash, sharding, warc
 from auditmill.llm.common import read
 
 QUERIES: dict = {}
@@ -41,3 +41,21 @@ def op1_language_id(spark, sf_dir):
     model = langid.train(docs.filter(~F.coalesce(held_out, F.lit(False))).select("text", "lang"), PIECES)
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     return langid.identify(rows, model, PIECES).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op2_warc(spark, sf_dir):
+    return warc.round_trip(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+ORACLES["op2_warc"] = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+                  sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to FROM m"""
+
+
+@query
+def op6_sharding(spark, sf_dir):
+    return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
