@@ -8,8 +8,9 @@
 2. Equal sets form one class; only classes go on.
 3. Classes that agree on a band of coordinates meet in a bucket.  First every member is verified
    against the bucket's smallest id, which links large groups of copies without all their pairs.
-4. Buckets that still hold several components are compared in blocks by their sketches, and pairs
-   that may reach the threshold across components are verified.
+4. Where buckets still hold several components, sketches that may reach the threshold tie these
+   to clusters, and inside a cluster texts of different components are compared on their full sets,
+   block by block.  Tasks return the links that join components, never their pairs.
 5. Verification is exact, on the full sets of both texts; components come from verified links only.
 
 Two sets at the threshold 0.8 share none of 32 bands of 4 with probability 5e-8; a pair at the
@@ -124,38 +125,84 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return python_ready(rows).mapInArrow(run, "a long, b long").distinct()
 
 
-def open_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components in open buckets whose sketches leave the threshold possible.
+def in_pairs_of_blocks(rows: DataFrame, by: list[str], count: str, block: int) -> DataFrame:
+    """Deal the ``count`` rows of a group to blocks; every two blocks (lo, hi) meet in one task."""
+    n = F.ceil(F.col(count) / block)
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("rep"), n)).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", count)
 
-    Members of a bucket are dealt to blocks; a task sees two blocks.  A pair that shares several
-    buckets is looked at in the first band on which it agrees.
+
+class Labels:
+    """Components that are joined step by step inside a task."""
+
+    def __init__(self, comp: np.ndarray):
+        self.names, self.label = np.unique(comp, return_inverse=True)
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether rows i and j were apart until now."""
+        a, b = self.label[i], self.label[j]
+        if a != b:
+            self.label[self.label == b] = a
+        return a != b
+
+
+def alike_components(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of components that span what the sketches find alike in open buckets.
+
+    Members of a bucket are dealt to blocks and two blocks compared in a task, which returns a
+    spanning forest over the components in it, never its pairs.
     """
-    count = F.ceil(F.col("c") / BLOCK)
-    own = members.withColumn("own", F.pmod(F.xxhash64("rep"), count)).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    cells = own.select("bucket", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "comp", "n", "sketch")
+    cells = in_pairs_of_blocks(members, ["bucket", "band"], "c", BLOCK)
     cells = cells.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "band", "lo", "hi")
+    least = int(LEAST * percent / 100 * SIZE)
 
     def run(batches):
-        for (_, band, lo, hi), t in runs(batches, ["bucket", "band", "lo", "hi"]):
-            own, rep, comp, n = (t[c].to_numpy() for c in ("own", "rep", "comp", "n"))
+        for (_, _, lo, hi), t in runs(batches, ["bucket", "band", "lo", "hi"]):
+            own, comp, n = (t[c].to_numpy() for c in ("own", "comp", "n"))
             sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint32).reshape(-1, SIZE)
-            left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-            for a in range(0, len(left), 32):
-                x = left[a:a + 32]
-                may = comp[x][:, None] != comp[right]
-                may &= 100 * np.minimum(n[x][:, None], n[right]) >= percent * np.maximum(n[x][:, None], n[right])
-                if lo == hi:
-                    may &= rep[x][:, None] < rep[right]
-                i, j = np.nonzero(may)
-                i, j = x[i], right[j]
-                for s in range(0, len(i), 4096):
-                    p, q = i[s:s + 4096], j[s:s + 4096]
-                    equal = sketch[p] == sketch[q]
-                    bands = equal.reshape(len(p), -1, BAND).all(axis=2)
-                    good = (equal.sum(axis=1) >= LEAST * percent / 100 * SIZE) & (bands.argmax(axis=1) == band)
-                    p, q = rep[p[good]], rep[q[good]]
-                    if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+            labels, found = Labels(comp), []
+            right = np.flatnonzero(own == hi)
+            for i in np.flatnonzero(own == lo):
+                other = right[(labels.label[right] != labels.label[i]) & (100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right]))]
+                for j in other[(sketch[other] == sketch[i]).sum(axis=1) >= least]:
+                    if labels.join(i, j):
+                        found.append((min(comp[i], comp[j]), max(comp[i], comp[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return python_ready(cells).mapInArrow(run, "a long, b long").distinct()
+
+
+def cluster_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each cluster: ``members(cluster, m, rep, comp)``.
+
+    Exact on full sets.  Blocks of a cluster meet in pairs; a task returns the links that join
+    components in it, and leaves out what these have joined already.
+    """
+    cells = in_pairs_of_blocks(members, ["cluster"], "m", BLOCK // 2).join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    cells = cells.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+
+    def run(batches):
+        for (_, lo, hi), t in runs(batches, ["cluster", "lo", "hi"]):
+            own, rep, comp = (t[c].to_numpy() for c in ("own", "rep", "comp"))
+            labels, found = Labels(comp), []
+            if len(labels.names) < 2:
+                continue
+            sets = [shingles(x.as_py(), width) for x in t["text"]]
+            n = np.array([len(x) for x in sets])
+            right = np.flatnonzero(own == hi)
+            flat, owner = np.concatenate([sets[j] for j in right] + [np.zeros(0, np.uint64)]), np.repeat(right, n[right])
+            for i in np.flatnonzero((own == lo) & (n > 0)):
+                may = (labels.label != labels.label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+                if not may[right].any():
+                    continue
+                at = np.minimum(np.searchsorted(sets[i], flat), n[i] - 1)
+                common = np.bincount(owner[sets[i][at] == flat], minlength=len(n))
+                for j in right[may[right] & (100 * common >= percent * (n + n[i] - common))[right]]:
+                    if labels.join(i, j):
+                        found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return python_ready(cells).mapInArrow(run, "a long, b long").distinct()
 
@@ -185,11 +232,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     told = materialize(told, "told")
     still = told.groupBy("bucket", "band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").drop("x", "y")
     members = told.join(still, ["bucket", "band"]).join(classes.select("rep", "sketch"), "rep")
-    more = materialize(verify(open_pairs(members, percent), named, width, percent), "links")
-    if more.isEmpty():
-        final = found
-    else:
-        final = components(links.unionByName(more))
+    alike = materialize(alike_components(members, percent), "alike")
+    final = found
+    if not alike.isEmpty():
+        clusters = components(alike).withColumnRenamed("component", "cluster")
+        whole = classes.filter("least is not null").join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp"))
+        inside = materialize(whole.join(clusters, F.col("comp") == F.col("node")).select("cluster", "rep", "comp"), "clusters")
+        sizes = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+        more = materialize(cluster_links(inside.join(sizes, "cluster"), named, width, percent), "links")
+        if not more.isEmpty():
+            final = components(links.unionByName(more))
     named_classes = classes.join(final, F.col("rep") == F.col("node"), "left").select(
         F.col("set_key").alias("_key"), F.coalesce("component", "least").alias("_component"))
     return sets.drop("sketch").join(named_classes, F.col("set_key") == F.col("_key"), "left").select(
