@@ -2,8 +2,8 @@
 
 A language is a probability for each piece of a public vocabulary.  The probability of a text is
 the sum over all ways to cut it into pieces, computed by a forward algorithm.  Pieces carry the
-mark of a word's begin and never run over white space, so the sum is a product over words and
-every different word is computed once per task.
+mark of a word's begin and never run over white space, so the sum is a product over words; all
+different words of a batch are computed side by side.
 
 Training is one pass over all labelled texts: the expected count of every piece under the
 posterior over segmentations of a language-neutral start model, summed per language.  Only the
@@ -15,130 +15,182 @@ if nothing was labelled; equal scores go to the alphabetically first language; t
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from auditmill.llm.common import python_ready
+from auditmill.llm.common import mix, python_ready
 
 UNDETERMINED = "und"
 MARK = "▁"
 LONGEST = 16  # characters of a piece, mark included; longer pieces of the vocabulary are not used
 SMOOTHING = 0.5  # added to each expected count
-KNOWN_WORDS = 200_000
-PART = 200  # characters of a word after which the forward pass is cut loose from the cache
+START = 1e-3  # what each piece costs in the start model
+KNOWN_WORDS, TOGETHER = 200_000, 50_000
+PART = 64  # characters after which a very long word is cut
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
-@lru_cache(maxsize=2)
-def pieces(path: str) -> dict[str, int]:
-    """Piece to number; the number after the last stands for any other single character."""
-    from sentencepiece import SentencePieceProcessor
+class Lattice:
+    """All pieces inside a list of words, found by substring hashes for all words side by side.
 
-    model = SentencePieceProcessor(model_file=path)
-    texts = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return {t: i for i, t in enumerate(texts) if len(t) <= LONGEST}
+    Words are held by descending length, so the words that reach a position come first.
+    """
 
+    def __init__(self, words: list[str], lexicon: "Lexicon"):
+        size = np.array([len(w) for w in words], np.int64)
+        self.order = np.argsort(-size, kind="stable")
+        self.size, start = size[self.order], (np.cumsum(size) - size)[self.order]
+        self.start, self.lexicon = start, lexicon
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        powers = np.full(len(codes) + 1, BASE)
+        powers[:1] = 1
+        back = np.full(len(codes) + 1, INVERSE)
+        back[:1] = 1
+        self.back = np.multiply.accumulate(back)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(codes + BASE) * np.multiply.accumulate(powers)[:-1])])
+
+    def hashes(self, end: int, length: int, n: int) -> np.ndarray:
+        """Of the substrings [end - length, end) of the first ``n`` words."""
+        at = self.start[:n] + end
+        return (self.sums[at] - self.sums[at - length]) * self.back[at - length]
+
+    def steps(self):
+        """(end, number of words that reach it, [(length, words, pieces)])."""
+        for end in range(1, int(self.size.max(initial=0)) + 1):
+            n = int(np.searchsorted(-self.size, -end, side="right"))
+            arcs = []
+            for length in range(1, min(end, LONGEST) + 1):
+                words, found = self.lexicon.find(self.hashes(end, length, n), every=length == 1)
+                if len(words):
+                    arcs.append((length, words, found))
+            yield end, n, arcs
+
+
+class Lexicon:
+    """Pieces of the vocabulary by hash; ``other`` stands for any other single character."""
+
+    def __init__(self, pieces: list[str]):
+        self.other, self.size = len(pieces), len(pieces) + 1
+        self.key, self.number = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+        lattice = Lattice(pieces, self)
+        key = np.empty(len(pieces), np.uint64)
+        for length in range(1, LONGEST + 1):
+            n = int(np.searchsorted(-lattice.size, -length, side="right"))
+            mine = np.flatnonzero(lattice.size[:n] == length)
+            key[lattice.order[mine]] = lattice.hashes(length, length, n)[mine]
+        self.number = np.argsort(key, kind="stable")
+        self.key = key[self.number]
+        self.may = np.zeros(1 << 22, bool)  # most substrings are no pieces: one look tells
+        self.may[key >> np.uint64(42)] = True
+
+    def find(self, h: np.ndarray, every: bool):
+        """Positions in ``h`` that are pieces and their numbers; with ``every``, all positions."""
+        rows = np.flatnonzero(self.may[h >> np.uint64(42)])
+        at = np.minimum(np.searchsorted(self.key, h[rows]), len(self.key) - 1)
+        good = self.key[at] == h[rows]
+        if not every:
+            return rows[good], self.number[at[good]]
+        found = np.full(len(h), self.other)
+        found[rows[good]] = self.number[at[good]]
+        return np.arange(len(h)), found
 
-def vocabulary_size(path: str) -> int:
-    return max(pieces(path).values()) + 2
 
+@lru_cache(maxsize=2)
+def lexicon(path: str) -> Lexicon:
+    from sentencepiece import SentencePieceProcessor
 
-def arcs(word: str, known: dict[str, int], other: int) -> list[list[tuple[int, int]]]:
-    """For each end position: the (start, piece) that lead there."""
-    out = []
-    for end in range(1, len(word) + 1):
-        here = [(start, k) for start in range(max(0, end - LONGEST), end) if (k := known.get(word[start:end])) is not None]
-        if not here or here[-1][0] != end - 1:
-            here.append((end - 1, other))
-        out.append(here)
+    model = SentencePieceProcessor(model_file=path)
+    texts = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    return Lexicon(sorted({t for t in texts if 0 < len(t) <= LONGEST}))
+
+
+def expected(words: list[str], weights: np.ndarray, pieces: Lexicon) -> np.ndarray:
+    """Expected piece counts (pieces x columns) of ``words`` under the start model, ``weights`` (words x columns) times each."""
+    lattice = Lattice(words, pieces)
+    ahead, steps = [np.ones(len(words))], []
+    for _, n, arcs in lattice.steps():
+        here = np.zeros(n)
+        for length, rows, _found in arcs:
+            here[rows] += ahead[-length][rows] * START
+        ahead.append(here)
+        steps.append(arcs)
+    total = np.ones(len(words))
+    for end, here in enumerate(ahead):
+        mine = np.flatnonzero(lattice.size[: len(here)] == end)
+        total[mine] = here[mine]
+    behind = [np.zeros(len(x)) for x in ahead]
+    for end, x in enumerate(behind):
+        x[lattice.size[: len(x)] == end] = 1
+    share, which, word = [], [], []
+    for end in range(len(steps), 0, -1):
+        for length, rows, found in steps[end - 1]:
+            step = behind[end][rows] * START
+            behind[end - length][rows] += step
+            share.append(ahead[end - length][rows] * step / total[rows])
+            which.append(found)
+            word.append(lattice.order[rows])
+    if not share:
+        return np.zeros((pieces.size, weights.shape[1]))
+    share, which, word = map(np.concatenate, (share, which, word))
+    return np.stack([np.bincount(which, share * weights[word, c], pieces.size) for c in range(weights.shape[1])], axis=1)
+
+
+def log_likelihoods(words: list[str], pieces: Lexicon, table: np.ndarray) -> np.ndarray:
+    """Log of the sum over all segmentations of each word (rows), for each language (columns of ``table``)."""
+    lattice = Lattice(words, pieces)
+    out, scale = np.zeros((len(words), table.shape[1])), np.zeros(len(words))
+    ahead = [np.ones((len(words), table.shape[1]))]
+    for end, n, arcs in lattice.steps():
+        here = np.zeros((n, table.shape[1]))
+        for length, rows, found in arcs:
+            here[rows] += ahead[-length][rows] * table[found]
+        ahead = [*ahead[1 - LONGEST:], here]
+        if end % 8 == 0:  # keep the numbers near one
+            top = here.max(axis=1)
+            scale[:n] += np.log(top)
+            ahead = [x[:n] / top[:, None] for x in ahead]
+            here = ahead[-1]
+        mine = np.flatnonzero(lattice.size[:n] == end)
+        out[lattice.order[mine]] = np.log(here[mine]) + scale[mine, None]
     return out
 
 
-def expected(word: str, known: dict[str, int], other: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces and their expected counts in ``word``, when each piece costs the same factor.
-
-    Forward and backward sums are rescaled at every position, so words may be of any length.
-    """
-    steps, weight = arcs(word, known, other), 1e-3
-    n = len(steps)
-    ahead, scale = [1.0] + [0.0] * n, [0.0] * (n + 1)  # true value: ahead * exp(scale)
-    for end, here in enumerate(steps, 1):
-        top = max(scale[s] for s, _ in here)
-        total = sum(ahead[s] * math.exp(scale[s] - top) for s, _ in here) * weight
-        ahead[end], scale[end] = 1.0, top + math.log(total)
-    back: list[float] = [-math.inf] * n + [0.0]
-    for end in range(n, 0, -1):
-        for s, _ in steps[end - 1]:
-            step = back[end] + math.log(weight)
-            a, b = max(back[s], step), min(back[s], step)
-            back[s] = a + (math.log1p(math.exp(b - a)) if b > -math.inf else 0.0)
-    found: dict[int, float] = {}
-    for end, here in enumerate(steps, 1):
-        for s, k in here:
-            found[k] = found.get(k, 0.0) + math.exp(scale[s] + math.log(weight) + back[end] - scale[n])
-    return np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found))
-
-
-def log_likelihood(word: str, known: dict[str, int], other: int, table: np.ndarray) -> np.ndarray:
-    """Log of the sum over all segmentations of ``word``, for each language (column of ``table``)."""
-    ahead, scale = [np.ones(table.shape[1])], [0.0]
-    for here in arcs(word, known, other):
-        top = max(scale[s] for s, _ in here)
-        total = sum(ahead[s] * (table[k] * math.exp(scale[s] - top)) for s, k in here)
-        size = float(total.max())
-        ahead.append(total / size)
-        scale.append(top + math.log(size))
-        if len(ahead) > LONGEST + 1:  # only the last positions are needed again
-            ahead[-LONGEST - 2] = None
-    return np.log(ahead[-1]) + scale[-1]
-
-
 def words_of(text: str) -> list[str]:
-    """Words with the mark; very long ones in parts, so that a text without blanks stays cheap to look up."""
-    out = []
-    for word in text.split():
-        word = MARK + word
-        out += [word] if len(word) <= PART else [word[i:i + PART] for i in range(0, len(word), PART)]
-    return out
-
-
-class Remembered(dict):
-    def __init__(self, compute):
-        super().__init__()
-        self.compute = compute
-
-    def __missing__(self, word):
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = self.compute(word)
-        return value
-
-
-@lru_cache(maxsize=2)
-def expectations(path: str) -> Remembered:
-    known = pieces(path)
-    other = vocabulary_size(path) - 1
-    return Remembered(lambda w: expected(w, known, other))
+    """Words with the mark; very long ones in parts, so that a text without blanks stays bounded."""
+    words = [MARK + w for w in text.split()]
+    if max(map(len, words), default=0) <= PART:
+        return words
+    return [w[i:i + PART] for w in words for i in range(0, len(w), PART)]
 
 
 def piece_counts(labelled: DataFrame, path: str) -> DataFrame:
     """(lang, piece, count): expected piece counts per language over all rows of ``labelled(text, lang)``."""
     def run(batches):
-        size, memory, totals = vocabulary_size(path), expectations(path), {}
+        pieces, totals, seen = lexicon(path), {}, {}
+
+        def settle():
+            """Turn the words counted so far into piece counts."""
+            langs = sorted(seen)
+            every = list(dict.fromkeys(w for c in seen.values() for w in c))
+            for a in range(0, len(every), TOGETHER):
+                words = every[a:a + TOGETHER]
+                weights = np.array([[seen[x].get(w, 0) for x in langs] for w in words], np.float64)
+                for x, counts in zip(langs, expected(words, weights, pieces).T, strict=True):
+                    totals[x] = totals.get(x, 0) + counts
+            seen.clear()
+
         for batch in batches:
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-                if not text:
-                    continue
-                into = totals.setdefault(lang, np.zeros(size))
-                seen: dict[str, int] = {}
-                for w in words_of(text):
-                    seen[w] = seen.get(w, 0) + 1
-                for w, n in seen.items():
-                    k, c = memory[w]
-                    into[k] += c * n
+                if text:
+                    seen.setdefault(lang, Counter()).update(words_of(text))
+            if sum(map(len, seen.values())) > KNOWN_WORDS:
+                settle()
+        settle()
         for lang, counts in totals.items():
             k = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(counts[k])], names=["lang", "piece", "count"])
@@ -154,7 +206,7 @@ def train(labelled: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
     """
     counts = piece_counts(labelled, path).toPandas()
     langs = sorted(counts["lang"].unique())
-    table = np.full((vocabulary_size(path), len(langs)), SMOOTHING)
+    table = np.full((lexicon(path).size, len(langs)), SMOOTHING)
     at = {name: i for i, name in enumerate(langs)}
     # rounded: the order in which tasks were summed must not show
     np.add.at(table, (counts["piece"].to_numpy(np.int64), counts["lang"].map(at).to_numpy(np.int64)), counts["count"].round(6).to_numpy(np.float64))
@@ -170,30 +222,25 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, te
     sent = docs.sparkSession.sparkContext.broadcast(table)  # languages x vocabulary: bounded
 
     def run(batches):
-        known, other, probabilities = pieces(path), vocabulary_size(path) - 1, sent.value.astype(np.float64)
-        row: dict[str, int] = {}
-        rows = np.zeros((1024, max(1, len(langs))))
-
+        pieces, probabilities = lexicon(path), sent.value.astype(np.float64)
+        number: dict[str, int] = {}
+        rows = np.zeros((0, len(langs)))
         for batch in batches:
+            if len(number) > KNOWN_WORDS:
+                number, rows = {}, rows[:0]
+            values = batch[text].to_pylist()
+            told = [bool(langs) and bool(v) and any(map(str.isalpha, v)) for v in values]
+            words = [words_of(v) if t else [] for v, t in zip(values, told, strict=True)]
+            new = list(dict.fromkeys(w for ws in words for w in ws if w not in number))
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            rows = np.concatenate([rows, *(log_likelihoods(new[a:a + TOGETHER], pieces, probabilities) for a in range(0, len(new), TOGETHER))])
             pred, score = [], []
-            for value in batch[text].to_pylist():
-                if not langs or not value or not any(map(str.isalpha, value)):
+            for ws in words:
+                if not ws:
                     pred.append(UNDETERMINED)
                     score.append(0.0)
                     continue
-                if len(row) > KNOWN_WORDS:
-                    row.clear()
-                total = np.zeros(len(langs))
-                at = []
-                for w in words_of(value):
-                    i = row.get(w)
-                    if i is None:
-                        i = row[w] = len(row)
-                        if i >= len(rows):
-                            rows = np.concatenate([rows, np.zeros_like(rows)])
-                        rows[i] = log_likelihood(w, known, other, probabilities)
-                    at.append(i)
-                total = rows[at].sum(axis=0)
+                total = rows[list(map(number.__getitem__, ws))].sum(axis=0)
                 best = int(total.argmax())
                 pred.append(langs[best])
                 score.append(float(1 / np.exp(total - total[best]).sum()))

@@ -22,25 +22,40 @@ def segmentations(word, known):
             yield [known.get(p, -1) for p in parts]
 
 
-@pytest.mark.parametrize("word", ["▁a", "▁thinking", "▁b語ä", "▁"])
-def test_sums_over_all_segmentations(word):
-    known, size = langid.pieces(PATH), langid.vocabulary_size(PATH)
-    table = np.random.default_rng(0).dirichlet(np.ones(size), 3).T
-    want = sum(np.prod([table[k] for k in s], axis=0) for s in segmentations(word, known))
-    assert np.allclose(langid.log_likelihood(word, known, size - 1, table), np.log(want))
-    weights = [(s, 1e-3 ** len(s)) for s in segmentations(word, known)]
-    total = math.fsum(w for _, w in weights)
-    k, c = langid.expected(word, known, size - 1)
-    for piece, count in zip(k, c):
-        assert math.isclose(count, sum(w * s.count(piece if piece < size - 1 else -1) for s, w in weights) / total, rel_tol=1e-9)
+WORDS = ["▁a", "▁thinking", "▁b語ä", "▁", "▁zz", "▁the", "▁über"]
+
+
+@pytest.fixture(scope="module")
+def known():
+    from sentencepiece import SentencePieceProcessor
+    model = SentencePieceProcessor(model_file=PATH)
+    texts = sorted({t for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) for t in [model.id_to_piece(i)] if 0 < len(t) <= langid.LONGEST})
+    return {t: i for i, t in enumerate(texts)}
+
+
+def test_sums_over_all_segmentations(known):
+    pieces = langid.lexicon(PATH)
+    table = np.random.default_rng(0).dirichlet(np.ones(pieces.size), 3).T
+    got = langid.log_likelihoods(WORDS, pieces, table)
+    counts = np.zeros((pieces.size, 2))
+    weights = np.array([[i + 1, 2 * i] for i in range(len(WORDS))], float)
+    for word, row, w in zip(WORDS, got, weights):
+        ways = list(segmentations(word, known))
+        assert np.allclose(row, np.log(sum(np.prod([table[k] for k in s], axis=0) for s in ways)))
+        total = math.fsum(langid.START ** len(s) for s in ways)
+        for s in ways:
+            for k in s:
+                counts[k] += langid.START ** len(s) / total * w
+    assert np.allclose(langid.expected(WORDS, weights, pieces), counts)
 
 
 def test_long_words_stay_finite():
-    known, size = langid.pieces(PATH), langid.vocabulary_size(PATH)
-    table = np.full((size, 2), 1 / size)
-    assert np.isfinite(langid.log_likelihood("语" * 5000, known, size - 1, table)).all()
-    assert math.isclose(langid.expected("x" * 3000, known, size - 1)[1].sum(), langid.expected("x" * 3000, known, size - 1)[1].sum())
-    assert max(map(len, langid.words_of("y" * 100_001))) <= langid.PART and "".join(langid.words_of("y" * 100_001)) == "▁" + "y" * 100_001
+    pieces = langid.lexicon(PATH)
+    table = np.full((pieces.size, 2), 1e-15)
+    words = langid.words_of("语" * 5000 + " " + "the" * 40)
+    assert max(map(len, words)) <= langid.PART and "".join(words) == "▁" + "语" * 5000 + "▁" + "the" * 40
+    assert np.isfinite(langid.log_likelihoods(words, pieces, table)).all()
+    assert np.isfinite(langid.expected(words, np.ones((len(words), 1)), pieces)).all()
 
 
 def test_held_out_accuracy(spark):
