@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from auditmill.llm import bpe, langid, minhash, pivots, sharding, topk, warc
+from auditmill.llm import bpe, chat, langid, minhash, mixing, pivots, quality, sharding, topk, warc
 from auditmill.llm.common import read
 
 QUERIES: dict = {}
@@ -87,3 +87,30 @@ reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN l
 least AS (SELECT a, min(b) AS low FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
 FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+
+@query
+def op3_mixing(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, max_repetition=2.0).select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "epoch", "position")
+
+
+@query
+def op5_chat(spark, sf_dir):
+    return chat.maximal_conversations(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op5_chat"] = """
+WITH d AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place FROM d),
+x AS (SELECT *, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS piece FROM p),
+c AS (SELECT conv_id, count(*) AS n, list(struct_pack(r := role, t := text) ORDER BY place) AS whole FROM x GROUP BY conv_id),
+m AS (SELECT a.conv_id FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id <> a.conv_id AND b.n >= a.n AND (b.n > a.n OR b.conv_id < a.conv_id)
+      AND list_slice(b.whole, 1, a.n) = a.whole))
+SELECT conv_id, place // 1024 AS part, count(*) AS n_turns, string_agg(piece, '' ORDER BY place) AS rendered FROM x JOIN m USING (conv_id) GROUP BY conv_id, place // 1024"""
+
+
+@query
+def op9_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.resample(docs, read(spark, sf_dir, "labels")).select("doc_id", "weight", "key", "selected")

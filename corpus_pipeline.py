@@ -1,15 +1,60 @@
-"""The corpus pipeline: documents in, token digests out.  Counts as part of the llm subpackage."""
+"""The corpus pipeline: documents in, token digests out.  Counts as part of the llm subpackage.
+
+Every stage works on all that its predecessor kept, and all but the last return the columns of
+``documents``.  Rows without a doc_id pass every stage; equal ones leave the near-duplicate stage once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from auditmill.llm import bpe, langid, minhash, mixing, quality
 from auditmill.session import scratch_path
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_SCORE = 0.5  # of the language
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what importance resampling against the accepted labels leaves out."""
+    return quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("selected").select(*COLUMNS)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter and those whose language stays open."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    told = langid.identify(docs, langid.train(docs.select("text", "lang"), path), path)
+    return told.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near-duplicates (five words, 0.8)."""
+    kept = minhash.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80).filter("kept").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS).distinct())
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mix the sources: every document at least once, small sources up to twice as often as large ones."""
+    return mixing.mix(docs, max_repetition=2.0).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of every document as counts and digests."""
+    return bpe.digests(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 #: (name, function(spark, docs, sf_dir)); each result is written as Parquet and read again.
-STAGES: list = []
+STAGES = [
+    ("quality", good_documents),
+    ("language", known_language),
+    ("near_duplicates", without_near_duplicates),
+    ("mixing", mixed),
+    ("encoding", encoded),
+]
 
-#: No stage but the mixing could be written in SQL; the stages are tested against brute force.
+#: SQL expresses neither the models nor the encoding; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
