@@ -72,8 +72,12 @@ def fixed(x: Column, digits: int) -> Column:
 
 
 def floor_window(ts: Column, minutes: int) -> Column:
-    """Start of the tumbling window of ``minutes`` that holds ``ts``."""
-    return F.window(ts, f"{minutes} minutes")["start"]
+    """Start of the tumbling window of ``minutes`` that holds ``ts``; null for a null time.
+
+    Arithmetic, because ``F.window`` removes the rows without a time from whatever it is used in.
+    """
+    size = F.lit(minutes * 60_000_000)
+    return F.timestamp_micros(F.unix_micros(ts) - F.pmod(F.unix_micros(ts), size))
 
 
 def ts_text(ts: Column) -> Column:

@@ -173,9 +173,11 @@ def citation_metrics(incidents: DataFrame) -> DataFrame:
 
 
 def user_truth(alerts: DataFrame) -> DataFrame:
-    """Attack of each user's highest alert."""
+    """Attack of each user's highest alert; ``nan``, ``none`` and nothing mean ``normal``."""
+    name = F.coalesce(F.lower(F.trim("attack_name")), F.lit(""))
+    name = F.when(name.isin("nan", "none", ""), "normal").otherwise(name)
     return alerts.groupBy(F.col("user_name").alias("user")).agg(
-        F.max_by(F.lower(F.trim("attack_name")), F.struct("ensemble_score", -F.unix_micros("window"))).alias("truth"))
+        F.max_by(name, F.struct("ensemble_score", -F.unix_micros("window"))).alias("truth"))
 
 
 def expected_term_coverage(incidents: DataFrame, truth: DataFrame) -> DataFrame:

@@ -202,7 +202,7 @@ def finalize_features(windows: DataFrame) -> DataFrame:
 def window_labels(events: DataFrame, window_minutes: int) -> DataFrame:
     """The first attack, by (time, event id), of every window with an attack."""
     return (
-        events.filter(F.col("is_attack") & F.col("user_name").isNotNull())
+        events.filter(F.col("is_attack") & F.col("user_name").isNotNull() & F.col("eventTime").isNotNull())
         .groupBy("user_name", floor_window(F.col("eventTime"), window_minutes).alias("window"))
         .agg(F.min_by(F.struct("attack_id", "attack_name"), F.struct("eventTime", "eventID")).alias("label"))
         .select("user_name", "window", "label.*")

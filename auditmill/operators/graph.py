@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -215,10 +216,11 @@ def expand_all(edges: DataFrame) -> DataFrame:
     return out.unionByName(back).distinct()
 
 
-def subgraph(windows: DataFrame, edges: DataFrame, attack_type: str = "", technique: str = "", limit: int = 30) -> DataFrame:
+def subgraph(windows: DataFrame, edges: DataFrame, attack_type: str = "", technique: str = "", limit: int = 30,
+             overview_limit: int = 100) -> DataFrame:
     """Edges around the highest-scored windows, filtered by attack or by reachable technique.
 
-    Without a filter hit the first edges of the graph stand in as an overview.
+    Without a filter hit the first ``overview_limit`` edges of the graph stand in as an overview.
     """
     picked = windows
     if attack_type:
@@ -239,7 +241,7 @@ def subgraph(windows: DataFrame, edges: DataFrame, attack_type: str = "", techni
     found = first.unionByName(second).distinct()
     empty = F.col("n") == 0
     none = found.agg(F.count(F.lit(1)).alias("n")).select(empty).scalar()
-    overview = edges.select(*found.columns).orderBy("type", "src", "dst").limit(100).filter(none)
+    overview = edges.select(*found.columns).orderBy("type", "src", "dst").limit(overview_limit).filter(none)
     return found.unionByName(overview)
 
 
@@ -293,7 +295,7 @@ def search_summary(matches: DataFrame, edges: DataFrame, top_types: int = 3, fir
 TRACE_TARGETS = ["Playbook", "MITRETechnique", "DetectionPattern"]
 
 
-def trace_paths(nodes: DataFrame, edges: DataFrame, max_hops: int = 20) -> DataFrame:
+def trace_paths(nodes: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """For every node the nearest pattern, technique or playbook other than itself.
 
     A breadth-first search from all targets at once that keeps the two nearest targets of
@@ -308,7 +310,7 @@ def trace_paths(nodes: DataFrame, edges: DataFrame, max_hops: int = 20) -> DataF
         F.lit(None).cast("string").alias("via"))
     seen = frontier
     order = Window.partitionBy("node").orderBy("target")
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         reach = (
             links.join(frontier.select(F.col("node").alias("neighbour"), "target"), "neighbour")
             .groupBy("node", "target").agg(F.min("neighbour").alias("via"))

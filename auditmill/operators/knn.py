@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from auditmill.session import materialize
+from auditmill.session import materialize, ship_package
 
 MAX_CELLS = 512        # bounds the cell statistics held on the driver (512 x 512 pairs)
 POINTS_PER_CELL = 512
@@ -60,6 +60,7 @@ def _assign(df: DataFrame, pivots: np.ndarray, metric: str, role: str) -> DataFr
             cell = d.argmin(1)
             yield pdf.assign(point=list(x), cell=cell.astype("int32"), to_pivot=d[np.arange(len(d)), cell])
 
+    ship_package(df.sparkSession)
     return df.mapInPandas(run, f"{schema}, point array<double>, cell int, to_pivot double")
 
 
@@ -89,16 +90,18 @@ def _best(keep: int, id_type: str, rep_type: str):
                 approx = _distances(q, b)
                 kth = np.partition(approx, min(keep, b.shape[0]) - 1, axis=1)[:, min(keep, b.shape[0]) - 1]
                 slack = 1e-6 * (1.0 + np.abs(kth))
-                out_q, out_b, out_d = [], [], []
-                for i in range(len(reps)):
-                    near = np.flatnonzero(approx[i] <= kth[i] + slack[i])
-                    exact = np.sqrt(((b[near] - q[i]) ** 2).sum(1))
-                    pairs = sorted((d, x) for d, j in zip(exact.tolist(), near) for x in id_lists[j])
-                    for d, x in pairs[:keep]:
-                        out_q.append(reps[i])
-                        out_b.append(x)
-                        out_d.append(d)
-                yield pd.DataFrame({"rep": out_q, "neighbor_id": out_b, "distance": out_d})
+                i, j = np.nonzero(approx <= (kth + slack)[:, None])
+                exact = np.sqrt(((b[j] - q[i]) ** 2).sum(1))
+                copies = np.array([len(x) for x in id_lists])
+                first = np.cumsum(copies) - copies
+                ids = np.array([x for ids in id_lists for x in ids])
+                at = np.arange(copies[j].sum()) + np.repeat(first[j] - (np.cumsum(copies[j]) - copies[j]), copies[j])
+                i, exact, other = np.repeat(i, copies[j]), np.repeat(exact, copies[j]), ids[at]
+                order = np.lexsort((other, exact, i))
+                i, exact, other = i[order], exact[order], other[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                best = rank < keep
+                yield pd.DataFrame({"rep": np.array(reps)[i[best]], "neighbor_id": other[best], "distance": exact[best]})
 
     return run, f"rep {rep_type}, neighbor_id {id_type}, distance double"
 
@@ -109,13 +112,15 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", ve
     """``query_id, neighbor_id, distance, rank`` of the ``k`` nearest ``base`` rows per query.
 
     ``metric`` is ``euclidean`` or ``cosine`` (distance = 1 - cosine).  ``exclude_self``
-    leaves out the base row with the query's own id.
+    leaves out the base row with the query's own id.  A row whose vector is null or holds a null
+    has no neighbours and is none.
     """
     keep = k + (1 if exclude_self else 0)
 
     vec = F.col(vector).cast("array<double>").alias("vec")
-    q_all = queries.select(F.col(id_col).alias("query_id"), vec)
-    b_all = base.select(F.col(id_col).alias("neighbor_id"), vec)
+    known = F.col("vec").isNotNull() & ~F.exists("vec", lambda v: v.isNull())
+    q_all = queries.select(F.col(id_col).alias("query_id"), vec).filter(known)
+    b_all = base.select(F.col(id_col).alias("neighbor_id"), vec).filter(known)
     id_type, rep_type = b_all.schema["neighbor_id"].dataType.simpleString(), \
         q_all.schema["query_id"].dataType.simpleString()
 

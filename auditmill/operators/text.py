@@ -205,24 +205,28 @@ def question_keywords(text: Column) -> Column:
 GRAM = 4
 
 
-def entity_focus(questions: DataFrame, nodes: DataFrame, max_terms: int = 12, per_term: int = 10) -> DataFrame:
+def entity_focus(questions: DataFrame, nodes: DataFrame, max_terms: int | None = None, per_term: int | None = None) -> DataFrame:
     """Best node per question over the nodes that contain one of its terms.
 
     ``questions(question_id, text)``; ``nodes(id, type, text)`` in lower case.  Terms have at
     least four letters, so a term is looked up by its first four: the substring join is an
     equi-join on four-letter pieces, verified afterwards.  Each distinct term is searched
-    once, whatever the number of questions that use it.
+    once, whatever the number of questions that use it.  ``max_terms`` and ``per_term`` limit
+    the terms of a question and the nodes of a term; without them all count.
     """
     all_terms = F.concat(F.transform(extract_entities(F.col("text")), F.lower), question_keywords(F.col("text")))
-    asked = questions.select("question_id", F.posexplode(F.slice(all_terms, 1, max_terms)).alias("pos", "term"))
+    if max_terms is not None:
+        all_terms = F.slice(all_terms, 1, max_terms)
+    asked = questions.select("question_id", F.posexplode(all_terms).alias("pos", "term"))
     terms = asked.select("term").distinct().withColumn("gram", F.substring("term", 1, GRAM))
     pieces = F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("text") - (GRAM - 1), F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(GRAM))))
     indexed = nodes.select("id", "type", "text", F.explode(pieces).alias("gram"))
     hits = indexed.join(terms, "gram").filter(F.col("text").contains(F.col("term"))).select("term", "id", "type")
-    order = Window.partitionBy("term").orderBy("id")
-    top = hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_term)
-    found = asked.join(top, "term").groupBy("question_id", "id", "type").agg(F.min("pos").alias("pos"))
+    if per_term is not None:
+        order = Window.partitionBy("term").orderBy("id")
+        hits = hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_term)
+    found = asked.join(hits, "term").groupBy("question_id", "id", "type").agg(F.min("pos").alias("pos"))
     best = F.max_by(F.struct("id", "type"), F.struct(type_bonus(F.col("type"), vocab.FOCUS_PRIORITY), -F.col("pos")))
     return found.groupBy("question_id").agg(F.count(F.lit(1)).alias("candidates"), best["type"].alias("focus_type"))
 

@@ -12,27 +12,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditmill import vocab
 from auditmill.functions.scalars import is_business_hours
-from auditmill.session import ensure_utc, materialize
+from auditmill.session import ensure_utc, scratch_path
 
 FINE_MINUTES = 720
 CONTEXT_MINUTES = 10080
 
 
-SMALL_TABLES = ("region", "nation", "supplier", "labels", "benchmark")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table.
-
-    A table in fewer files than half the cores is spread over the cores (the test tables
-    are single files); one in many files, as on a cluster, is read as it is.
-    """
+    """A test table, read as it is stored."""
     ensure_utc(spark)
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name not in SMALL_TABLES and len(df.inputFiles()) < cores // 2:
-        df = df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def attack_name(attack_id):
@@ -163,8 +152,9 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STAGES:
-        df = materialize(build(), name)
-        _STAGES[key] = (df.inputFiles()[0].rsplit("/", 1)[0], df.schema)
+        df, path = build(), scratch_path(spark, name)
+        df.write.parquet(path)
+        _STAGES[key] = (path, df.schema)
     path, schema = _STAGES[key]
     return spark.read.schema(schema).parquet(path)
 

@@ -8,6 +8,7 @@ from auditmill import schema, vocab
 from auditmill.operators import features as ft, normalize as nz
 from auditmill.plans import adapter
 from auditmill.plans.adapter import CONTEXT_MINUTES, FINE_MINUTES
+from auditmill.operators.normalize import parse_event_time
 from auditmill.plans.registry import fragment, query
 from auditmill.session import scratch_path
 from auditmill.sources import events as src, tables as tab
@@ -149,13 +150,12 @@ SELECT eventID, eventTime_str AS eventTime, eventName, eventSource, sourceIPAddr
   nullif(userAgent, '') AS userAgent,
   CASE WHEN k % 11 <> 0 THEN is_ro END AS readOnly
 FROM q_flat JOIN (SELECT CAST(event_id AS VARCHAR) AS id, CAST(json_extract_string(props,'$.k') AS INT) AS k,
-  event_type IN ('view','click') AS is_ro FROM events) ON id = eventID WHERE eventTime IS NOT NULL"""
+  event_type IN ('view','click') AS is_ro FROM events) ON id = eventID"""
 
 
 def _buckets(spark, sf, minutes=1440):
     path = scratch_path(spark, "audit-json")
-    raw = adapter.raw_events(spark, sf).filter("eventTime <> 'not-a-time'")
-    src.write_audit_json_buckets(raw, path, minutes, max_records=50_000)
+    src.write_audit_json_buckets(adapter.raw_events(spark, sf), path, minutes, max_records=50_000)
     return path
 
 
@@ -164,18 +164,10 @@ def _(spark, sf):
     return src.read_audit_json(spark, _buckets(spark, sf)).select(*RAW_OUT)
 
 
-def _day_folders(spark, sf):
-    """Files under ``YYYY/MM/DD`` folders: the bucket layout with plain folder names."""
-    path = scratch_path(spark, "audit-days")
-    raw = adapter.raw_events(spark, sf).filter("eventTime <> 'not-a-time'")
-    src.write_audit_json_buckets(raw, path, 1440, max_records=50_000)
-    return path
-
-
 @query("read_audit_json_range",
-       _raw_sql + " AND eventTime >= TIMESTAMP '2024-01-05' AND eventTime < TIMESTAMP '2024-01-13'")
+       _raw_sql + " WHERE q_flat.eventTime >= TIMESTAMP '2024-01-05' AND q_flat.eventTime < TIMESTAMP '2024-01-13'")
 def _(spark, sf):
-    return src.read_audit_buckets(spark, _day_folders(spark, sf), "2024-01-05", "2024-01-12").select(*RAW_OUT)
+    return src.read_audit_json_range(spark, _buckets(spark, sf), "2024-01-05", "2024-01-12").select(*RAW_OUT)
 
 
 @query("events_by_day", "SELECT left(eventTime_str, 10) AS day, count(*) AS events FROM q_flat GROUP BY 1")
@@ -223,10 +215,10 @@ def _(spark, sf):
 
 @query("write_audit_json_buckets", """
 SELECT make_timestamp((epoch_us(eventTime) // 86400000000) * 86400000000) AS bucket, count(*) AS records,
-  count(DISTINCT eventID) AS ids FROM q_flat WHERE eventTime IS NOT NULL GROUP BY 1""")
+  count(DISTINCT eventID) AS ids FROM q_flat GROUP BY 1""")
 def _(spark, sf):
     back = src.read_audit_buckets(spark, _buckets(spark, sf))
-    day = F.date_trunc("day", F.to_timestamp("eventTime", vocab.EVENT_TIME_FORMAT))
+    day = F.date_trunc("day", parse_event_time(F.col("eventTime")))
     return back.groupBy(day.alias("bucket")).agg(
         F.count(F.lit(1)).alias("records"), F.count_distinct("eventID").alias("ids"))
 

@@ -31,8 +31,8 @@ def _(spark, sf):
 
 _scaled = ", ".join(
     f"round((f.{c} - s.m_{c}) / CASE WHEN s.d_{c} > 0 THEN s.d_{c} ELSE 1.0 END, 4) AS {c}"
-    for c in vocab.FEATURE_COLUMNS[:10])
-_stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}" for c in vocab.FEATURE_COLUMNS[:10])
+    for c in vocab.FEATURE_COLUMNS)
+_stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}" for c in vocab.FEATURE_COLUMNS)
 
 
 @query("standardize", f"""
@@ -42,7 +42,7 @@ def _(spark, sf):
     train, test = md.normal_only_split(features(spark, sf))
     out = md.standardize(test, train)
     return out.select("user_name", "window", *[
-        F.round(F.col("vector")[i], 4).alias(c) for i, c in enumerate(vocab.FEATURE_COLUMNS[:10])])
+        F.round(F.col("vector")[i], 4).alias(c) for i, c in enumerate(vocab.FEATURE_COLUMNS)])
 
 
 def scaled(spark, sf):

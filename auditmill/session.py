@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
 import tempfile
@@ -12,6 +13,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+_OWN: set[str] = set()
+
+
 def build_session(app: str = "auditmill", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators assume (UTC, adaptive execution)."""
     b = (
@@ -40,19 +44,43 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (local runs, tests) a temporary folder is
-    made and kept in the session, so that later calls see the same one.
+    Only where none is named and everything runs in one process (local runs, tests) a
+    temporary folder is made and kept in the session, so that later calls see the same one.
+    On a cluster such a folder would be another one on each machine, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="auditmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/auditmill-{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file system access; nothing happens once the session is gone."""
+    context = spark.sparkContext
+    if context._jsc is None:
+        return
+    try:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # at exit the gateway may be closed already
+        return
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df, name: str):

@@ -7,6 +7,8 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditmill import schema
+from auditmill.functions.scalars import floor_window
+from auditmill.operators.normalize import parse_event_time
 
 
 def read_audit_json(spark: SparkSession, path, max_files: int | None = None) -> DataFrame:
@@ -54,44 +56,52 @@ def write_audit_json_buckets(
 ) -> None:
     """One or more gzip JSON documents ``{"Records": [...]}`` per time bucket.
 
-    A bucket with more than ``max_records`` records is written as several documents,
-    as the log service itself does, so that no task holds an unbounded bucket.
+    Documents go to ``YYYY/MM/DD`` folders; records whose time cannot be read form a bucket
+    of their own in ``unparsed``.  A bucket with more than ``max_records`` records is written
+    as several documents, as the log service itself does, so that no task holds an unbounded
+    bucket.
     """
-    ts = F.to_timestamp("eventTime", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    bucketed = raw.withColumn("bucket", F.window(ts, f"{window_minutes} minutes")["start"])
+    bucketed = raw.withColumn("bucket", floor_window(parse_event_time(F.col("eventTime")), window_minutes))
     record = F.struct(*[F.col(c) for c in raw.columns])
     sizes = bucketed.groupBy("bucket").agg(
         F.ceil(F.count(F.lit(1)) / max_records).cast("int").alias("parts"))
     documents = (
-        bucketed.join(sizes, "bucket")
-        .withColumn("part", F.pmod(F.xxhash64("eventID"), F.col("parts")))
+        bucketed.join(sizes.withColumnRenamed("bucket", "_bucket"), F.col("bucket").eqNullSafe(F.col("_bucket")))
+        .withColumn("part", F.pmod(F.xxhash64(record), F.col("parts")))
         .groupBy("bucket", "part")
         .agg(F.sort_array(F.collect_list(F.struct("eventTime", "eventID", record.alias("record"))))
              .alias("items"))
         .select(
-            F.date_format("bucket", "yyyy").alias("y"), F.date_format("bucket", "MM").alias("m"),
-            F.date_format("bucket", "dd").alias("d"),
+            F.coalesce(F.date_format("bucket", "yyyy-MM-dd"), F.lit("unparsed")).alias("day"),
             F.transform("items", lambda i: i["record"]).alias("Records"),
         )
     )
     # maxRecordsPerFile=1: every document is a file of its own
-    (documents.write.partitionBy("y", "m", "d").option("compression", "gzip")
+    (documents.write.partitionBy("day").option("compression", "gzip")
      .option("maxRecordsPerFile", 1).mode("overwrite").json(path))
+    _plain_day_folders(raw.sparkSession, path)
+
+
+def _plain_day_folders(spark: SparkSession, path: str) -> None:
+    """``day=2026-02-23`` becomes ``2026/02/23``: one rename per day, no data is moved."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(conf)
+    for found in store.listStatus(hadoop(path)):
+        name = found.getPath().getName()
+        if name.startswith("day="):
+            to = hadoop(f"{path.rstrip('/')}/{name.removeprefix('day=').replace('-', '/')}")
+            store.mkdirs(to.getParent())
+            if not store.rename(found.getPath(), to):
+                raise OSError(f"cannot rename {found.getPath()} to {to}")
 
 
 def read_audit_buckets(spark: SparkSession, path: str, start: str | None = None,
                        end: str | None = None) -> DataFrame:
-    """Documents written by :func:`write_audit_json_buckets`; the range prunes folders."""
-    docs = (
-        spark.read.schema(schema.RAW_FILE + ", y string, m string, d string")
-        .option("multiLine", True).json(path)
-    )
-    day = F.concat_ws("-", "y", "m", "d")
-    if start:
-        docs = docs.filter(day >= start)
-    if end:
-        docs = docs.filter(day <= end)
-    return docs.select(F.explode("Records").alias("r")).select("r.*")
+    """Documents written by :func:`write_audit_json_buckets`, all or those of the days ``start..end``."""
+    if start and end:
+        return read_audit_json_range(spark, path, start, end)
+    return read_audit_json(spark, path)
 
 
 def events_by_day(raw: DataFrame) -> DataFrame:
@@ -110,10 +120,8 @@ def write_events_by_day(raw: DataFrame, path: str) -> None:
 def write_events_parquet(events: DataFrame, path: str, partition_by_date: bool = False) -> None:
     writer = events.write.mode("overwrite")
     if partition_by_date and "event_date" in events.columns:
-        # one shuffle by day and a hash of the id: few files per day, no hot day in one task
-        parts = F.pmod(F.xxhash64("eventID"), F.lit(8))
-        writer = (events.repartition(F.col("event_date"), parts).write.mode("overwrite")
-                  .partitionBy("event_date"))
+        # adaptive execution gathers small days and splits large ones by size
+        writer = events.hint("rebalance", F.col("event_date")).write.mode("overwrite").partitionBy("event_date")
     writer.parquet(path)
 
 

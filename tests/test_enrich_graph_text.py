@@ -197,3 +197,11 @@ def test_stream_equals_batch_and_alerts_are_not_repeated(spark, tmp_path):
         windows.write.mode("append").parquet(str(tmp_path / "w"))
         st.stream_alerts(spark.readStream.schema(windows.schema).parquet(str(tmp_path / "w")), base, 3.0, str(tmp_path / "al"), str(tmp_path / "cpa"))
     assert [(r.user_name, r.total_events, r.batch) for r in st.read_alerts(spark, str(tmp_path / "al")).collect()] == [("u", 50, 0)]
+
+
+def test_trace_follows_chains_of_any_length(spark):
+    nodes = [("n00", "Playbook")] + [(f"n{i:02d}", "Window") for i in range(1, 31)]
+    nd = spark.createDataFrame([(i, t, i, i) for i, t in nodes], "id string, type string, key string, label string")
+    ed = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", "E") for i in range(30)], "src string, dst string, type string")
+    got = {r.node: (r.hops, r.target) for r in gr.trace_paths(nd, ed).collect()}
+    assert got == {f"n{i:02d}": (i, "n00") for i in range(1, 31)}

@@ -165,3 +165,24 @@ def test_feature_matrix_equals_its_parts(spark):
 
 def test_raw_schema_reads_nested(spark):
     assert "userIdentity" in spark.createDataFrame([], schema.RAW_EVENT).columns
+
+
+def test_times_that_cannot_be_read_are_kept(spark, tmp_path):
+    from auditmill.functions.scalars import floor_window
+    raw = spark.createDataFrame([("a", "2026-02-23T14:07:00Z"), ("b", "yesterday"), ("c", None), ("d", "2026-02-24T00:00:00Z")], "eventID string, eventTime string")
+    path = str(tmp_path / "out")
+    src.write_audit_json_buckets(raw, path, 15)
+    assert {str(p.parent.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.json.gz")} == {"2026/02/23", "2026/02/24", "unparsed"}
+    assert {r.eventID for r in src.read_audit_json(spark, path).collect()} == {"a", "b", "c", "d"}
+    assert [r.eventID for r in src.read_audit_json_range(spark, path, "2026-02-23", "2026-02-23").collect()] == ["a"]
+    times = raw.select(floor_window(F.to_timestamp(F.when(F.col("eventID") == "a", F.col("eventTime"))), 5).alias("w")).collect()
+    assert len(times) == 4 and sum(r.w is None for r in times) == 3
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from auditmill.session import shared_dir
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(unset)
