@@ -73,11 +73,15 @@ def top_users(alerts: DataFrame, n: int = 10) -> DataFrame:
         .orderBy(F.desc("alert_count"), "user_name").limit(n))
 
 
-def filter_options(alerts: DataFrame) -> DataFrame:
-    """Distinct users and attack types, as sorted rows."""
+def filter_options(alerts: DataFrame, techniques: DataFrame | None = None) -> DataFrame:
+    """Distinct users and attack types, and the techniques if given, as sorted rows."""
     users = alerts.select(F.lit("user").alias("kind"), F.col("user_name").alias("value"))
     attacks = alerts.select(F.lit("attack_type").alias("kind"), F.col("attack_name").alias("value"))
-    return users.unionByName(attacks).distinct().orderBy("kind", "value")
+    rows = users.unionByName(attacks)
+    if techniques is not None:
+        name = F.concat_ws(": ", "technique_id", "name")
+        rows = rows.unionByName(technique_options(techniques).select(F.lit("technique").alias("kind"), name.alias("value")))
+    return rows.distinct().orderBy("kind", "value")
 
 
 def technique_options(techniques: DataFrame) -> DataFrame:

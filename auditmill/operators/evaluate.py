@@ -172,6 +172,11 @@ def citation_metrics(incidents: DataFrame) -> DataFrame:
         "context_utilization": usage})
 
 
+def mean_metrics(per_incident: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row: the number of incidents and the mean of each metric over them."""
+    return per_incident.agg(F.count(F.lit(1)).alias("incidents"), *[F.avg(m).alias(m) for m in metrics])
+
+
 def user_truth(alerts: DataFrame) -> DataFrame:
     """Attack of each user's highest alert; ``nan``, ``none`` and nothing mean ``normal``."""
     name = F.coalesce(F.lower(F.trim("attack_name")), F.lit(""))

@@ -63,21 +63,30 @@ def window_calendar(windows: DataFrame, window_minutes: int) -> DataFrame:
 def user_window_counts(events: DataFrame, window_minutes: int) -> DataFrame:
     """Counts, distinct counts and byte totals per (user, window).
 
-    The distinct counts make Spark aggregate first by (user, window, value), so a user
-    that holds a large share of all events is spread over many tasks.
+    Events are reduced to one row per (user, window, name, bucket, address) first, so the
+    distinct counts expand that table and not the events, and a user that holds a large
+    share of all events is spread over many tasks.
     """
     flagged = event_flags(
         events.filter(F.col("user_name").isNotNull() & F.col("eventTime").isNotNull()))
+    values = flagged.groupBy(
+        "user_name", floor_window(F.col("eventTime"), window_minutes).alias("window"),
+        "eventName", "request_bucket_name", "sourceIPAddress",
+    ).agg(
+        F.count("eventID").alias("n"),
+        *[F.sum(F.col(flag).cast("long")).alias(name) for name, flag in FLAG_COUNTS.items()],
+        F.sum("bytes_transferred_out").alias("bytes_sum"), F.max("bytes_transferred_out").alias("bytes_max"),
+    )
     return (
-        flagged.groupBy("user_name", floor_window(F.col("eventTime"), window_minutes).alias("window"))
+        values.groupBy("user_name", "window")
         .agg(
-            F.count("eventID").alias("total_events"),
-            *[F.sum(F.col(flag).cast("long")).alias(name) for name, flag in FLAG_COUNTS.items()],
+            F.sum("n").alias("total_events"),
+            *[F.sum(name).alias(name) for name in FLAG_COUNTS],
             F.count_distinct("request_bucket_name").alias("unique_resources"),
             F.count_distinct("sourceIPAddress").alias("unique_ips"),
             F.count_distinct("eventName").alias("unique_event_types"),
-            F.sum("bytes_transferred_out").alias("bytes_out_total"),
-            F.max("bytes_transferred_out").alias("bytes_out_max"),
+            F.sum("bytes_sum").alias("bytes_out_total"),
+            F.max("bytes_max").alias("bytes_out_max"),
         )
     )
 

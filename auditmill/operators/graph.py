@@ -130,18 +130,27 @@ def matches_pattern_edges(events: DataFrame, patterns: DataFrame) -> DataFrame:
 def indicator_hits(rows: DataFrame, keys: list[str], features: list[str], patterns: DataFrame) -> DataFrame:
     """Per (row, pattern): indicators hit, comparable and in all, and the features that hit.
 
-    Features are laid out as rows and joined with the indicators by feature name; the
-    counts are combined before the shuffle.
+    The rule base is one array that every row reads; the counts are formed inside the row, so
+    nothing is shuffled.  Patterns without a hit give no row.
     """
-    flat = patterns.select("pattern_id", F.size("indicators").alias("total"),
-                           F.explode("indicators").alias("feature", "rule"))
-    long = rows.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features])).alias("f")).select(*keys, "f.*")
-    hit = F.when(F.col("rule.direction") == "below", F.col("value") < F.col("rule.threshold")).otherwise(
-        F.col("value") > F.col("rule.threshold"))
-    return long.join(flat, "feature").groupBy(*keys, "pattern_id").agg(
-        F.max("total").alias("total"), F.count(F.lit(1)).alias("comparable"), F.sum(hit.cast("int")).alias("hits"),
-        F.sort_array(F.collect_list(F.when(hit, F.col("feature")))).alias("matched_features"))
+    entry = F.struct("pattern_id", F.size("indicators").alias("total"), F.map_entries("indicators").alias("rules"))
+    base = patterns.agg(F.collect_list(entry).alias("base")).scalar()
+    values = F.create_map(*[x for f in features for x in (F.lit(f), F.col(f).cast("double"))])
+    known = F.array(*[F.lit(f) for f in features])
+
+    def is_hit(rule):
+        value, limit = F.col("_values")[rule["key"]], rule["value"]["threshold"]
+        return F.coalesce(F.when(rule["value"]["direction"] == "below", value < limit).otherwise(value > limit), F.lit(False))
+
+    def counted(p):
+        comparable = F.filter(p["rules"], lambda r: F.array_contains(known, r["key"]))
+        return F.struct(p["pattern_id"].alias("pattern_id"), p["total"].alias("total"), F.size(comparable).alias("comparable"),
+                        F.filter(comparable, is_hit).alias("found"))
+
+    per_row = rows.select(*keys, values.alias("_values"), base.alias("_base")).select(
+        *keys, F.explode(F.filter(F.transform("_base", counted), lambda p: F.size(p["found"]) > 0)).alias("p"))
+    return per_row.select(*keys, "p.pattern_id", "p.total", "p.comparable", F.size("p.found").alias("hits"),
+                          F.sort_array(F.col("p.found.key")).alias("matched_features"))
 
 
 def triggers_indicator_edges(windows: DataFrame, patterns: DataFrame, min_score: float = 0.5, min_hits: int = 1) -> DataFrame:
@@ -250,8 +259,9 @@ def searchable_text(nodes: DataFrame) -> DataFrame:
     props = F.col("props")
     fields = ["name", "technique_id", "attack_name", "id", "description"]
     text = F.lower(F.concat_ws(" ", "key", "label", *[F.coalesce(props[f], F.lit("")) for f in fields]))
+    parts = F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in (F.col("key"), F.col("label"), *[props[f] for f in fields])])
     about = F.lower(F.concat_ws(" ", F.coalesce(props["name"], F.lit("")), F.coalesce(props["description"], F.lit(""))))
-    return nodes.filter(F.col("type").isin(SEARCH_TYPES)).withColumns({"text": text, "about": about})
+    return nodes.filter(F.col("type").isin(SEARCH_TYPES)).withColumns({"text": text, "parts": parts, "about": about})
 
 
 def type_bonus(kind: Column, table: dict) -> Column:
@@ -268,11 +278,13 @@ def keyword_search(nodes: DataFrame, query: str) -> DataFrame:
     keywords = [w for w in q.split() if w not in vocab.GRAPH_STOP_WORDS and len(w) > 2]
     expanded = list(dict.fromkeys(keywords + [s for w in keywords for s in vocab.GRAPH_SYNONYMS.get(w, [])]))
     rows = searchable_text(nodes)
+    # a candidate holds the query in one of its fields; the joined text counts for the score only
     full = F.col("text").contains(q)
+    inside = F.exists("parts", lambda p: F.contains(p, F.lit(q)))
     some = any_contains(F.col("about"), expanded) if expanded else F.lit(False)
     bonus = type_bonus(F.col("type"), vocab.GRAPH_TYPE_BONUS)
     hits = reduce(lambda a, b: a + b, [F.col("text").contains(t).cast("int") for t in tokens], F.lit(0))
-    return (rows.filter(full | some)
+    return (rows.filter(inside | some)
             .withColumn("score", F.when(full, 1000 + bonus).otherwise(bonus + 60 * hits))
             .select("id", "type", "key", "label", "score").orderBy(F.desc("score"), "id"))
 
@@ -282,7 +294,10 @@ def search_summary(matches: DataFrame, edges: DataFrame, top_types: int = 3, fir
     per_type = matches.groupBy("type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "type").limit(top_types)
     shown = matches.orderBy(F.desc("score"), "id").limit(first)
     focus = matches.orderBy(F.desc("score"), "id").limit(1)
-    degree = expand_all(edges).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    # only the focus's own edges are expanded
+    near = edges.join(focus.select(F.col("id").alias("src")), "src", "left_semi").unionByName(
+        edges.join(focus.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    degree = expand_all(near).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     rows = [
         per_type.select(F.lit("type").alias("part"), F.col("type").alias("item"), F.col("n").alias("value")),
         shown.select(F.lit("match").alias("part"), F.col("id").alias("item"), F.col("score").cast("long").alias("value")),

@@ -230,10 +230,14 @@ def _(spark, sf):
     return tab.read_window_labels_csv(spark, path)
 
 
-@query("dataset_status")
+@query("dataset_status", " UNION ALL ".join(
+    f"SELECT '{n}' AS dataset, true AS \"exists\", (SELECT count(*) FROM {n}) AS rows, false AS ready"
+    for n in ("events", "documents", "embeddings", "orders", "lineitem"))
+    + " UNION ALL SELECT 'absent', false, 0, false")
 def _(spark, sf):
     names = ["events", "documents", "embeddings", "orders", "lineitem"]
-    return tab.dataset_status(spark, {n: f"{sf}/{n}.parquet" for n in names} | {"absent": f"{sf}/absent.parquet"})
+    found = tab.dataset_status(spark, {n: f"{sf}/{n}.parquet" for n in names} | {"absent": f"{sf}/absent.parquet"})
+    return found.select("dataset", "exists", "rows", "ready")
 
 
 # --- window features ---------------------------------------------------------

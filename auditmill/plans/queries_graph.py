@@ -75,9 +75,12 @@ def _(spark, sf):
 
 
 def vectors(spark, sf):
-    """Stored vectors by number: the alert of user-n takes vector n, pattern i takes vector i."""
+    """Stored vectors by number: the alert of user-n takes vector n, pattern i takes vector i.
+
+    Numbers beyond the last vector begin again, so that no alert is left without one.
+    """
     pts = adapter.points(spark, sf).select("id", "vector")
-    number = F.expr("cast(substr(user_name, 6) as bigint)")
+    number = F.pmod(F.expr("cast(substr(user_name, 6) as bigint)"), pts.agg(F.count(F.lit(1))).scalar())
     al = adapter.alerts(spark, sf)
     alert_vectors = al.select("user_name", "window", number.alias("id")).join(pts, "id").drop("id")
     ids = spark.createDataFrame([(p[0], i) for i, p in enumerate(kb.PATTERNS)], "pattern_id string, id long")
@@ -87,7 +90,7 @@ def vectors(spark, sf):
 _ids = ", ".join(f"('{p[0]}', {i})" for i, p in enumerate(kb.PATTERNS))
 fragment("q_cos", f"""
 SELECT b.*, (list_cosine_similarity(x.v, y.v) + 1.0) / 2.0 AS s FROM q_best b
-JOIN q_pt x ON x.id = CAST(substr(b.user_name, 6) AS BIGINT)
+JOIN q_pt x ON x.id = CAST(substr(b.user_name, 6) AS BIGINT) % (SELECT count(*) FROM q_pt)
 JOIN (VALUES {_ids}) p(pattern_id, id) ON p.pattern_id = b.pattern_id JOIN q_pt y ON y.id = p.id""")
 
 
@@ -180,8 +183,8 @@ def _(spark, sf):
     return similar(spark, sf)
 
 
-fragment("q_docv", "SELECT d.doc_id AS id, d.text, p.v FROM documents d JOIN q_pt p ON p.id = d.doc_id")
-fragment("q_uid", "SELECT DISTINCT CAST(substr(user_name, 6) AS BIGINT) AS id FROM q_al")
+fragment("q_docv", "SELECT d.doc_id AS id, d.text, p.v FROM documents d JOIN q_pt p ON p.id = d.doc_id % (SELECT count(*) FROM q_pt)")
+fragment("q_uid", "SELECT DISTINCT CAST(substr(user_name, 6) AS BIGINT) % (SELECT count(*) FROM q_pt) AS id FROM q_al")
 fragment("q_ti", """
 SELECT q.id, p.id AS document_id, list_cosine_similarity(x.v, p.v) AS sim, substr(p.text, 1, 300) AS content,
   row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(x.v, p.v) DESC, p.id) AS rank
@@ -190,10 +193,13 @@ FROM q_uid q JOIN q_pt x ON x.id = q.id CROSS JOIN q_docv p QUALIFY rank <= 4"""
 
 @query("threat_intel_search", f"""
 SELECT a.user_name, a.{W}, t.document_id, t.rank, t.content, round(t.sim, 3) AS similarity
-FROM q_al a JOIN q_ti t ON t.id = CAST(substr(a.user_name, 6) AS BIGINT)""")
+FROM q_al a JOIN q_ti t ON t.id = CAST(substr(a.user_name, 6) AS BIGINT) % (SELECT count(*) FROM q_pt)""")
 def _(spark, sf):
     _al, pts, av, _pv = vectors(spark, sf)
-    docs = adapter.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document")).join(pts, "id")
+    # every document has a vector, those beyond the last one begin again
+    number = F.pmod(F.col("doc_id"), pts.agg(F.count(F.lit(1))).scalar()).alias("number")
+    docs = adapter.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), number)
+    docs = docs.join(pts.withColumnRenamed("id", "number"), "number").drop("number")
     return en.threat_intel_search(av, docs)
 
 
@@ -448,7 +454,7 @@ SELECT id, type, key, label, CASE WHEN contains(text, '{QUESTION}') THEN 1000 +
 FROM (SELECT *, lower(key || ' ' || label || ' ' || name || ' ' || attack_name) AS text,
   CASE type WHEN 'MITRETechnique' THEN 500 WHEN 'DetectionPattern' THEN 400 WHEN 'Playbook' THEN 300 WHEN 'Window' THEN 200 WHEN 'User' THEN 100 ELSE 0 END AS bonus
   FROM q_nodes WHERE type <> 'AWSService')
-WHERE contains(text, '{QUESTION}') OR contains(lower(name), 'mass') OR contains(lower(name), 'deletion') OR contains(lower(name), 'playbook')
+WHERE contains(lower(key), '{QUESTION}') OR contains(lower(label), '{QUESTION}') OR contains(lower(name), '{QUESTION}') OR contains(lower(attack_name), '{QUESTION}') OR contains(lower(name), 'mass') OR contains(lower(name), 'deletion') OR contains(lower(name), 'playbook')
   OR contains(lower(name), 'response') OR contains(lower(name), 'procedure') OR contains(lower(name), 'runbook')""")
 
 

@@ -359,9 +359,10 @@ def _(spark, sf):
 
 
 @query("filter_options", """
-SELECT DISTINCT 'user' AS kind, user_name AS value FROM q_al UNION ALL SELECT DISTINCT 'attack_type', attack_name FROM q_al""")
+SELECT DISTINCT 'user' AS kind, user_name AS value FROM q_al UNION ALL SELECT DISTINCT 'attack_type', attack_name FROM q_al
+UNION ALL SELECT DISTINCT 'technique', key || ': ' || name FROM q_kbn WHERE type = 'MITRETechnique'""")
 def _(spark, sf):
-    return al.filter_options(adapter.alerts(spark, sf))
+    return al.filter_options(adapter.alerts(spark, sf), adapter.kb_tables(spark, sf)["techniques"])
 
 
 @query("overview_stats", f"""

@@ -320,20 +320,28 @@ def _(spark, sf):
 @query("read_knowledge_base", """
 SELECT 'pattern' AS kind, 'IOC-SUP-' || s_suppkey AS id, s_name AS name FROM supplier
 UNION ALL SELECT 'playbook', 'IR-PART-' || p_partkey, p_name FROM part
-UNION ALL SELECT 'relation', 'T' || (1000 + n_nationkey), 'IOC-SUP-' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+UNION ALL SELECT 'technique', 'T' || (1000 + n_nationkey), n_name FROM nation
+UNION ALL SELECT 'service', 'Zone ' || r_name, 'High' FROM region
+UNION ALL SELECT 'detected-by', 'T' || (1000 + n_nationkey), 'IOC-SUP-' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT DISTINCT 'triggers', 'IOC-SUP-' || l_suppkey, 'IR-PART-' || l_partkey FROM lineitem
+UNION ALL SELECT 'Affects', 'T' || (1000 + n_nationkey), 'Zone ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'often enables', 'T' || (1000 + n_nationkey), 'T' || (1005 + n_nationkey) FROM nation
+UNION ALL SELECT 'buys', 'IOC-SUP-' || c_custkey, 'IR-PART-' || c_custkey FROM customer""")
 def _(spark, sf):
     t = adapter.kb_tables(spark, sf)
     blank = t["patterns"].withColumn("pattern_id", F.lit(""))  # rows without an id are dropped on reading
     out = None
-    for kind, key, rows in (("pattern", "pattern_id", t["patterns"].unionByName(blank)), ("playbook", "playbook_id", t["playbooks"])):
+    for kind, key, rows in (("pattern", "pattern_id", t["patterns"].unionByName(blank)), ("playbook", "playbook_id", t["playbooks"]),
+                            ("technique", "technique_id", t["techniques"]), ("service", "service_name", t["services"])):
         path = scratch_path(spark, f"kb-{kind}")
         write_documents(rows, path)
-        one = tab.read_knowledge_base(spark, path, kind).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "name")
+        one = tab.read_knowledge_base(spark, path, kind).select(
+            F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col("security_sensitivity" if kind == "service" else "name").alias("name"))
         out = one if out is None else out.unionByName(one)
     path = scratch_path(spark, "kb-relations")
-    write_documents(t["relations"].filter("relationship = 'detected-by'"), path, "relationships")
+    write_documents(t["relations"], path, "relationships")
     rel = tab.read_relations(spark, path)
-    return out.unionByName(rel.select(F.lit("relation").alias("kind"), F.col("source_entity").alias("id"), F.col("target_entity").alias("name")))
+    return out.unionByName(rel.select(F.col("relationship").alias("kind"), F.col("source_entity").alias("id"), F.col("target_entity").alias("name")))
 
 
 # --- evaluation: ranking -----------------------------------------------------
@@ -502,14 +510,14 @@ FROM (SELECT conv_id, turn, role, 'user-' || conv_id AS "user", '0.' || (turn +
 
 
 @query("read_reports", """
-SELECT count(*) AS reports, CAST(sum(length(content)) AS BIGINT) AS chars FROM (SELECT conv_id, turn // 20 AS part, '=====' || chr(10) || string_agg("full", '' ORDER BY turn) || chr(10) AS content
+SELECT md5(content) AS content, length(content) AS chars, CAST(NULL AS VARCHAR) AS timestamp FROM (SELECT conv_id, turn // 20 AS part, '=====' || chr(10) || string_agg("full", '' ORDER BY turn) || chr(10) AS content
   FROM q_inc GROUP BY 1, 2)""")
 def _(spark, sf):
     path = scratch_path(spark, "reports")
     reports(spark, sf).select(F.concat(F.lit("incident_report_"), "report").alias("name"), "content").write.partitionBy("name").option(
         "maxRecordsPerFile", 1).text(path)
     back = tab.read_reports(spark, path, glob="part-*.txt")
-    return back.agg(F.count(F.lit(1)).alias("reports"), F.sum(F.length("content")).alias("chars"))
+    return back.select(F.md5("content").alias("content"), F.length("content").alias("chars"), "timestamp")
 
 
 @query("parse_incidents", 'SELECT key, "user", score, md5(header) AS header, md5(llm) AS llm, md5("full") AS "full" FROM q_inc')
@@ -550,6 +558,15 @@ def _(spark, sf):
     return out.select("key", *[F.round(c, 6).alias(c) for c in ("faithfulness", "answer_relevance", "context_utilization")])
 
 
+@query("citation_metrics_mean", """
+SELECT count(*) AS incidents, round(avg(faithfulness), 6) AS faithfulness, round(avg(answer_relevance), 6) AS answer_relevance,
+  round(avg(context_utilization), 6) AS context_utilization FROM q_cite""")
+def _(spark, sf):
+    names = ["faithfulness", "answer_relevance", "context_utilization"]
+    out = ev.mean_metrics(ev.citation_metrics(incidents(spark, sf)), names)
+    return out.select("incidents", *[F.round(c, 6).alias(c) for c in names])
+
+
 fragment("q_truth", 'SELECT user_name AS "user", arg_max(attack_name, (ensemble_score, -epoch_us(w))) AS truth FROM q_al GROUP BY 1')
 fragment("q_terms", sql_values([(a, t) for a, ts in vocab.EXPECTED_TERMS.items() for t in ts], ["attack", "term"]))
 
