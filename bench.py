@@ -23,6 +23,7 @@ HEADLINE = [
     "roc_auc", "compare_models", "alert_table", "overview_stats", "event_context", "best_pattern_match", "match_via_bridge",
     "similar_incidents", "event_graph", "triggers_indicator_edges", "knowledge_edges", "trace_path", "semantic_search",
     "entity_focus", "parse_incidents", "citation_metrics", "stream_window_counts",
+    "read_audit_json", "enriched_alerts", "analyst_prompt", "incident_report_text",
 ]
 
 
