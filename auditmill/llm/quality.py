@@ -130,14 +130,25 @@ def log_ratios(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(counts[0, k]), pa.array(counts[1, k])], names=["bucket", "raw", "target"])
 
     parts = python_ready(docs.select("text", "_accepted", "_fold")).mapInArrow(run, "bucket long, raw long, target long")
-    table = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # a row per bucket at most
-    raw, target = np.zeros(GRAMS + PAIRS), np.zeros(GRAMS + PAIRS)
-    raw[table["bucket"]], target[table["bucket"]] = table["raw"], table["target"]
+    table = materialize(parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "ngrams")
+    share = np.zeros(2)
+    for r in table.groupBy((F.col("bucket") >= GRAMS).cast("int").alias("part")).agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
+        share[r.part] = r.target / r.raw
+
+    def pack(batches):
+        """A batch of buckets as two binaries: little goes to the driver, and nothing row by row."""
+        prior = np.array([GRAM_PRIOR, PAIR_PRIOR])
+        for batch in batches:
+            bucket, raw, target = (batch[c].to_numpy() for c in ("bucket", "raw", "target"))
+            part = (bucket >= GRAMS).astype(int)
+            told = share[part] > 0
+            bucket, raw, target, part = bucket[told], raw[told], target[told], part[told]
+            ratio = np.log((target + prior[part] * share[part]) / (share[part] * (raw + prior[part])))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket.astype("<u4").tobytes()]), pa.array([ratio.astype("<f4").tobytes()])], names=["bucket", "ratio"])
+
     out = np.zeros(GRAMS + PAIRS, np.float32)
-    for part, prior in ((slice(0, GRAMS), GRAM_PRIOR), (slice(GRAMS, None), PAIR_PRIOR)):
-        share = target[part].sum() / max(1.0, raw[part].sum())
-        if share:
-            out[part] = np.log((target[part] + prior * share) / (share * (raw[part] + prior)))
+    for r in python_ready(table).mapInArrow(pack, "bucket binary, ratio binary").toLocalIterator():  # eight bytes a bucket
+        out[np.frombuffer(r.bucket, "<u4")] = np.frombuffer(r.ratio, "<f4")
     return out
 
 
