@@ -18,6 +18,7 @@ from auditmill.llm.common import dense_rank_in, utf8_bytes
 from auditmill.session import materialize
 
 CELL = 50_000  # rows that are numbered together
+SETTLED = 0.002  # the share of linked documents that two rounds must move to go on
 
 
 def _uniform(*columns):
@@ -28,8 +29,9 @@ def _uniform(*columns):
 def propagate(state: DataFrame, target: list[int], rounds: int) -> DataFrame:
     """Move members of ``state(grp, shard, n)`` towards their groups' fullest shards.
 
-    Rounds take turns: moves into shards with room, then exchanges between pairs of shards.  The
-    quotas come from sums per pair of shards (at most shards x shards rows on the driver).
+    Rounds take turns: moves into shards with room, then exchanges between pairs of shards.  It ends
+    when a round of either kind moves next to nothing.  The quotas come from sums per pair of
+    shards (at most shards x shards rows on the driver).
     """
     idle = 0
     for i in range(rounds):
@@ -49,12 +51,12 @@ def propagate(state: DataFrame, target: list[int], rounds: int) -> DataFrame:
             into[t] = into.get(t, 0) + n
         share = {k: min(1.0, (asked.get(k[::-1], 0) / n) if exchange else room[k[1]] / into[k[1]]) for k, n in asked.items()}
         pairs = [F.lit(x) for k, v in share.items() for x in (f"{k[0]} {k[1]}", v)]
-        if not pairs or not any(share.values()):
-            idle += 1
-            if idle == 2:
-                break
+        moves = sum(n * share[k] for k, n in asked.items())
+        idle = idle + 1 if moves <= SETTLED * sum(load.values()) else 0
+        if idle == 2:
+            break
+        if not moves:
             continue
-        idle = 0
         quota = F.coalesce(F.create_map(*pairs)[F.concat_ws(" ", "shard", "to")], F.lit(0.0))
         moved = wish.withColumn("m", F.when(F.col("to").isNull(), 0).otherwise(
             F.least("n", F.floor(F.col("n") * quota + _uniform("grp", "shard", F.lit(i)) * (quota < 1).cast("int")))))
