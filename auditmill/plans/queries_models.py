@@ -208,6 +208,36 @@ def _(spark, sf):
     return rounded(out, ["ae_score", *NORMS, "ensemble_score"])
 
 
+@query("forest_selection")
+def _(spark, sf):
+    """Five contaminations times two tree counts over the scaled features."""
+    train, rows = scaled(spark, sf)
+    table, _scored = md.forest_selection(train, rows)
+    return table.select("trees", "contamination", F.round("threshold", 6).alias("threshold"), "tp", "fp", F.round("f1", 6).alias("f1"), "best")
+
+
+@query("scored_pipeline")
+def _(spark, sf):
+    """All windows by forest, neighbour density and reconstruction over the feature matrix, fused.
+
+    The best (trees, contamination) is applied to the forest; the other models take their best
+    percentile and a fixed contamination.
+    """
+    train, rows = scaled(spark, sf)
+    table, scored = md.forest_selection(train, rows)
+    best = table.filter("best").select("trees", "threshold").first()
+    forest = scored[best.trees].select(*sc.KEYS, F.col("score").alias("if_score"), (F.col("score") > best.threshold).cast("int").alias("if_pred"))
+    density = materialize(md.lof_score(train, rows, 20).join(rows.select("id", *sc.KEYS, "is_attack"), "id"), "lof")
+    cut = sc.best_f1_threshold(density, vocab.MODEL_PERCENTILES, "score").select("threshold").scalar()
+    density = density.select(*sc.KEYS, F.col("score").alias("lof_score"), (F.col("score") >= cut).cast("int").alias("lof_pred"))
+    rebuilt = materialize(md.reconstruction_error(rows, md.autoencoder_fit(train)), "rebuilt")
+    limit = md.contamination_threshold(rebuilt.filter("not is_attack"), 0.05)
+    rebuilt = md.apply_threshold(rebuilt, limit).select(*sc.KEYS, F.col("score").alias("ae_score"), F.col("pred").alias("ae_pred"))
+    out = sc.ensemble_scores(forest, density, rebuilt, features(spark, sf))
+    return rounded(out.select(*sc.KEYS, "if_pred", "lof_pred", "ae_pred", *NORMS, "ensemble_score", "vote_count", "majority_vote", "ensemble_pred", "is_attack"),
+                   [*NORMS, "ensemble_score"])
+
+
 ALERT_OUT = f"""SELECT user_name, {W}, round(ensemble_score, 6) AS ensemble_score, {R6(NORMS)}, vote_count,
   attack_name, is_attack FROM q_al"""
 

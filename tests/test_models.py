@@ -133,3 +133,24 @@ def test_metrics_on_zero_denominators(spark):
     m = sc.binary_metrics(df, F.col("pred") == 1, F.col("is_attack")).first()
     assert (m.precision, m.recall, m.f1, m.false_positive_rate, m.true_negatives) == (0.0, 0.0, 0.0, 0.0, 3)
     assert sc.per_attack_detection(df, "pred").count() == 0
+
+
+def test_scored_pipeline_fuses_the_three_models(spark):
+    import os
+
+    import pytest
+
+    import __spark_entry__ as entry
+    from auditmill import vocab
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not here")
+    grid = entry.queries()["forest_selection"](spark, sf).collect()
+    assert len(grid) == len(vocab.TREE_GRID) * len(vocab.CONTAMINATION_GRID) and sum(r.best for r in grid) == 1
+    assert max(r.f1 for r in grid) == next(r.f1 for r in grid if r.best)
+    rows = entry.queries()["scored_pipeline"](spark, sf).collect()
+    assert len(rows) == entry.queries()["feature_matrix"](spark, sf).count()
+    for r in rows:
+        total = sum(w * r[f"{m}_norm"] for m, w in vocab.ENSEMBLE_WEIGHTS.items())
+        assert abs(total - r.ensemble_score) < 1e-5
+        assert r.vote_count == r.if_pred + r.lof_pred + r.ae_pred and r.majority_vote == int(r.vote_count >= 2)
