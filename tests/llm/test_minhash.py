@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from auditmill.llm import minhash
+from auditmill.llm import minhash, queries
+from tools.check import compare, connect
 
 
 def brute(rows, width, percent):
@@ -86,3 +87,8 @@ def test_odd_rows(spark):
     got = sorted(map(tuple, minhash.near_duplicates(df, width=4).collect()), key=str)
     assert got == sorted([(5, 2, 5, True), (5, 2, 5, True), (None, 2, 5, False), (None, 2, None, False), (9, 3, 9, True), (None, 0, None, False)], key=str)
     assert minhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    assert compare(queries.QUERIES["op7_minhash"](spark, sf), connect(sf), queries.ORACLES["op7_minhash"]) is None
