@@ -74,11 +74,14 @@ def describe(rows: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> Da
         "cell", F.xxhash64(F.octet_length("unit"), F.array_sort("near")))
 
 
-def in_blocks(rows: DataFrame, by: list[str], size: DataFrame, ident: str) -> DataFrame:
-    """Deal each group of ``rows`` to blocks of about ``BLOCK`` and those to pairs of blocks (lo, hi), own block in ``own``."""
+def in_blocks(rows: DataFrame, by: list[str], size: DataFrame, ident: str, wide: DataFrame) -> DataFrame:
+    """Deal each group of ``rows`` to blocks of about ``BLOCK`` and those to pairs of blocks (lo, hi), own block in ``own``.
+
+    The columns of ``wide`` are joined by ``ident`` only to the rows that are dealt.
+    """
     n = F.ceil(F.col("_size") / BLOCK)
     dealt = rows.join(size, by).withColumn("own", F.pmod(F.xxhash64(ident), n)).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
-    cells = dealt.withColumns({"lo": F.least("own", "_other"), "hi": F.greatest("own", "_other")}).drop("_size", "_other")
+    cells = dealt.withColumns({"lo": F.least("own", "_other"), "hi": F.greatest("own", "_other")}).drop("_size", "_other").join(wide, ident)
     return cells.repartition(*by, "lo", "hi").sortWithinPartitions(*by, "lo", "hi")
 
 
@@ -96,7 +99,7 @@ def ball_pairs(balls: DataFrame, shared: int, theta: float) -> DataFrame:
     short = F.xxhash64(F.col("dim"), F.lit("short"))
     listed = balls.withColumn("sorted", F.concat(F.array_sort("near"), F.array_repeat(F.lit(-1).cast("long"), 16)))
     lists = F.when(F.size("near") < shared, F.array(short)).otherwise(F.array_distinct(F.array(*(key_columns(near_size) or [short]))))
-    rows = listed.select("ball", "radius", "unit", F.explode(lists).alias("list"))
+    rows = listed.select("ball", F.explode(lists).alias("list"))
     size = rows.groupBy("list").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
 
     def run(batches):
@@ -116,13 +119,13 @@ def ball_pairs(balls: DataFrame, shared: int, theta: float) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], names=["a", "b", "sure"])
 
-    return python_ready(in_blocks(rows, ["list"], size, "ball")).mapInArrow(run, "a long, b long, sure boolean").distinct()
+    return python_ready(in_blocks(rows, ["list"], size, "ball", balls.select("ball", "radius", "unit"))).mapInArrow(run, "a long, b long, sure boolean").distinct()
 
 
 def compare_members(pairs: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
     """Links between the members of undecided pairs of balls: (a, b, row, n), counted per member and block."""
     sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("ball")), F.struct(F.lit(1).alias("side"), F.col("b").alias("ball")))).alias("s"))
-    rows = sides.select("a", "b", "s.side", "s.ball").join(members, "ball").select("a", "b", "side", "row", "unit")
+    rows = sides.select("a", "b", "s.side", "s.ball").join(members.select("ball", "row"), "ball").select("a", "b", "side", "row")
     size = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_size"))
 
     def run(batches):
@@ -139,7 +142,7 @@ def compare_members(pairs: DataFrame, members: DataFrame, cosine: float) -> Data
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a] * len(found)), pa.array([b] * len(found)), pa.array(list(found)), pa.array(list(found.values()))], names=["a", "b", "row", "n"])
 
-    return python_ready(in_blocks(rows, ["a", "b"], size, "row")).mapInArrow(run, "a long, b long, row long, n long")
+    return python_ready(in_blocks(rows, ["a", "b"], size, "row", members.select("row", "unit"))).mapInArrow(run, "a long, b long, row long, n long")
 
 
 def reference_points(sample: list[np.ndarray], dim: int, n: int, theta: float) -> np.ndarray:
