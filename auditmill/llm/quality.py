@@ -1,6 +1,6 @@
 """Quality filter by importance resampling with hashed n-gram models.
 
-Two generative models over hashed n-grams (characters inside a line of text, and pairs of words),
+Two generative models over hashed n-grams (bytes inside a line of text, pairs of words and begins of words),
 one of the target text (documents that the labels accept) and one of the raw text (all documents),
 give each document a log importance weight.  A document is as good as its worst passage: the weight
 is the least log ratio of any ``PASSAGE`` consecutive bytes, so a few foul words are not outweighed
@@ -25,11 +25,13 @@ from auditmill.llm.common import dense_rank_in, mix, python_ready
 from auditmill.session import materialize
 
 GRAM = 5  # bytes
-GRAMS, PAIRS = 1 << 18, 1 << 19  # buckets
-TOGETHER = 1 << 20  # bytes of text that are worked on at a time
+HEADS = (5, 7)  # bytes at the begin of a word
+GRAMS, PAIRS, BEGINS = 1 << 18, 1 << 19, 1 << 18  # buckets
+TOGETHER = 1 << 19  # bytes of text that are worked on at a time
 PASSAGE = 32  # bytes
 #: Counts at which the evidence of a bucket weighs half: rare n-grams say little.
-GRAM_PRIOR, PAIR_PRIOR = 20.0, 5.0
+PRIORS = np.array([20.0, 5.0, 20.0])
+EDGES = np.array([0, GRAMS, GRAMS + PAIRS, GRAMS + PAIRS + BEGINS])
 LABELLED = 200_000  # labels that are used at most
 FOLDS = 4  # one of them sets the cut
 BASE = 0x9E3779B97F4A7C15
@@ -74,11 +76,13 @@ class Text:
         before = np.concatenate([np.zeros(1, np.uint64), word[:-1]])[: len(word)]
         before[np.concatenate([[True], self.owner[1:] != self.owner[:-1]])[: len(word)]] = 0
         self.pairs = (mix(before * np.uint64(BASE) + word) % np.uint64(PAIRS)).astype(np.int64)
+        stop = edges[words + 1]
+        self.begins = [(mix((sums[np.minimum(first + k, stop)] - sums[first]) * back[first] + np.uint64(k)) % np.uint64(BEGINS)).astype(np.int64) for k in HEADS]
 
     def weights(self, ratio: np.ndarray) -> np.ndarray:
-        """Least sum over a passage of each text; ``ratio`` holds the grams' buckets, then the pairs'."""
+        """Least sum over a passage of each text; ``ratio`` holds the buckets of grams, of pairs and of begins."""
         each = ratio[self.grams].astype(np.float64)
-        each[self.start] += ratio[GRAMS + self.pairs]
+        each[self.start] += ratio[GRAMS + self.pairs] + sum(ratio[GRAMS + PAIRS + b] for b in self.begins)
         total = np.concatenate([np.zeros(1), np.cumsum(each)])
         size = np.diff(self.at)
         last = np.minimum(np.arange(len(each)) + PASSAGE, np.repeat(self.at[1:], size))
@@ -115,15 +119,18 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def log_ratios(docs: DataFrame) -> np.ndarray:
     """Log of target over raw probability for each bucket, from counts over all ``docs(text, _accepted, _fold)``."""
     def run(batches):
-        counts = np.zeros((2, GRAMS + PAIRS), np.int64)
+        counts = np.zeros((2, EDGES[-1]), np.int64)
         for batch in batches:
             target = np.array([bool(a) and f != 0 for a, f in zip(batch["_accepted"].to_pylist(), batch["_fold"].to_pylist(), strict=True)])
             for first, part in groups(batch["text"].to_pylist()):
                 t, good = Text(part), target[first:first + len(part)]
                 inside = np.repeat(good, np.diff(t.at))
-                for row, grams, pairs in ((0, t.grams, t.pairs), (1, t.grams[inside], t.pairs[good[t.owner]])):
-                    counts[row, :GRAMS] += np.bincount(grams, minlength=GRAMS)
-                    counts[row, GRAMS:] += np.bincount(pairs, minlength=PAIRS)
+                told = good[t.owner]
+                for row, grams, words in ((0, slice(None), slice(None)), (1, inside, told)):
+                    counts[row, : EDGES[1]] += np.bincount(t.grams[grams], minlength=GRAMS)
+                    counts[row, EDGES[1]: EDGES[2]] += np.bincount(t.pairs[words], minlength=PAIRS)
+                    for begins in t.begins:
+                        counts[row, EDGES[2]:] += np.bincount(begins[words], minlength=BEGINS)
         seen = np.flatnonzero(counts[0])
         for a in range(0, len(seen), 1 << 16):
             k = seen[a:a + (1 << 16)]
@@ -131,22 +138,22 @@ def log_ratios(docs: DataFrame) -> np.ndarray:
 
     parts = python_ready(docs.select("text", "_accepted", "_fold")).mapInArrow(run, "bucket long, raw long, target long")
     table = materialize(parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "ngrams")
-    share = np.zeros(2)
-    for r in table.groupBy((F.col("bucket") >= GRAMS).cast("int").alias("part")).agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
+    share = np.zeros(3)
+    part_of = sum((F.col("bucket") >= int(e)).cast("int") for e in EDGES[1:-1])
+    for r in table.groupBy(part_of.alias("part")).agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         share[r.part] = r.target / r.raw
 
     def pack(batches):
         """A batch of buckets as two binaries: little goes to the driver, and nothing row by row."""
-        prior = np.array([GRAM_PRIOR, PAIR_PRIOR])
         for batch in batches:
             bucket, raw, target = (batch[c].to_numpy() for c in ("bucket", "raw", "target"))
-            part = (bucket >= GRAMS).astype(int)
+            part = np.searchsorted(EDGES[1:-1], bucket, side="right")
             told = share[part] > 0
             bucket, raw, target, part = bucket[told], raw[told], target[told], part[told]
-            ratio = np.log((target + prior[part] * share[part]) / (share[part] * (raw + prior[part])))
+            ratio = np.log((target + PRIORS[part] * share[part]) / (share[part] * (raw + PRIORS[part])))
             yield pa.RecordBatch.from_arrays([pa.array([bucket.astype("<u4").tobytes()]), pa.array([ratio.astype("<f4").tobytes()])], names=["bucket", "ratio"])
 
-    out = np.zeros(GRAMS + PAIRS, np.float32)
+    out = np.zeros(EDGES[-1], np.float32)
     for r in python_ready(table).mapInArrow(pack, "bucket binary, ratio binary").toLocalIterator():  # eight bytes a bucket
         out[np.frombuffer(r.bucket, "<u4")] = np.frombuffer(r.ratio, "<f4")
     return out

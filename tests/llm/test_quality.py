@@ -48,13 +48,13 @@ def test_keys_are_gumbel_and_the_largest_are_kept(spark):
 
 def test_weight_is_that_of_the_worst_passage():
     rng = np.random.default_rng(0)
-    ratio = rng.normal(size=quality.GRAMS + quality.PAIRS)
+    ratio = rng.normal(size=quality.EDGES[-1])
     texts = [b"", b"a", b"short text", b"x" * 31, b"y z " * 200, "é ü".encode() * 40]
     t = quality.Text(texts)
     for text, w in zip(texts, t.weights(ratio)):
         one = quality.Text([text])
         each = ratio[one.grams].copy()
-        each[one.start] += ratio[quality.GRAMS + one.pairs]
+        each[one.start] += ratio[quality.GRAMS + one.pairs] + sum(ratio[quality.EDGES[2] + b] for b in one.begins)
         want = min(each[i:i + quality.PASSAGE].sum() for i in range(len(each))) if text else 0
         assert abs(w - want) < 1e-3
     assert (quality.Text([b"ab cd"]).grams == quality.Text([b"zz zz", b"ab cd"]).grams[5:]).all()
