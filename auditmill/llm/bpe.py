@@ -33,8 +33,8 @@ STATES = "letter number other space blank ended suffix1 suffix2".split()
 #: The suffixes after an apostrophe that form a piece of their own.
 SUFFIXES = ["s", "t", "m", "d", "re", "ve", "ll"]
 SEPARATOR = 0x110000  # no character
-BLOCK, WINDOW = 64, 1 << 20
-CACHED_PIECES, CACHED_LENGTH, SHORT, UNKNOWN = 200_000, 48, 100, 1 << 40
+BLOCK, WINDOW = 64, 1 << 19
+CACHED_PIECES, CACHED_LENGTH, SHORT, UNKNOWN = 150_000, 48, 100, 1 << 40
 
 
 def _step(state: str, symbol: int) -> tuple[str, bool]:
@@ -275,24 +275,28 @@ def _with(df: DataFrame, made: list[T.StructField]) -> tuple[DataFrame, T.Struct
     return rest, T.StructType([*rest.schema.fields, *made])
 
 
-def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """Add ``ids`` and ``token_ends``: binaries of little-endian unsigned 32-bit integers.
 
     ``token_ends`` holds the byte offset in the UTF-8 text at which each token ends.  ``path``
-    is the rank file, readable on every executor.  The text column is kept.
+    is the rank file, readable on every executor.  The text column is kept.  With ``decoded``
+    the ids are decoded again in the same pass and their bytes added, as by :func:`decode`.
     """
-    made = [T.StructField("ids", T.BinaryType(), False), T.StructField("token_ends", T.BinaryType(), False)]
-    _, schema = _with(df, made)
+    made = [T.StructField(n, T.BinaryType(), False) for n in ("ids", "token_ends", *["decoded"] * decoded)]
+    rest, schema = _with(df, made)
+    kept = rest.columns
 
     def run(batches):
         for batch in batches:
             length = vocabulary(path)[2]
             ids = [x for group in _batches(batch[text].to_pylist()) for x in encode_texts(group, path)]
             ends = [np.cumsum(length[np.frombuffer(x, "<u4")]).astype("<u4").tobytes() if x else b"" for x in ids]
-            columns = [batch[n] for n in schema.names[:-2]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array(ends, pa.binary())], names=schema.names)
+            columns = [*[batch[n] for n in kept], pa.array(ids, pa.binary()), pa.array(ends, pa.binary())]
+            if decoded:
+                columns.append(pa.array([decode_ids(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), path) for a, b in zip(ids, ends, strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return python_ready(df.drop("ids", "token_ends")).mapInArrow(run, schema)
+    return python_ready(rest).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
@@ -310,6 +314,6 @@ def decode(df: DataFrame, path: str) -> DataFrame:
 
 def digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Encode and decode whole texts; keep counts and SHA-256 digests in place of the texts."""
-    both = decode(encode(df, path, text).drop(text), path)
+    both = encode(df, path, text, decoded=True).drop(text)
     made = {"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}
     return both.withColumns(made).drop("ids", "token_ends", "decoded")

@@ -29,7 +29,7 @@ MARK = "▁"
 LONGEST = 16  # characters of a piece, mark included; longer pieces of the vocabulary are not used
 SMOOTHING = 0.5  # added to each expected count
 START = 1e-3  # what each piece costs in the start model
-KNOWN_WORDS, TOGETHER = 200_000, 50_000
+KNOWN_WORDS, TOGETHER = 150_000, 20_000
 PART = 64  # characters after which a very long word is cut
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))

@@ -56,6 +56,8 @@ def test_columns_and_nulls(spark, oracle):
         ids = np.array(oracle.encode_ordinary(text), "<u4")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert bpe.digests(df.limit(0), PATH).count() == 0
+    apart = bpe.decode(bpe.encode(df, PATH), PATH).collect()
+    assert sorted(bytes(r.decoded).decode() for r in apart) == sorted(x[1] or "" for x in rows)
 
 
 def test_rank_file_is_read_whole():
