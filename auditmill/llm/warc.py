@@ -29,6 +29,7 @@ from auditmill.session import materialize, scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
+MOST_TASKS = 100_000
 #: The revisit profile for equal payloads.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = ("path string, offset long, record_type string, record_id string, refers_to_id string, target_uri string, "
@@ -172,7 +173,9 @@ def read(spark: SparkSession, archives: DataFrame, split_bytes: int = 64 << 20)
     """Records of ``archives(path, bytes)``: ``FIELDS``; the payload is what follows the HTTP header, empty for revisits."""
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     splits = archives.select("path", F.explode(starts).alias("start"), F.col("bytes"))
-    splits = splits.select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("stop")).repartition("path", "start")
+    # a task for each range, up to a bound: a stated number, as Spark would gather the few bytes that name them in one task
+    tasks = archives.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    splits = splits.select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("stop")).repartition(min(int(tasks), MOST_TASKS), "path", "start")
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
     def batch_of(rows):
