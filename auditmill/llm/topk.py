@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from auditmill.llm.common import python_ready
 from auditmill.session import materialize
 
-QUERIES_TOGETHER, CANDIDATES_TOGETHER = 1024, 100_000
+QUERIES_TOGETHER, CANDIDATES_TOGETHER, MOST_TASKS = 1024, 20_000, 100_000
 SEED_CANDIDATES, SAMPLE = 2_000, 4_096
 PAIRS = 1 << 20  # exact scores computed at a time
 
@@ -96,10 +96,13 @@ class Cell:
         return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
 
 
-def search_cells(rows: DataFrame, rotation: dict[int, np.ndarray], k: int) -> DataFrame:
-    """``rows(cell, kind, vec_id, x, length, to_beat)``: in each cell queries (kind 0), then candidates."""
+def search_cells(rows: DataFrame, rotation: dict[int, np.ndarray], k: int, tasks: int) -> DataFrame:
+    """``rows(cell, kind, vec_id, x, length, to_beat)``: in each cell queries (kind 0), then candidates.
+
+    ``tasks`` is stated, as the work of a cell is far larger than its bytes tell.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(rotation)  # one square matrix per vector length
-    rows = rows.repartition("cell").sortWithinPartitions("cell", "kind", F.desc("length"), "vec_id")
+    rows = rows.repartition(min(tasks, MOST_TASKS), "cell").sortWithinPartitions("cell", "kind", F.desc("length"), "vec_id")
 
     def run(batches):
         at, queries, cell = None, [], None
@@ -156,8 +159,8 @@ def top_k(vectors: DataFrame, is_query: str | Column, k: int = 5, scale: int = 2
         return left.unionByName(right).select(F.xxhash64("dim", "qg", "cg").alias("cell"), "kind", "vec_id", "x", "length", "to_beat")
 
     longest = rows.orderBy(F.desc("length"), "vec_id").limit(SEED_CANDIDATES)
-    seed = first_k(search_cells(cells(queries.withColumn("to_beat", lowest), longest, 1), rotation, k), k)
+    seed = first_k(search_cells(cells(queries.withColumn("to_beat", lowest), longest, 1), rotation, k, q_groups), k)
     beat = materialize(seed.filter(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("score").cast("double").alias("s")), "seed")
     asked = queries.join(beat, F.col("vec_id") == F.col("q"), "left").select("vec_id", "x", "length", "dim", F.coalesce("s", lowest).alias("to_beat"))
-    found = first_k(search_cells(cells(asked, rows, c_groups), rotation, k), k)
+    found = first_k(search_cells(cells(asked, rows, c_groups), rotation, k, q_groups * c_groups), k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
