@@ -36,8 +36,15 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mix the sources: every document at least once, small sources up to twice as often as large ones."""
-    return mixing.mix(docs, max_repetition=2.0).select(*COLUMNS)
+    """Mix the sources: every document at least once, small sources up to twice as often as large ones.
+
+    How often a document is used is found without its text, which is joined once.  Rows without
+    an id are used once.
+    """
+    used = mixing.mix(docs.filter("doc_id is not null").select("doc_id", "text", "source"), max_repetition=2.0)
+    times = used.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    named = docs.join(times, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
+    return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
