@@ -164,6 +164,15 @@ def similar(spark, sf):
     return en.similar_incidents(views.join(pts, "id").select("user_name", "window", "view", "vector"), pts)
 
 
+def incidents(spark, sf):
+    """What the stored points stand for as past incidents; the text is the document of the same number."""
+    total = F.lit(adapter.table(spark, sf, "documents").count())
+    docs = adapter.table(spark, sf, "documents").select(F.col("doc_id").alias("number"), F.col("text").alias("summary"))
+    attack = F.when(F.col("is_attack"), 1 + F.col("id") % 5).otherwise(F.lit(0))
+    return adapter.points(spark, sf).select("id", adapter.attack_name(attack).alias("attack_name"), F.pmod("id", total).alias("number")).join(
+        docs, "number", "left").select("id", "attack_name", "summary")
+
+
 fragment("q_view", """
 SELECT a.user_name, a.w, v.view, (CAST(substr(a.user_name, 6) AS BIGINT) + v.view) % (SELECT count(*) FROM q_pt) AS id
 FROM q_al a CROSS JOIN (VALUES (0), (1), (2)) v(view)""")
@@ -267,7 +276,7 @@ def enriched(spark, sf):
     def build():
         al, ft, ev = base(spark, sf)
         return en.enriched_alerts(al, ft, ev, kb.patterns(spark), kb.edges(spark), kb.techniques(spark),
-                                  kb.playbooks(spark), similar(spark, sf), **AROUND)
+                                  kb.playbooks(spark), similar(spark, sf), incidents(spark, sf), **AROUND)
     return adapter.stage(spark, sf, "enriched", build)
 
 

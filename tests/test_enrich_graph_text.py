@@ -6,7 +6,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from auditmill import knowledge as kb
+from auditmill import knowledge as kb, vocab
 from auditmill.operators import alerts as al, enrich as en, evaluate as ev, features as ft, graph as gr, text as tx
 from auditmill.streaming import pipeline as st
 
@@ -205,3 +205,33 @@ def test_trace_follows_chains_of_any_length(spark):
     ed = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", "E") for i in range(30)], "src string, dst string, type string")
     got = {r.node: (r.hops, r.target) for r in gr.trace_paths(nd, ed).collect()}
     assert got == {f"n{i:02d}": (i, "n00") for i in range(1, 31)}
+
+
+def small_document(spark, similar=None, **more):
+    """The nested document of one alert whose user made four events, with all that it takes."""
+    ev_ = small_events(spark, [0, 60, 120, 180])
+    feats = spark.createDataFrame([("u", W0, *[3.0] * len(vocab.KEY_FEATURES))], "user_name string, window timestamp, " + ", ".join(f"{c} double" for c in vocab.KEY_FEATURES))
+    past = spark.createDataFrame([("u", W0, i, 1 - i / 4, i) for i in (1, 2, 3)] if similar is None else similar,
+                                 "user_name string, window timestamp, incident_id int, similarity double, rank int")
+    known = spark.createDataFrame([(1, "data_exfiltration", "x" * 130), (2, "insider_threat", "short"), (3, "normal", "third")],
+                                  "id int, attack_name string, summary string")
+    return en.enriched_alerts(one_alert(spark, attack_name=""), feats, ev_, kb.patterns(spark), kb.edges(spark), kb.techniques(spark), kb.playbooks(spark),
+                              past, known, **more)
+
+
+def test_prompt_is_whole(spark):
+    closing = ("\nATTACK CLASSIFICATION: <one of: privilege_escalation | data_exfiltration | insider_threat | reconnaissance | backdoor_creation | unknown>"
+               "\n\nThen provide:\n1. Reasoning for your classification (2-3 sentences, cite specific MITRE technique IDs)\n2. Top 3 immediate actions for the analyst\n"
+               "3. Key investigation questions to confirm or rule out false positive\n4. Risk if unaddressed (1 sentence)\n\n"
+               "Be specific to AWS. Keep response under 400 words.")
+    past = "\n\nSIMILAR PAST INCIDENTS:\n  - data_exfiltration (similarity=0.75): " + "x" * 120 + "\n  - insider_threat (similarity=0.5): short\n\nYou MUST"
+    doc = small_document(spark)
+    text = en.analyst_prompt(doc).first().prompt
+    assert text.endswith(closing) and past in text and "third" not in text
+    report = en.incident_report_text(doc).first().text
+    assert "\nSIMILAR PAST INCIDENTS:\n  [data_exfiltration] similarity=0.75: " + "x" * 100 + "\n  [insider_threat] similarity=0.5: short\n─" in report
+    # an incident that is not described, and an alert without any
+    text = en.analyst_prompt(small_document(spark, [("u", W0, 9, 0.25, 1)])).first().prompt
+    assert "\n  - unknown (similarity=0.25): \n" in text
+    text = en.analyst_prompt(small_document(spark, [])).first().prompt
+    assert text.endswith(closing) and "SIMILAR" not in text
