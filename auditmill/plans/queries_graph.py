@@ -8,7 +8,8 @@ from auditmill import knowledge as kb, vocab
 from auditmill.operators import enrich as en, graph as gr
 from auditmill.plans import adapter
 from auditmill.plans.adapter import FINE_MINUTES
-from auditmill.plans.registry import fragment, query
+from auditmill.functions.scalars import fixed
+from auditmill.plans.registry import FRAGMENTS, fragment, query
 
 W = 'w AS "window"'
 AROUND = {"before": FINE_MINUTES, "after": FINE_MINUTES, "window_minutes": FINE_MINUTES}
@@ -204,6 +205,10 @@ FROM q_uid q JOIN q_pt x ON x.id = q.id CROSS JOIN q_docv p QUALIFY rank <= 4"""
 SELECT a.user_name, a.{W}, t.document_id, t.rank, t.content, round(t.sim, 3) AS similarity
 FROM q_al a JOIN q_ti t ON t.id = CAST(substr(a.user_name, 6) AS BIGINT) % (SELECT count(*) FROM q_pt)""")
 def _(spark, sf):
+    return threat_intel(spark, sf)
+
+
+def threat_intel(spark, sf):
     _al, pts, av, _pv = vectors(spark, sf)
     # every document has a vector, those beyond the last one begin again
     number = F.pmod(F.col("doc_id"), pts.agg(F.count(F.lit(1))).scalar()).alias("number")
@@ -272,12 +277,20 @@ SELECT a.user_name, a.w, 'User ' || a.user_name || ' flagged by ' || f.fired ||
 FROM q_al a JOIN q_fired5 f ON f.user_name = a.user_name AND f.w = a.w JOIN q_sig s ON s.user_name = a.user_name AND s.w = a.w""")
 
 
-def enriched(spark, sf):
+def enriched(spark, sf, graph=False):
+    """The stored documents: by event names and indicators, as the SQL of the text queries has it, or by
+    the stored graph with re-ranked patterns."""
     def build():
         al, ft, ev = base(spark, sf)
+        more = {}
+        if graph:
+            _al, _p, av, pv = vectors(spark, sf)
+            more = {"indicator_edges": adapter.graph(spark, sf)[1], "alert_vectors": av, "pattern_vectors": pv}
+        near = adapter.stage(spark, sf, "similar", lambda: similar(spark, sf))
+        intel = adapter.stage(spark, sf, "threat-intel", lambda: threat_intel(spark, sf))
         return en.enriched_alerts(al, ft, ev, kb.patterns(spark), kb.edges(spark), kb.techniques(spark),
-                                  kb.playbooks(spark), similar(spark, sf), incidents(spark, sf), **AROUND)
-    return adapter.stage(spark, sf, "enriched", build)
+                                  kb.playbooks(spark), near, incidents(spark, sf), intel, **more, **AROUND)
+    return adapter.stage(spark, sf, "enriched-graph" if graph else "enriched", build)
 
 
 @query("alert_query_text", f"SELECT user_name, {W}, rag_query FROM q_text")
@@ -303,6 +316,49 @@ def _(spark, sf):
         ids("detection.chain_playbooks", "playbook_id").alias("chain"))
 
 
+fragment("q_brm", f"""
+SELECT user_name, w, pattern_id, match_score, 'graph_bridge_triggers_indicator' AS match_reason, matched FROM q_bridge
+UNION ALL SELECT user_name, w, pattern_id, round(least(0.95, 0.5 + 0.05 * event_hits), 3), 'graph_bridge_event_match', ''
+FROM ({_fallback.format(alerts="(SELECT * FROM q_al ANTI JOIN q_bridge USING (user_name, w))")})""")
+fragment("q_brr", f"""
+SELECT *, row_number() OVER (PARTITION BY user_name, w ORDER BY retrieval_score DESC, pattern_id) AS rank FROM (
+  SELECT b.*, round(0.7 * match_score + (1.0 - 0.7) * (list_cosine_similarity(x.v, y.v) + 1.0) / 2.0, 3) AS retrieval_score FROM q_brm b
+  JOIN q_pt x ON x.id = CAST(substr(b.user_name, 6) AS BIGINT) % (SELECT count(*) FROM q_pt)
+  JOIN (VALUES {_ids}) p(pattern_id, id) ON p.pattern_id = b.pattern_id JOIN q_pt y ON y.id = p.id)""")
+fragment("q_brintel", FRAGMENTS["q_intel"].replace("q_best", "q_brr"))
+fragment("q_brchain", FRAGMENTS["q_chain"].replace("q_intel", "q_brintel"))
+fragment("q_brsim", """
+SELECT *, row_number() OVER (PARTITION BY user_name, w ORDER BY similarity DESC, incident_id) AS rank FROM (
+  SELECT v.user_name, v.w, n.incident_id, round(1.0 - min(n.distance), 3) AS similarity
+  FROM q_view v JOIN q_near4 n ON n.id = v.id GROUP BY 1, 2, 3) QUALIFY rank <= 3""")
+_listed = lambda item, order, rows: f"coalesce((SELECT string_agg({item}, ';' ORDER BY {order}) FROM {rows} AND r.user_name = a.user_name AND r.w = a.w), '')"
+
+
+@query("enriched_alerts_graph", f"""
+SELECT user_name, {W}, {_sev} AS severity, patterns, techniques, playbooks, chain, past, threat_intel FROM (SELECT a.*,
+  EXISTS (SELECT 1 FROM q_brr b JOIN q_pat p USING (pattern_id) WHERE b.user_name = a.user_name AND b.w = a.w AND p.severity = 'Critical') AS critical,
+  {_listed("r.pattern_id || '=' || printf('%.3f', r.retrieval_score) || '=' || r.match_reason || '=' || r.matched", "r.rank", "q_brr r WHERE true")} AS patterns,
+  {_listed("r.key", "r.key", "q_brintel r WHERE r.kind = 'technique'")} AS techniques,
+  {_listed("r.key", "r.key", "q_brintel r WHERE r.kind = 'playbook'")} AS playbooks,
+  {_listed("r.playbook_id", "r.rank", "q_brchain r WHERE true")} AS chain,
+  {_listed("r.incident_id", "r.rank", "q_brsim r WHERE true")} AS past,
+  (SELECT string_agg(t.document_id || '=' || md5(t.content), ';' ORDER BY t.rank) FROM q_ti t
+    WHERE t.id = CAST(substr(a.user_name, 6) AS BIGINT) % (SELECT count(*) FROM q_pt)) AS threat_intel
+  FROM q_al a)""")
+def _(spark, sf):
+    joined_by = lambda c, f: F.array_join(F.transform(c, f), ";")
+    return enriched(spark, sf, graph=True).select(
+        "user_name", "window", "alert.severity",
+        joined_by("detection.matched_patterns", lambda p: F.concat_ws(
+            "=", p["pattern_id"], fixed(p["retrieval_score"], 3), p["match_reason"], F.array_join(p["matched_features"], ";"))).alias("patterns"),
+        joined_by("detection.techniques", lambda r: r["technique_id"]).alias("techniques"),
+        joined_by("detection.primary_playbooks", lambda r: r["playbook_id"]).alias("playbooks"),
+        joined_by("detection.chain_playbooks", lambda r: r["playbook_id"]).alias("chain"),
+        joined_by("rag_retrieval.similar_past_incidents", lambda r: r["incident_id"].cast("string")).alias("past"),
+        joined_by("rag_retrieval.threat_intel_docs", lambda r: F.concat_ws(
+            "=", r["document_id"].cast("string"), F.md5(r["content"]))).alias("threat_intel"))
+
+
 @query("analyst_prompt", f"""
 SELECT a.user_name, a.{W}, '  Severity: ' || a.severity AS severity_line,
   '  Key anomalies: ' || coalesce(nullif({_signal_sql(0.3, 3, 's3_3day_slope', 5)}, ''), 'No extreme signals') AS signal_line,

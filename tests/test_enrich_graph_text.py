@@ -207,6 +207,9 @@ def test_trace_follows_chains_of_any_length(spark):
     assert got == {f"n{i:02d}": (i, "n00") for i in range(1, 31)}
 
 
+THREAT = "user_name string, window timestamp, document_id int, rank int, content string, similarity double"
+
+
 def small_document(spark, similar=None, **more):
     """The nested document of one alert whose user made four events, with all that it takes."""
     ev_ = small_events(spark, [0, 60, 120, 180])
@@ -216,7 +219,7 @@ def small_document(spark, similar=None, **more):
     known = spark.createDataFrame([(1, "data_exfiltration", "x" * 130), (2, "insider_threat", "short"), (3, "normal", "third")],
                                   "id int, attack_name string, summary string")
     return en.enriched_alerts(one_alert(spark, attack_name=""), feats, ev_, kb.patterns(spark), kb.edges(spark), kb.techniques(spark), kb.playbooks(spark),
-                              past, known, **more)
+                              past, known, spark.createDataFrame([("u", W0, 5, 1, "intel", 0.5)], THREAT), **more)
 
 
 def test_prompt_is_whole(spark):
@@ -235,3 +238,25 @@ def test_prompt_is_whole(spark):
     assert "\n  - unknown (similarity=0.25): \n" in text
     text = en.analyst_prompt(small_document(spark, [])).first().prompt
     assert text.endswith(closing) and "SIMILAR" not in text
+
+
+def test_document_by_the_graph(spark):
+    edges = spark.createDataFrame(
+        [("Window:u_2026-02-23 14:00:00", f"DetectionPattern:{p}", s, ["f"]) for p, s in (("IOC-IAM-001", 0.65), ("IOC-BEHAV-001", 0.6))],
+        "src string, dst string, match_score double, matched_features array<string>")
+    av = spark.createDataFrame([("u", W0, [1.0, 0.0])], "user_name string, window timestamp, vector array<double>")
+    pv = spark.createDataFrame([("IOC-IAM-001", [-1.0, 0.0]), ("IOC-BEHAV-001", [1.0, 0.0])], "pattern_id string, vector array<double>")
+
+    def found(**more):
+        doc = small_document(spark, **more).first()
+        assert [(t.document_id, t.content) for t in doc.rag_retrieval.threat_intel_docs] == [(5, "intel")]
+        return doc, [(p.pattern_id, p.match_reason, p.retrieval_score, p.matched_features) for p in doc.detection.matched_patterns]
+
+    by = "graph_bridge_triggers_indicator"
+    doc, got = found(indicator_edges=edges, alert_vectors=av, pattern_vectors=pv)
+    assert got == [("IOC-BEHAV-001", by, 0.72, ["f"]), ("IOC-IAM-001", by, 0.455, ["f"])]
+    assert [t.technique_id for t in doc.detection.techniques] == ["T1078", "T1098", "T1136"]
+    # without a vector of the alert the matches stay, in the order of their scores
+    assert found(indicator_edges=edges, alert_vectors=av.limit(0), pattern_vectors=pv)[1] == [("IOC-IAM-001", by, None, ["f"]), ("IOC-BEHAV-001", by, None, ["f"])]
+    # without an edge the window's events tell
+    assert found(indicator_edges=edges.limit(0))[1] == [(f"IOC-S3-00{i}", "graph_bridge_event_match", None, []) for i in (1, 2)]
