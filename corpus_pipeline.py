@@ -41,9 +41,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     How often a document is used is found without its text, which is joined once.  Rows without
     an id are used once.
     """
-    used = mixing.mix(docs.filter("doc_id is not null").select("doc_id", "text", "source"), max_repetition=2.0)
-    times = used.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    named = docs.join(times, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
+    rows, key = docs.filter("doc_id is not null"), "doc_id"
+    if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        # rows that share an id are told apart by all they hold; equal ones stand for each other
+        key = "_same"
+        rows = rows.withColumn(key, F.sha2(F.to_json(F.struct(*COLUMNS)), 256))
+    used = mixing.mix(rows.select(*dict.fromkeys(["doc_id", "text", "source", key])), max_repetition=2.0)
+    times = used.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    once = rows if key == "doc_id" else rows.dropDuplicates([key])
+    named = once.join(times, key).withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
     return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 

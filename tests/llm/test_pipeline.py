@@ -71,3 +71,10 @@ def test_encoding_equals_the_library(steps):
         tokens = np.array(oracle.encode_ordinary(text[r.doc_id]), "<u4")
         assert (r.n_tokens, r.ids_sha256) == (len(tokens), hashlib.sha256(tokens.tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+
+
+def test_mixing_uses_rows_that_share_an_id_once_each(spark):
+    rows = [(1, "a b", "en", "s", 3)] * 3 + [(1, "c d", None, "s", 3), (2, "e f", "en", "s", 3), (None, "g", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mixed(spark, docs, SF)
+    assert got.columns == corpus_pipeline.COLUMNS and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows))
