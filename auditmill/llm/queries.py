@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from auditmill.llm import bpe, chat, langid, minhash, mixing, pivots, quality, sharding, topk, warc
+from auditmill.llm import bpe, chat, decontaminate, langid, minhash, mixing, pivots, quality, sharding, topk, warc
 from auditmill.llm.common import read
 
 QUERIES: dict = {}
@@ -127,3 +127,21 @@ SELECT conv_id, place // 1024 AS part, count(*) AS n_turns, string_agg(piece, ''
 def op9_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.resample(docs, read(spark, sf_dir, "labels")).select("doc_id", "weight", "key", "selected")
+
+
+@query
+def op11_decontaminate(spark, sf_dir):
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return decontaminate.digests(decontaminate.contamination(docs, items, window=10, percent=100)[0])
+
+
+ORACLES["op11_decontaminate"] = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 10) AS l, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda p: array_to_string(w[p:p + 9], ' '))) AS said FROM b WHERE len(w) > 0),
+p AS MATERIALIZED (SELECT k, l, unnest(list_transform(range(1, len(w) - l + 2), lambda p: struct_pack(p := p, said := array_to_string(w[p:p + l - 1], ' ')))) AS x FROM d, (SELECT DISTINCT l FROM i) WHERE len(w) >= l),
+h AS MATERIALIZED (SELECT k, x.p AS p, p.l, item_id FROM p JOIN i ON p.l = i.l AND p.x.said = i.said),
+c AS (SELECT k, count(DISTINCT q) AS n_hit FROM (SELECT k, unnest(range(p, p + l)) AS q FROM h) GROUP BY k),
+m AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS item_id FROM h WHERE item_id IS NOT NULL) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.k = d.k LEFT JOIN m ON m.k = d.k"""
