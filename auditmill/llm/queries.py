@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from auditmill.llm import bpe, chat, decontaminate, langid, lexical, minhash, mixing, pivots, quality, sharding, topk, warc
+from auditmill.llm import bpe, chat, decontaminate, langid, lexical, minhash, mixing, pivots, quality, repair, sharding, topk, warc
 from auditmill.llm.common import read
 
 QUERIES: dict = {}
@@ -161,3 +161,39 @@ t AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df
 x AS (SELECT item_id, doc_id, k, sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // length)))))::BIGINT AS score FROM b JOIN p USING (term) JOIN t USING (term), s GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, k) AS rank FROM x WHERE score > 0)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50"""
+
+
+@query
+def op12_repair(spark, sf_dir):
+    return repair.damage_and_repair(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_repair"] = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+       list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS b FROM conversations),
+k AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 20 AS code FROM c),
+g AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+       CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+       unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS again FROM k WHERE code <> 0),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(1) || text), again) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS seen FROM g),
+f AS MATERIALIZED (SELECT conv_id, turn, i, role, text, substr(role, 1, 1) AS r, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair,
+       CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+            WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+ins(p, q, cost, audit) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (1, 2, 5, 'I'), (3, 2, 5, 'I'), (2, 3, 5, 'I'), (0, 3, 10, 'II'), (1, 3, 10, 'II')),
+moves(r, p, q) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+edit AS MATERIALIZED (SELECT conv_id, i, p, q, 0 AS cost, 'K' AS letter, fault FROM f JOIN moves USING (r) WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT conv_id, i, p, q, 1, 'R', fault FROM f, moves WHERE moves.r <> 's' AND fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT conv_id, i, p, p, 2, 'D', '' FROM f, (SELECT unnest(range(4))::INTEGER AS p)),
+dp(conv_id, i, q, best) AS (SELECT conv_id, 0::BIGINT, q, struct_pack(cost := cost, audit := audit) FROM (SELECT DISTINCT conv_id FROM f), ins WHERE p = 0
+  UNION ALL SELECT d.conv_id, d.i + 1, n.q, min(struct_pack(cost := d.best.cost + e.cost + CASE WHEN e.fault = 'truncated' THEN 5 ELSE 0 END + n.cost, audit := d.best.audit || e.letter || n.audit))
+  FROM dp d JOIN edit e ON e.conv_id IS NOT DISTINCT FROM d.conv_id AND e.i = d.i + 1 AND e.p = d.q JOIN ins n ON n.p = e.q GROUP BY d.conv_id, d.i, n.q),
+best AS MATERIALIZED (SELECT d.conv_id, min(d.best) AS b FROM dp d JOIN (SELECT conv_id, max(i) AS n FROM f GROUP BY conv_id) m ON m.conv_id IS NOT DISTINCT FROM d.conv_id AND d.i = m.n WHERE d.q IN (0, 3) GROUP BY d.conv_id),
+letters AS (SELECT conv_id, unnest(string_split(b.audit, '')) AS l, unnest(range(len(b.audit))) AS pos, len(replace(b.audit, 'D', '')) % 2 AS odd FROM best WHERE b.audit <> ''),
+placed AS (SELECT *, count(*) FILTER (l <> 'I') OVER w AS i, count(*) FILTER (l <> 'D') OVER w - 1 AS place FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+said AS (SELECT p.conv_id, string_agg(CASE WHEN l = 'K' THEN f.role WHEN (place - odd) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY pos) AS t
+  FROM placed p LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i WHERE l <> 'D' GROUP BY p.conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(b.cost AS BIGINT), 0) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM a.conv_id"""
