@@ -1,30 +1,38 @@
-"""Exact k nearest neighbours as a pruned block join.
-
-Points are assigned to the nearest of a bounded number of pivots.  Per pair of cells the
-triangle inequality gives a lower bound of all distances, and per query cell an upper
-bound of its k-th distance; pairs of cells that cannot hold a neighbour are never joined.
-The remaining cells are cut into blocks of bounded size, and a task compares one block of
-queries with one block of points and emits only the best k of each query, so neither a
-crowded cell nor a crowd of equal points ends in one task, and no list of pairs exists.
-
-Equal vectors are compared once: points keep the k smallest ids per distinct vector (no
-other copy can be among the k nearest), queries are compared per distinct vector and
-joined back.  Ties are broken by the smaller id.
+"""Exact k nearest neighbours over a stored metric index.
+
+The index is a table.  Points are assigned to the nearest of a bounded number of pivots; a cell is cut
+into rings by the distance to its pivot, a ring into blocks of bounded size.  Files are stored by cell, and
+the radii of every ring are stored beside them.  An index is fitted once and read by any number of
+searches (``MetricIndex.fit``, ``MetricIndex.load``).
+
+A search bounds every single query point before any vector moves: the distances to the pivots and the radii
+give a lower bound of all distances in a ring.  First the closest rings that surely hold enough points are
+compared, which gives the query a k-th distance; then only the rings that reach into that ball.  Queries go
+to the rings they need, the points of a ring move once for each ``QUERIES_TOGETHER`` queries that ask for
+it, and folders of cells that nobody asks for are not read.  In high dimensions little can be
+pruned; the answer stays exact and the work is spread evenly.
+
+Equal vectors are compared once: points keep the ``most`` smallest ids per distinct vector (no other
+copy can be among so many nearest), queries are compared per distinct vector and joined back.
+Ties are broken by the smaller id.
 """
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from auditmill.session import materialize, ship_package
+from auditmill.session import materialize, scratch_path, ship_package
 
-MAX_CELLS = 512        # bounds the cell statistics held on the driver (512 x 512 pairs)
-POINTS_PER_CELL = 512
+MAX_CELLS = 1024       # bounds what is held of the pivots
+MAX_RINGS = 16         # of a cell, so MAX_CELLS * MAX_RINGS rings have radii
+POINTS_PER_CELL = 2048
 BLOCK_ROWS = 2048
+QUERIES_TOGETHER = 65_536
+MOST = 64
+RINGS = ("cell", "ring", "n", "blocks", "lo", "hi")
 
 
 def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -42,164 +50,301 @@ def _unit(x: np.ndarray, role: str) -> np.ndarray:
     return out
 
 
-def _as_points(column, metric: str, role: str) -> np.ndarray:
-    x = np.array(list(column), dtype=float)
-    return _unit(x, role) if metric == "cosine" else x
-
-
-def _assign(df: DataFrame, pivots: np.ndarray, metric: str, role: str) -> DataFrame:
-    """Add the point that is compared, its nearest pivot and the distance to it."""
-    schema = df.schema.simpleString()[len("struct<"):-1]
-
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = _as_points(pdf["vec"], metric, role)
-            d = _distances(x, pivots)
-            cell = d.argmin(1)
-            yield pdf.assign(point=list(x), cell=cell.astype("int32"), to_pivot=d[np.arange(len(d)), cell])
-
-    ship_package(df.sparkSession)
-    return df.mapInPandas(run, f"{schema}, point array<double>, cell int, to_pivot double")
-
-
-def _blocks(df: DataFrame, parts: pd.DataFrame, id_col: str, name: str) -> DataFrame:
-    """Pack the points of (cell, part) into one binary block."""
-    spark = df.sparkSession
-    counts = spark.createDataFrame(parts, "cell int, parts int")
-    key = F.xxhash64("point")
-
-    def pack(pdf):
-        block = pickle.dumps((pdf[id_col].tolist(), np.array(pdf["point"].tolist(), dtype=float)))
-        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "part": [pdf["part"].iloc[0]], name: [block]})
-
-    return (
-        df.join(counts, "cell").withColumn("part", F.pmod(key, F.col("parts")).cast("int"))
-        .select("cell", "part", id_col, "point").groupBy("cell", "part")
-        .applyInPandas(pack, f"cell int, part int, {name} binary")
-    )
-
-
-def _best(keep: int, id_type: str, rep_type: str):
-    def run(batches):
-        for pdf in batches:
-            for q_block, b_block in zip(pdf["q_block"], pdf["b_block"]):
-                reps, q = pickle.loads(q_block)
-                id_lists, b = pickle.loads(b_block)
-                approx = _distances(q, b)
-                kth = np.partition(approx, min(keep, b.shape[0]) - 1, axis=1)[:, min(keep, b.shape[0]) - 1]
-                slack = 1e-6 * (1.0 + np.abs(kth))
-                i, j = np.nonzero(approx <= (kth + slack)[:, None])
-                exact = np.sqrt(((b[j] - q[i]) ** 2).sum(1))
-                copies = np.array([len(x) for x in id_lists])
-                first = np.cumsum(copies) - copies
-                ids = np.array([x for ids in id_lists for x in ids])
-                at = np.arange(copies[j].sum()) + np.repeat(first[j] - (np.cumsum(copies[j]) - copies[j]), copies[j])
-                i, exact, other = np.repeat(i, copies[j]), np.repeat(exact, copies[j]), ids[at]
-                order = np.lexsort((other, exact, i))
-                i, exact, other = i[order], exact[order], other[order]
-                rank = np.arange(len(i)) - np.searchsorted(i, i)
-                best = rank < keep
-                yield pd.DataFrame({"rep": np.array(reps)[i[best]], "neighbor_id": other[best], "distance": exact[best]})
-
-    return run, f"rep {rep_type}, neighbor_id {id_type}, distance double"
-
-
-def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", vector: str = "vector",
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column of equal lengths."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    ends = np.arange(x.shape[0] + 1, dtype=np.int32) * x.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(x).reshape(-1)))
+
+
+def _known(df: DataFrame, id_col: str, name: str, vector: str) -> DataFrame:
+    """(name, vec) of the rows whose vector has only finite components."""
+    rows = df.select(F.col(id_col).alias(name), F.col(vector).cast("array<double>").alias("vec"))
+    finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return rows.filter((F.size("vec") > 0) & finite)
+
+
+class Bounds:
+    """Pivots and ring radii, as the tasks hold them."""
+
+    def __init__(self, pivots: np.ndarray, rings: np.ndarray, metric: str):
+        self.pivots, self.metric = pivots, metric
+        self.cell, self.ring, self.n, self.blocks = (rings[:, i].astype(np.int64) for i in range(4))
+        self.lo, self.hi = rings[:, 4], rings[:, 5]
+
+    def points(self, vec: pa.Array, role: str) -> np.ndarray:
+        x = _matrix(vec)
+        return _unit(x, role) if self.metric == "cosine" else x
+
+    def wanted(self, x: np.ndarray, keep: int, limit: np.ndarray | None) -> np.ndarray:
+        """Which rings each point of ``x`` asks for: without ``limit`` the closest that hold ``keep`` points,
+        with it all others that reach into the ball of that radius."""
+        to_pivot = _distances(x, self.pivots)
+        to_cell = to_pivot[:, self.cell]
+        slack = 1e-6 * (1.0 + to_cell)  # rounding of the distances
+        least = np.maximum.reduce([to_cell - self.hi, self.lo - to_cell, (to_cell - to_pivot.min(1)[:, None]) / 2, np.zeros_like(to_cell)]) - slack
+        order = np.argsort(least, axis=1, kind="stable")
+        before = np.cumsum(self.n[order], axis=1) - self.n[order]
+        first = np.zeros(least.shape, bool)
+        np.put_along_axis(first, order, before < keep, axis=1)
+        if limit is None:
+            return first
+        most = np.sort(np.where(first, to_cell + self.hi + slack, -np.inf), axis=1)[:, -1]
+        return ~first & (least <= np.minimum(limit, most)[:, None])
+
+
+class MetricIndex:
+    """A fitted index; see the module.  ``most`` limits the k that can be searched."""
+
+    def __init__(self, spark: SparkSession, path: str, about: pa.Table):
+        self.spark, self.path = spark, path
+        self.metric, self.most, self.id_type = (about[c][0].as_py() for c in ("metric", "most", "id_type"))
+        rings, pivots = about.filter(pc.is_valid(about["ring"])), about.filter(pc.is_valid(about["pivot"]))
+        self.empty = not len(pivots)
+        if not self.empty:
+            self.bounds = Bounds(_matrix(pivots.sort_by("cell")["pivot"].combine_chunks()), np.stack([rings[c].to_numpy().astype(float) for c in RINGS], axis=1), self.metric)
+            self.size = self.bounds.pivots.shape[1] - (2 if self.metric == "cosine" else 0)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> MetricIndex:
+        """A stored index; at most MAX_CELLS pivots and MAX_CELLS * MAX_RINGS radii are read."""
+        return cls(spark, path, spark.read.parquet(f"{path}/bounds").toArrow())
+
+    @classmethod
+    def fit(cls, base: DataFrame, id_col: str = "id", vector: str = "vector", metric: str = "euclidean", most: int = MOST,
+            path: str | None = None, block_rows: int = BLOCK_ROWS, points_per_cell: int = POINTS_PER_CELL) -> MetricIndex:
+        """Write an index of ``base``; ``metric`` is ``euclidean`` or ``cosine`` (distance = 1 - cosine).
+
+        Rows whose vector is null, empty or holds null or non-finite components take no part, nor do
+        vectors of another length than the most frequent one.
+        """
+        spark = base.sparkSession
+        ship_package(spark)
+        path = path or scratch_path(spark, "metric-index")
+        copies = Window.partitionBy("vec").orderBy("id")
+        points = materialize(
+            _known(base, id_col, "id", vector).withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= most)
+            .groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")), "points")
+        sizes = points.groupBy(F.size("vec").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
+        id_type = points.schema["ids"].dataType.elementType.simpleString()
+        rings, pivots = pa.table({c: pa.array([], pa.float64()) for c in RINGS}), np.zeros((0, 1))
+        if sizes:
+            n, points = sizes["n"], points.filter(F.size("vec") == sizes["size"])
+            cells = max(1, min(MAX_CELLS, n // points_per_cell))
+            if n <= block_rows:  # one block, whatever its radius
+                pivots = np.zeros((1, sizes["size"] + (2 if metric == "cosine" else 0)))
+                rings = pa.table({c: [float(v)] for c, v in zip(RINGS, (0, 0, n, 1, 0, np.inf), strict=True)})
+                stored = cls._in_cells(points, pivots, metric, id_type).withColumns({"ring": F.lit(0), "block": F.lit(0).cast("long")})
+            else:
+                sample = points.orderBy(F.xxhash64("vec")).select("vec").limit(cells).toArrow()["vec"].combine_chunks()
+                pivots = _unit(_matrix(sample), "base") if metric == "cosine" else _matrix(sample)
+                placed = cls._in_rings(materialize(cls._in_cells(points, pivots, metric, id_type), "cells"), block_rows)
+                n = F.count(F.lit(1))
+                rings = placed.groupBy("cell", "ring").agg(
+                    n.alias("n"), F.ceil(n / block_rows).alias("blocks"), F.min("to_pivot").alias("lo"), F.max("to_pivot").alias("hi")).toArrow()
+                blocks = F.broadcast(spark.createDataFrame(rings).select("cell", "ring", "blocks"))  # MAX_CELLS * MAX_RINGS rows
+                stored = placed.join(blocks, ["cell", "ring"]).withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks"))).repartition(
+                    "cell", "ring", "block").sortWithinPartitions("cell", "ring", "block")
+            stored.select("cell", "ring", "block", "ids", "point").write.partitionBy("cell").parquet(f"{path}/points")
+        size = max(len(pivots), 1)  # an empty index is a row without a pivot
+        about = pa.table({"cell": pa.array(range(size), pa.int64()), "pivot": pa.array(pivots.tolist() or [None], pa.list_(pa.float64()))})
+        rings = rings.cast(pa.schema([(c, pa.float64() if c in ("lo", "hi") else pa.int64()) for c in RINGS]))
+        about = pa.concat_tables([about, rings], promote_options="default")
+        for name, value in (("metric", metric), ("most", most), ("id_type", id_type)):
+            about = about.append_column(name, pa.array([value] * len(about)))
+        spark.createDataFrame(about).coalesce(1).write.parquet(f"{path}/bounds")
+        return cls(spark, path, about)
+
+    @staticmethod
+    def _in_cells(points: DataFrame, pivots: np.ndarray, metric: str, id_type: str) -> DataFrame:
+        """The point that is compared, its nearest pivot and the distance to it."""
+        def run(batches):
+            for batch in batches:
+                x = _matrix(batch["vec"]) if batch.num_rows else np.zeros((0, 1))
+                x = _unit(x, "base") if metric == "cosine" else x
+                if not len(x):
+                    continue
+                d = _distances(x, pivots)
+                cell = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([
+                    batch["ids"], _lists(x), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell])], names=["ids", "point", "cell", "to_pivot"])
+
+        return points.select("ids", "vec").mapInArrow(run, f"ids array<{id_type}>, point array<double>, cell int, to_pivot double")
+
+    @staticmethod
+    def _in_rings(held: DataFrame, block_rows: int) -> DataFrame:
+        """Add ``ring``: large cells are cut at quantiles of the distance to the pivot."""
+        shares = F.array(*[F.lit(i / MAX_RINGS) for i in range(1, MAX_RINGS)])
+        cells = held.groupBy(F.col("cell").alias("_cell")).agg(
+            F.least(F.ceil(F.count(F.lit(1)) / block_rows), F.lit(MAX_RINGS)).cast("int").alias("rings"), F.percentile_approx("to_pivot", shares, 1000).alias("at"))
+        cut = F.when(F.col("rings") > 1, F.transform(F.sequence(F.lit(1), F.col("rings") - 1), lambda j: F.get(
+            F.col("at"), F.floor(j * MAX_RINGS / F.col("rings")).cast("int") - 1))).otherwise(F.array().cast("array<double>"))
+        cells = F.broadcast(cells.select("_cell", cut.alias("cuts")))  # MAX_CELLS rows
+        joined = held.join(cells, F.col("cell") == F.col("_cell"))
+        return joined.withColumn("ring", F.size(F.filter("cuts", lambda c: F.col("to_pivot") > c))).drop("_cell", "cuts")
+
+    # --- search ---------------------------------------------------------------
+
+    def _asks(self, wanted: DataFrame, keep: int, count: bool) -> DataFrame:
+        """The rings that ``wanted(rep, vec, limit)`` asks for: how often, or each with the point.
+
+        Nothing but the query points themselves is needed for it.
+        """
+        bounds = self.bounds
+
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = bounds.points(batch["vec"], "query")
+                limit = batch["limit"].to_numpy(zero_copy_only=False)
+                asks = bounds.wanted(x, keep, None if np.isnan(limit).all() else limit)
+                if count:
+                    times = asks.sum(0)
+                    some = np.flatnonzero(times)
+                    yield pa.RecordBatch.from_arrays([pa.array(bounds.cell[some]), pa.array(bounds.ring[some]), pa.array(times[some].astype(np.int64))],
+                                                     names=["cell", "ring", "times"])
+                    continue
+                q, ring = np.nonzero(asks)
+                reps = batch["rep"].to_numpy()
+                for a in range(0, len(q), 4096):
+                    i, r = q[a:a + 4096], ring[a:a + 4096]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(bounds.cell[r]), pa.array(bounds.ring[r]), pa.array(bounds.blocks[r]), pa.array(reps[i]), _lists(x[i]), pa.array(limit[i])],
+                        names=["cell", "ring", "blocks", "rep", "point", "limit"])
+
+        columns = "cell long, ring long, times long" if count else "cell long, ring long, blocks long, rep long, point array<double>, limit double"
+        return wanted.mapInArrow(run, columns)
+
+    def asked(self, wanted: DataFrame, keep: int) -> DataFrame:
+        """(cell, ring, times): how many of the queries ask for each ring."""
+        return self._asks(wanted, keep, True).groupBy("cell", "ring").agg(F.sum("times").alias("times"))
+
+    def _compared(self, wanted: DataFrame, keep: int) -> DataFrame:
+        """(rep, neighbor_id, distance): the best ``keep`` of every block that was asked for."""
+        id_type = self.id_type
+        if len(self.bounds.ring) == 1:
+            loads = pa.table({"cell": [0], "ring": [0], "times": [wanted.count()]})
+        else:
+            loads = self.asked(wanted, keep).toArrow()  # a row for each ring at most
+        chunks = [max(1, -(-n // QUERIES_TOGETHER)) for n in loads["times"].to_pylist()]
+        cells = pc.unique(loads["cell"]).to_pylist()
+        chunks = F.broadcast(self.spark.createDataFrame(loads.drop_columns("times").append_column("chunks", pa.array(chunks, pa.int64()))))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        none = F.lit(None)
+        points = self.spark.read.parquet(f"{self.path}/points").filter(F.col("cell").isin(cells)).join(chunks, ["cell", "ring"]).withColumn("chunk", every("chunks")).select(
+            F.col("cell").cast("long").alias("cell"), F.col("ring").cast("long").alias("ring"), "block", "chunk", F.lit(0).alias("kind"), none.cast("long").alias("rep"),
+            "point", none.cast("double").alias("limit"), "ids")
+        asks = self._asks(wanted, keep, False).join(chunks, ["cell", "ring"]).withColumn("block", every("blocks")).select(
+            "cell", "ring", "block", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"), F.lit(1).alias("kind"), "rep", "point", "limit", none.cast(f"array<{id_type}>").alias("ids"))
+        key = ["cell", "ring", "block", "chunk"]
+        rows = points.unionByName(asks).repartition(*key).sortWithinPartitions(*key, "kind")
+
+        def run(batches):
+            at, held = None, None
+            for batch in batches:
+                n = batch.num_rows
+                if not n:
+                    continue
+                place = np.stack([batch[c].to_numpy() for c in (*key, "kind")])
+                cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), n]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    part, where = batch.slice(a, b - a), tuple(place[:4, a].tolist())
+                    if place[4, a] == 0:
+                        if where != at:
+                            at, held = where, []
+                        held.append((_matrix(part["point"]), part["ids"]))
+                    elif where == at:
+                        if isinstance(held, list):
+                            held = Block(held)
+                        yield held.best(part, keep)
+
+        return rows.mapInArrow(run, f"rep long, neighbor_id {id_type}, distance double")
+
+    def search(self, queries: DataFrame, k: int, id_col: str = "id", vector: str = "vector", exclude_self: bool = False) -> DataFrame:
+        """``query_id, neighbor_id, distance, rank`` of the ``k`` nearest points per query.
+
+        ``exclude_self`` leaves out the point with the query's own id.  A query whose vector could not
+        be a point has no neighbours.
+        """
+        keep = k + (1 if exclude_self else 0)
+        if keep > self.most:
+            raise ValueError(f"the index holds {self.most} copies of a point, {keep} are asked for")
+        q_all = _known(queries, id_col, "query_id", vector)
+        if self.empty:
+            kind = q_all.schema["query_id"].dataType.simpleString()
+            return self.spark.createDataFrame([], f"query_id {kind}, neighbor_id {self.id_type}, distance double, rank int")
+        ship_package(self.spark)
+        q_all = q_all.filter(F.size("vec") == self.size)
+        wanted = materialize(q_all.select("vec").distinct().withColumn("rep", F.monotonically_increasing_id()), "queries")
+        order = Window.partitionBy("rep").orderBy("distance", "neighbor_id")
+
+        def first(found):
+            return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep)
+
+        nearest = first(self._compared(wanted.withColumn("limit", F.lit(float("nan"))), keep))
+        if len(self.bounds.ring) == 1:
+            return self._told(q_all, wanted, nearest, k, exclude_self)
+        nearest = materialize(nearest, "nearest")
+        ball = nearest.groupBy(F.col("rep").alias("_rep")).agg(F.max("distance").alias("d"), F.count(F.lit(1)).alias("n"))
+        limit = F.when(F.col("n") >= keep, F.col("d")).otherwise(F.lit(float("inf")))
+        limited = wanted.join(ball, F.col("rep") == F.col("_rep")).select("vec", "rep", limit.alias("limit"))
+        # only the rings that the ball reaches into
+        best = first(nearest.drop("r").unionByName(self._compared(materialize(limited, "balls"), keep)))
+        return self._told(q_all, wanted, best, k, exclude_self)
+
+    def _told(self, q_all: DataFrame, wanted: DataFrame, best: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+        """The neighbours of every query, from those of its vector."""
+        hashed = lambda df: df.withColumn("h", F.xxhash64("vec"))  # noqa: E731  cheap to sort by
+        named = hashed(q_all).join(hashed(wanted), ["h", "vec"]).select("query_id", "rep")
+        found = named.join(best, "rep").select("query_id", "neighbor_id", "distance")
+        if exclude_self:
+            found = found.filter(F.col("query_id") != F.col("neighbor_id"))
+        mine = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+        if self.metric == "cosine":
+            found = found.withColumn("distance", F.col("distance") * F.col("distance") / 2)
+        return found.withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= k)
+
+
+class Block:
+    """Points of one block with the ids of their copies."""
+
+    def __init__(self, parts):
+        self.x = np.concatenate([x for x, _ in parts])
+        lists = pa.concat_arrays([ids for _, ids in parts])
+        self.kind = lists.type.value_type
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        self.ids = ids.astype(str) if ids.dtype == object else ids
+        self.copies = np.diff(lists.offsets.to_numpy())
+        self.first = np.cumsum(self.copies) - self.copies
+
+    def best(self, asked: pa.RecordBatch, keep: int) -> pa.RecordBatch:
+        reps, q, x = asked["rep"].to_numpy(), _matrix(asked["point"]), self.x
+        approx = _distances(q, x)
+        n = min(keep, x.shape[0])
+        kth = np.fmin(np.partition(approx, n - 1, axis=1)[:, n - 1], asked["limit"].to_numpy(zero_copy_only=False))
+        i, j = np.nonzero(approx <= (kth + 1e-6 * (1.0 + kth))[:, None])
+        exact = np.sqrt(((x[j] - q[i]) ** 2).sum(1))
+        copies = self.copies[j]
+        at = np.arange(copies.sum()) + np.repeat(self.first[j] - (np.cumsum(copies) - copies), copies)
+        i, exact, other = np.repeat(i, copies), np.repeat(exact, copies), self.ids[at]
+        order = np.lexsort((other, exact, i))
+        i, exact, other = i[order], exact[order], other[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        best = rank < keep
+        return pa.RecordBatch.from_arrays([pa.array(reps[i[best]]), pa.array(other[best], self.kind), pa.array(exact[best])], names=["rep", "neighbor_id", "distance"])
+
+
+def knn_join(queries: DataFrame, base: DataFrame | MetricIndex, k: int, id_col: str = "id", vector: str = "vector",
              metric: str = "euclidean", exclude_self: bool = False, block_rows: int = BLOCK_ROWS,
              points_per_cell: int = POINTS_PER_CELL) -> DataFrame:
     """``query_id, neighbor_id, distance, rank`` of the ``k`` nearest ``base`` rows per query.
 
-    ``metric`` is ``euclidean`` or ``cosine`` (distance = 1 - cosine).  ``exclude_self``
-    leaves out the base row with the query's own id.  A row whose vector is null or holds a null
-    has no neighbours and is none.
+    ``base`` is a fitted index, or a table that is indexed for this search with ``metric``.
     """
-    keep = k + (1 if exclude_self else 0)
-
-    vec = F.col(vector).cast("array<double>").alias("vec")
-    known = F.col("vec").isNotNull() & ~F.exists("vec", lambda v: v.isNull())
-    q_all = queries.select(F.col(id_col).alias("query_id"), vec).filter(known)
-    b_all = base.select(F.col(id_col).alias("neighbor_id"), vec).filter(known)
-    id_type, rep_type = b_all.schema["neighbor_id"].dataType.simpleString(), \
-        q_all.schema["query_id"].dataType.simpleString()
-
-    copies = Window.partitionBy("vec").orderBy("neighbor_id")
-    points = materialize(
-        b_all.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= keep)
-        .groupBy("vec").agg(F.sort_array(F.collect_list("neighbor_id")).alias("ids")), "knn-points")
-    wanted = q_all.groupBy("vec").agg(F.min("query_id").alias("rep"))
-
-    n = points.count()
-    if n == 0:
-        return queries.sparkSession.createDataFrame(
-            [], f"query_id {rep_type}, neighbor_id {id_type}, distance double, rank int")
-    m = max(1, min(MAX_CELLS, n // points_per_cell))
-    sample = points.orderBy(F.xxhash64("vec")).select("vec").limit(m).collect()  # at most MAX_CELLS rows
-    pivots = _as_points([r.vec for r in sample], metric, "base")
-
-    points = materialize(_assign(points, pivots, metric, "base").drop("vec"), "knn-cells")
-    wanted = materialize(_assign(wanted, pivots, metric, "query"), "knn-queries")
-
-    # cell statistics: at most MAX_CELLS rows each
-    near = Window.partitionBy("cell").orderBy("to_pivot")
-    nearest = (
-        points.select("cell", "to_pivot").withColumn("r", F.row_number().over(near))
-        .filter(F.col("r") <= keep).groupBy("cell").agg(F.sort_array(F.collect_list("to_pivot")).alias("nearest")))
-    b_stat = (
-        points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("to_pivot").alias("lo"),
-                                   F.max("to_pivot").alias("hi")).join(nearest, "cell").toPandas())
-    q_stat = wanted.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("to_pivot").alias("hi")).toPandas()
-
-    pairs = _candidate_cells(pivots, q_stat, b_stat, keep)
-    spark = queries.sparkSession
-    b_parts = pd.DataFrame({"cell": b_stat["cell"].astype("int32"),
-                            "parts": np.ceil(b_stat["n"] / block_rows).astype("int32")})
-    q_parts = pd.DataFrame({"cell": q_stat["cell"].astype("int32"),
-                            "parts": np.ceil(q_stat["n"] / block_rows).astype("int32")})
-    pairs = pairs.merge(b_parts.rename(columns={"cell": "b_cell"}), on="b_cell")
-    cells = (
-        spark.createDataFrame(pairs, "cell int, b_cell int, parts int")
-        .select("cell", "b_cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b_part")))
-
-    q_blocks = _blocks(wanted, q_parts, "rep", "q_block")
-    b_blocks = _blocks(points, b_parts, "ids", "b_block").select(
-        F.col("cell").alias("b_cell"), F.col("part").alias("b_part"), "b_block")
-    compare, out_schema = _best(keep, id_type, rep_type)
-    # partition by both blocks: the pairs of a crowded cell spread over all tasks
-    tasks = (
-        q_blocks.join(cells, "cell").join(b_blocks, ["b_cell", "b_part"])
-        .repartition(F.col("cell"), F.col("part"), F.col("b_cell"), F.col("b_part")))
-    partial = tasks.select("q_block", "b_block").mapInPandas(compare, out_schema)
-
-    order = Window.partitionBy("rep").orderBy("distance", "neighbor_id")
-    best = partial.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep)
-    hashed = lambda df: df.withColumn("h", F.xxhash64("vec"))  # noqa: E731  cheap to sort by
-    named = hashed(q_all).join(hashed(wanted.select("vec", "rep")), ["h", "vec"]).select("query_id", "rep")
-    found = named.join(best, "rep").select("query_id", "neighbor_id", "distance")
-    if exclude_self:
-        found = found.filter(F.col("query_id") != F.col("neighbor_id"))
-    mine = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    if metric == "cosine":
-        found = found.withColumn("distance", F.col("distance") * F.col("distance") / 2)
-    return found.withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= k)
-
-
-def _candidate_cells(pivots, q_stat, b_stat, keep) -> pd.DataFrame:
-    """Pairs of cells that may hold one of the ``keep`` nearest points of some query."""
-    q_cell, b_cell = q_stat["cell"].to_numpy(), b_stat["cell"].to_numpy()
-    between = _distances(pivots[q_cell], pivots[b_cell])
-    radius = q_stat["hi"].to_numpy()[:, None]
-    lo, hi = b_stat["lo"].to_numpy()[None, :], b_stat["hi"].to_numpy()[None, :]
-    owner = np.concatenate([np.full(len(x), j) for j, x in enumerate(b_stat["nearest"])])
-    reach = np.concatenate([np.asarray(x, dtype=float) for x in b_stat["nearest"]])
-    rows = []
-    for i in range(len(q_cell)):
-        bounds = between[i, owner] + radius[i] + reach
-        limit = np.partition(bounds, keep - 1)[keep - 1] if len(bounds) >= keep else np.inf
-        floor = np.maximum(between[i] - radius[i] - hi[0], lo[0] - between[i] - radius[i])
-        slack = 1e-6 * (1.0 + between[i] + radius[i])
-        for j in np.flatnonzero(floor <= limit + slack):
-            rows.append((int(q_cell[i]), int(b_cell[j])))
-    return pd.DataFrame(rows, columns=["cell", "b_cell"]).astype("int32")
+    if not isinstance(base, MetricIndex):
+        base = MetricIndex.fit(base, id_col, vector, metric, k + (1 if exclude_self else 0), None, block_rows, points_per_cell)
+    return base.search(queries, k, id_col, vector, exclude_self)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from auditmill import schema, vocab
 from auditmill.functions.scalars import any_contains, fixed, ts_text
 from auditmill.operators.graph import type_bonus
-from auditmill.operators.knn import knn_join
+from auditmill.operators.knn import MetricIndex, knn_join
 
 
 def _count(c: str) -> Column:
@@ -133,8 +133,11 @@ def upsert_collection(existing: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(one.select(*existing.columns))
 
 
-def semantic_search(queries: DataFrame, collections: dict[str, DataFrame], n: int = 5) -> DataFrame:
-    """The best ``n`` documents per query over all collections, similarity ``1 / (1 + d)``."""
+def semantic_search(queries: DataFrame, collections: dict[str, DataFrame | MetricIndex], n: int = 5) -> DataFrame:
+    """The best ``n`` documents per query over all collections, similarity ``1 / (1 + d)``.
+
+    A collection is a table of id and vector, or an index of it that was fitted with ``cosine``.
+    """
     parts = [
         knn_join(queries, docs, n, metric="cosine").withColumn("collection", F.lit(name))
         for name, docs in collections.items()]

@@ -117,7 +117,20 @@ def _(spark, sf):
     return out.select("id", F.round("score", 5).alias("score"))
 
 
-@query("lof_k_grid")
+_lof_at = """
+SELECT n.id, {k} AS k, round(avg(l.lrd) / any_value(t.lrd), 5) AS score FROM q_nt n
+JOIN (SELECT n.id, 1.0 / (avg(greatest(n.distance, d.kd)) + 1e-10) AS lrd FROM q_nn n JOIN (SELECT id, max(distance) AS kd FROM q_nn WHERE rank <= {k} GROUP BY id) d ON d.id = n.nb WHERE n.rank <= {k} GROUP BY n.id) l ON l.id = n.nb
+JOIN (SELECT n.id, 1.0 / (avg(greatest(n.distance, d.kd)) + 1e-10) AS lrd FROM q_nt n JOIN (SELECT id, max(distance) AS kd FROM q_nn WHERE rank <= {k} GROUP BY id) d ON d.id = n.nb WHERE n.rank <= {k} GROUP BY n.id) t ON t.id = n.id
+WHERE n.rank <= {k} GROUP BY n.id"""
+
+
+@query("lof_k_grid", _lof_at.format(k=3) + " UNION ALL " + _lof_at.format(k=5))
+def _(spark, sf):
+    pts = adapter.points(spark, sf)
+    return md.lof_k_grid(pts.filter("not is_attack"), pts, [3, 5]).withColumn("score", F.round("score", 5))
+
+
+@query("lof_k_selection")
 def _(spark, sf):
     pts = adapter.points(spark, sf)
     grid = md.lof_k_grid(pts.filter("not is_attack"), pts)

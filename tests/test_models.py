@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditmill.functions.ranks import auc, exact_percentiles
 from auditmill.operators import models as md, scoring as sc
-from auditmill.operators.knn import knn_join
+from auditmill.operators.knn import MetricIndex, knn_join
 
 
 def frame(spark, x, **cols):
@@ -54,6 +54,39 @@ def test_knn_with_fewer_points_than_k(spark):
     assert {r["count"] for r in near} == {2}
 
 
+def test_stored_index_is_fitted_once_and_prunes(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    moved = {}
+    for n in (500, 2_000):
+        x = rng.normal(size=(n, 3)) * 0.05 + rng.integers(0, 12, size=(n, 3)) * 5
+        df, path = frame(spark, x), f"{tmp_path}/{n}"
+        MetricIndex.fit(df, most=6, path=path, block_rows=25, points_per_cell=25)
+        index = MetricIndex.load(spark, path)
+        # two searches read the same files
+        for queries, exclude in ((df, True), (df.filter("id % 7 = 0"), False)):
+            got = {}
+            for r in index.search(queries, 4, exclude_self=exclude).orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append(r.neighbor_id)
+            for i in list(got)[::41]:
+                d = np.sqrt(((x - x[i]) ** 2).sum(1))
+                order = [j for j in np.lexsort((np.arange(n), d)) if not (exclude and j == i)]
+                assert got[i] == order[:4]
+        every = df.select(F.col("vector").alias("vec"), F.col("id").alias("rep"), F.lit(0.5).alias("limit"))
+        asked = index.asked(every.withColumn("limit", F.lit(float("nan"))), 5).unionByName(index.asked(every, 5))
+        moved[n] = asked.agg(F.sum("times")).first()[0]  # vectors that go to a ring
+        assert moved[n] < 0.15 * n * len(index.bounds.ring)
+    assert moved[2_000] < 7 * moved[500]  # four times the points: in proportion, not with the square
+
+
+def test_index_leaves_out_what_is_no_point(spark):
+    rows = [(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0]), (6, []), (7, [None, 1.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    assert sorted((r.query_id, r.neighbor_id) for r in knn_join(df, df, 3, exclude_self=True).collect()) == [(0, 1), (1, 0)]
+    assert knn_join(df, df.limit(0), 3).count() == 0
+    with pytest.raises(ValueError, match="copies"):
+        MetricIndex.fit(df, most=2).search(df, 3)
+
+
 def test_percentiles_match_numpy(spark):
     rng = np.random.default_rng(2)
     values = np.concatenate([rng.normal(size=700), np.full(300, 0.25), rng.integers(0, 5, 200)])
