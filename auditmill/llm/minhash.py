@@ -8,6 +8,7 @@
 2. Equal sets form one class; only classes go on.
 3. Classes that agree on a band of coordinates meet in a bucket.  First every member is verified
    against the bucket's smallest id, which links large groups of copies without all their pairs.
+   Before any text is joined, one bit of each coordinate tells most pairs apart.
 4. Where buckets still hold several components, sketches that may reach the threshold tie these
    to clusters, and inside a cluster texts of different components are compared on their full sets,
    block by block.  Tasks return the links that join components, never their pairs.
@@ -18,7 +19,9 @@ threshold agrees on fewer than ``LEAST`` of its share of coordinates with about
 
 Defined results: a null text or one without words has no set and links with nothing; with fewer words
 than the shingle width the whole sequence is one shingle; equal rows are equal results; rows that
-share an id are one document; a null id takes part, but never names a component.
+share an id are one document; ids are below 2 ** 62.  A null id takes part under a stand-in made of its
+text, so near copies of it are found, but it never names a component: ``component_id`` is null where
+no row of the component has an id.
 """
 
 from __future__ import annotations
@@ -28,13 +31,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from auditmill.llm.common import components, mix, python_ready, runs
 from auditmill.session import materialize
 
 SIZE, BAND = 128, 4
 LEAST = 0.75  # share of the threshold that the sketches must show
+#: Of SIZE single bits 0.9 agree at the threshold; fewer than 3/4 do with a probability of about 4e-7.
+BITS_APART = SIZE // 4
 BLOCK = 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -78,20 +83,30 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+STAND_INS = 1 << 62
+
+
+def stand_in(text: Column) -> Column:
+    """What stands for the null id of a row with this text; larger than every id."""
+    return F.xxhash64(text).bitwiseAND(F.lit(STAND_INS - 1)).bitwiseOR(F.lit(STAND_INS))
+
+
 def sketch_table(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sketch) of whole texts."""
+    """(doc_id, n_shingles, set_key, sketch, bits) of whole texts; ``bits`` has one bit of each coordinate."""
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
                 sets = [shingles(t, width) for t in part["text"].to_pylist()]
+                rows = sketches(sets)
+                bits = np.packbits(rows >> np.uint32(8) & np.uint32(1), axis=1).view(np.int64)  # above the round
                 yield pa.RecordBatch.from_arrays([
                     part["doc_id"], pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([row.tobytes() for row in sketches(sets)], pa.binary()),
-                ], names=["doc_id", "n_shingles", "set_key", "sketch"])
+                    pa.array([row.tobytes() for row in rows], pa.binary()), pa.array(bits[:, 0]), pa.array(bits[:, 1]),
+                ], names=["doc_id", "n_shingles", "set_key", "sketch", "bits1", "bits2"])
 
-    return python_ready(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
+    return python_ready(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary, bits1 long, bits2 long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -208,22 +223,26 @@ def cluster_links(members: DataFrame, texts: DataFrame, width: int, percent: int
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept."""
+    """One row for each row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept; and ``row_id``
+    (the id or its stand-in) and ``leads`` (whether the row is the first of its component)."""
+    unnamed = F.col("doc_id").isNull()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.filter(~unnamed).unionByName(texts.filter(unnamed).select(stand_in(F.col("text")).alias("doc_id"), "text"))
     sets = materialize(sketch_table(texts, width), "sets")
-    stand_in = F.xxhash64("set_key").bitwiseOR(F.lit(-(1 << 63)))  # negative: a class of rows without ids
     classes = materialize(
         sets.filter("n_shingles > 0").groupBy("set_key").agg(
-            F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-        .withColumn("rep", F.coalesce("least", stand_in)), "classes")
-    named = texts.filter("doc_id is not null")
+            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bits1").alias("bits1"), F.first("bits2").alias("bits2")), "classes")
+    # equal texts without ids share a stand-in
+    standing = F.col("doc_id") >= STAND_INS
+    named = texts.filter(~standing).unionByName(texts.filter(standing).dropDuplicates(["doc_id"]))
 
     bands = F.posexplode(F.array(*[F.xxhash64(F.substring("sketch", 4 * BAND * i + 1, 4 * BAND), F.lit(i)) for i in range(SIZE // BAND)])).alias("band", "bucket")
-    banded = classes.filter("least is not null").select("rep", "n", bands)
-    heads = banded.groupBy("bucket", "band").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    banded = classes.select("rep", "n", "bits1", "bits2", bands)
+    heads = banded.groupBy("bucket", "band").agg(F.min(F.struct("rep", "n", "bits1", "bits2")).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     met = materialize(banded.join(heads, ["bucket", "band"]), "met")
     close = 100 * F.least("n", "head.n") >= percent * F.greatest("n", "head.n")
-    first = met.filter((F.col("rep") != F.col("head.rep")) & close).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    apart = F.bit_count(F.col("bits1").bitwiseXOR(F.col("head.bits1"))) + F.bit_count(F.col("bits2").bitwiseXOR(F.col("head.bits2")))
+    first = met.filter((F.col("rep") != F.col("head.rep")) & close & (apart <= BITS_APART)).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialize(verify(first, named, width, percent), "links")
     found = components(links)
 
@@ -236,14 +255,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     final = found
     if not alike.isEmpty():
         clusters = components(alike).withColumnRenamed("component", "cluster")
-        whole = classes.filter("least is not null").join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp"))
+        whole = classes.join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp"))
         inside = materialize(whole.join(clusters, F.col("comp") == F.col("node")).select("cluster", "rep", "comp"), "clusters")
         sizes = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
         more = materialize(cluster_links(inside.join(sizes, "cluster"), named, width, percent), "links")
         if not more.isEmpty():
             final = components(links.unionByName(more))
     named_classes = classes.join(final, F.col("rep") == F.col("node"), "left").select(
-        F.col("set_key").alias("_key"), F.coalesce("component", "least").alias("_component"))
-    return sets.drop("sketch").join(named_classes, F.col("set_key") == F.col("_key"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+        F.col("set_key").alias("_key"), F.coalesce("component", "rep").alias("_component"))
+    found = sets.select("doc_id", "n_shingles", "set_key").join(named_classes, F.col("set_key") == F.col("_key"), "left")
+    known = lambda c: F.when(F.col(c) < STAND_INS, F.col(c))
+    rows = found.withColumn("_component", F.coalesce("_component", "doc_id")).select(
+        known("doc_id").alias("doc_id"), "n_shingles", known("_component").alias("component_id"),
+        F.col("doc_id").alias("row_id"), (F.col("doc_id") == F.col("_component")).alias("leads"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return rows.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "row_id", "leads")

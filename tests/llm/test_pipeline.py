@@ -78,3 +78,14 @@ def test_mixing_uses_rows_that_share_an_id_once_each(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.mixed(spark, docs, SF)
     assert got.columns == corpus_pipeline.COLUMNS and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows))
+
+
+def test_near_copies_without_ids_go(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(4, base, "en", "s", 1), (None, base + " x", "en", "t", 1), (None, "only one of its kind and long", "en", "s", 1), (None, "only one of its kind and long", "de", "s", 1),
+            (None, None, "en", "s", 0), (None, None, "en", "s", 0), (7, "", "en", "s", 0), (7, "", "en", "s", 0)]
+    docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, rep long")
+    got = corpus_pipeline.without_near_duplicates(spark, docs, SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted((str(r.doc_id), str(r.text)[:4]) for r in got.collect()) == [("4", "w0 w"), ("7", ""), ("None", "None"), ("None", "only")]
+    assert corpus_pipeline.without_near_duplicates(spark, docs.limit(0), SF).count() == 0
