@@ -1,7 +1,7 @@
 """The corpus pipeline: documents in, token digests out.  Counts as part of the llm subpackage.
 
 Every stage works on all that its predecessor kept, and all but the last return the columns of
-``documents``.  Rows without a doc_id pass every stage; equal ones leave the near-duplicate stage once.
+``documents``.  Rows without a doc_id are judged like others.
 """
 
 from __future__ import annotations
@@ -29,10 +29,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates (five words, 0.8)."""
-    kept = minhash.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80).filter("kept").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS).distinct())
+    """Keep the document with the smallest id of each group of near-duplicates (five words, 0.8).
+
+    A row without an id goes when another of its group stays; rows without words have no group.
+    """
+    first = minhash.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80).filter("leads")
+    row_id = F.coalesce("doc_id", minhash.stand_in(F.col("text")))
+    rows = docs.select(*COLUMNS).withColumn("_row", row_id).join(first.select(F.col("row_id").alias("_row")).distinct(), "_row", "left_semi")
+    wordless = F.col("doc_id").isNull() & (F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == "")
+    return rows.filter(~wordless).dropDuplicates(["_row"]).select(*COLUMNS).unionByName(rows.filter(wordless).select(*COLUMNS).distinct())
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
