@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from auditmill import schema, vocab
 from auditmill.functions.scalars import any_contains, fixed, ts_text
+from auditmill.operators.embedding import TextModel
 from auditmill.operators.graph import type_bonus
 from auditmill.operators.knn import MetricIndex, knn_join
 
@@ -116,8 +117,11 @@ def knowledge_documents(techniques: DataFrame, patterns: DataFrame, playbooks: D
 def embed_text(df: DataFrame, text: str, size: int = 256, encoder=None) -> DataFrame:
     """Add ``vector``: hashed term frequencies of unit length, or what ``encoder`` gives.
 
-    ``encoder`` is a function of a string column, such as a ``pandas_udf`` around a model.
+    ``encoder`` is a fitted ``TextModel``, or a function of a string column, such as a ``pandas_udf``
+    around a model.
     """
+    if isinstance(encoder, TextModel):
+        return encoder.embed(df, text)
     if encoder is not None:
         return df.withColumn("vector", encoder(F.col(text)))
     words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")

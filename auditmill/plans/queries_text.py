@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from auditmill import vocab
 from auditmill.functions.vectors import squared_norm
 from auditmill.operators import evaluate as ev, features as ft, text as tx
-from auditmill.operators.knn import knn_join
+from auditmill.operators.embedding import TextModel
+from auditmill.operators.knn import MetricIndex, knn_join
 from auditmill.plans import adapter
 from auditmill.plans.registry import fragment, query, sql_list, sql_values
 from auditmill.session import scratch_path
@@ -97,10 +98,35 @@ def _(spark, sf):
     return tx.knowledge_documents(t, p, b, s)
 
 
-@query("embed_text")
+_word = "regexp_matches({}, '[\\p{{L}}\\p{{N}}]')"
+
+
+@query("embed_text", f"""
+SELECT doc_id, 64 AS dimensions, CASE WHEN text IS NOT NULL AND {_word.format('text')} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS length FROM documents""")
+def _(spark, sf):
+    """Every document by the model that was fitted on all of them."""
+    docs = adapter.table(spark, sf, "documents").select("doc_id", "text")
+    out = tx.embed_text(docs, "text", encoder=document_model(spark, sf))
+    return out.select("doc_id", F.size("vector").alias("dimensions"), F.round(F.sqrt(squared_norm(F.col("vector"))), 3).alias("length"))
+
+
+@query("embed_text_hashed", """
+SELECT doc_id, 256 AS dimensions, CASE WHEN text IS NOT NULL AND regexp_matches(text, '\\S') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS length FROM documents""")
 def _(spark, sf):
-    out = tx.embed_text(adapter.table(spark, sf, "documents").select("doc_id", "text"), "text")
-    return out.select("doc_id", F.size("vector").alias("dimensions"), F.round(squared_norm(F.col("vector")), 6).alias("length"))
+    out = tx.embed_text(adapter.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
+    return out.select("doc_id", F.size("vector").alias("dimensions"), F.round(F.sqrt(squared_norm(F.col("vector"))), 3).alias("length"))
+
+
+_MODELS: dict = {}
+
+
+def document_model(spark, sf):
+    """The model of all documents, fitted once per session and stored as a table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS[key] = scratch_path(spark, "text-model")
+        TextModel.fit(adapter.table(spark, sf, "documents"), "text").save(_MODELS[key])
+    return TextModel.load(spark, _MODELS[key])
 
 
 @query("upsert_collection", """
@@ -143,6 +169,25 @@ def _(spark, sf):
     return tx.semantic_search(pts, cols, 5)
 
 
+@query("semantic_search_texts", f"""
+SELECT question_id, 5 AS results, TRUE AS ordered, TRUE AS in_range FROM (
+  SELECT doc_id AS question_id FROM documents WHERE text IS NOT NULL AND {_word.format('text')})""")
+def _(spark, sf):
+    """Every document as a question to the incident documents and the rule base, by vectors of the texts."""
+    model = document_model(spark, sf)
+    embedded = lambda df, c: tx.embed_text(df, c, encoder=model).select("id", "vector")
+    incidents = tx.incident_documents(adapter.features(spark, sf), "12 hours").select("id", "document")
+    knowledge = tx.knowledge_documents(*kb_full(spark, sf)).select("id", "document")
+    found_in = {n: MetricIndex.fit(embedded(d, "document"), metric="cosine", most=5) for n, d in (("behavioral_incidents", incidents), ("threat_intelligence", knowledge))}
+    asked = adapter.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = embedded(asked, "text").filter(F.exists("vector", lambda v: v != 0))
+    found = tx.semantic_search(asked, found_in, 5)
+    listed = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "similarity"))).alias("f"))
+    falls = F.forall(F.sequence(F.lit(1), F.size("f") - 1), lambda i: F.get("f", i)["similarity"] <= F.get("f", i - 1)["similarity"])
+    return listed.select(F.col("query_id").alias("question_id"), F.size("f").alias("results"), falls.alias("ordered"),
+                         F.forall("f", lambda r: r["similarity"].between(0.333, 1.0)).alias("in_range"))
+
+
 @query("collection_counts", "SELECT 'src' || (doc_id % 3) AS collection, count(*) AS documents FROM documents GROUP BY 1")
 def _(spark, sf):
     docs = adapter.table(spark, sf, "documents")
