@@ -812,3 +812,22 @@ def _(spark, sf):
     return st.read_alerts(spark, out).select("user_name", "window", "total_events", F.round("score", 5).alias("score"))
 
 
+@query("stream_model_alerts", f"""
+SELECT user_name, {W}, total_events, round(score, 5) AS score FROM (
+  SELECT *, CASE WHEN s > 0 THEN (total_events - m) / s ELSE 0.0 END AS score FROM (
+    SELECT user_name, w, total_events, count(*) OVER b AS n, avg(total_events) OVER b AS m, stddev_pop(total_events) OVER b AS s
+    FROM q_wf WINDOW b AS (PARTITION BY user_name ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+WHERE score > 2.0 AND n >= 2""")
+def _(spark, sf):
+    """Baselines kept as state: the later half of the windows comes after a restart."""
+    windows = ft.user_window_counts(adapter.events(spark, sf), adapter.FINE_MINUTES).withColumn("total_events", F.col("total_events").cast("long"))
+    path, out, checkpoint = (scratch_path(spark, n) for n in ("closed-windows", "alerts", "checkpoint"))
+    all_windows = scratch_path(spark, "all-windows")
+    windows.write.parquet(all_windows)
+    stored = spark.read.schema(windows.schema).parquet(all_windows)
+    middle = stored.select(F.timestamp_seconds(F.avg(F.unix_timestamp("window"))).alias("t")).scalar()
+    for part in (stored.filter(F.col("window") <= middle), stored.filter(F.col("window") > middle)):
+        part.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(windows.schema).parquet(path)
+        st.stream_model_alerts(stream, out, checkpoint, threshold=2.0)
+    return st.read_alerts(spark, out).select("user_name", "window", "total_events", F.round("score", 5).alias("score"))

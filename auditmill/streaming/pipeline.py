@@ -6,13 +6,19 @@ Each function starts a query that processes what is available and stops
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from auditmill import schema
 from auditmill.functions.scalars import is_business_hours
 from auditmill.operators.features import FLAG_COUNTS, event_flags, with_ratios
+from auditmill.operators.models import score_new_rows
 from auditmill.operators.normalize import flatten_events
 from auditmill.operators.scoring import KEYS
+from auditmill.session import ship_package
 
 
 def read_audit_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -55,28 +61,42 @@ def stream_dedup(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def stream_alerts(windows: DataFrame, baselines: DataFrame, threshold: float, path: str, checkpoint: str) -> None:
-    """Flag windows far above their user's saved baseline and add them to the alert table.
-
-    Every batch writes its own folder, so a batch that is run again after a failure
-    replaces its rows; alerts that the table already holds are left out.
-    """
-    spark = windows.sparkSession
+    """Flag windows far above their user's saved baseline and add them to the alert table."""
     saved = baselines.select("user_name", "total_events_mean", "total_events_std")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         scored = batch.join(saved, "user_name", "left").withColumn("score", F.coalesce(
             (F.col("total_events") - F.col("total_events_mean")) / F.col("total_events_std"), F.lit(0.0)))
-        alerts = scored.filter(F.col("score") > threshold).select(*KEYS, "total_events", "score")
-        known = read_alerts(spark, path)
-        if known is not None:
-            alerts = alerts.join(known.filter(F.col("batch") < batch_id), KEYS, "left_anti")
-        alerts.dropDuplicates(KEYS).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        add_alerts(scored.filter(F.col("score") > threshold), path, batch_id)
 
     (windows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
 
 
-ALERTS = "user_name string, window timestamp, total_events long, score double, batch int"
+ALERT_COLUMNS = "user_name string, window timestamp, total_events long, score double, model_score double"
+ALERTS = f"{ALERT_COLUMNS}, day date, batch int"
+
+
+def add_alerts(alerts: DataFrame, path: str, batch_id: int) -> None:
+    """Add the alerts of one batch; windows that the table holds already are left out.
+
+    The table is stored by day and batch.  A batch that is run again after a failure replaces its own
+    folders, and only the days that the batch touches are read.
+    """
+    spark = alerts.sparkSession
+    if "model_score" not in alerts.columns:
+        alerts = alerts.withColumn("model_score", F.lit(None).cast("double"))
+    names = [c.split()[0] for c in ALERT_COLUMNS.split(", ")]
+    new = alerts.select(*names).dropDuplicates(KEYS).withColumns({"day": F.to_date("window"), "batch": F.lit(batch_id)}).persist()
+    try:
+        days = [r.day for r in new.select("day").distinct().collect()]  # of one batch
+        known = read_alerts(spark, path)
+        if known is not None and days:
+            old = known.filter(F.col("day").isin(days) & (F.col("batch") < batch_id)).select(*KEYS)
+            new = new.join(old, KEYS, "left_anti")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+    finally:
+        new.unpersist()
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame | None:
@@ -84,3 +104,76 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame | None:
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return None
     return spark.read.schema(ALERTS).parquet(path)
+
+
+# --- baselines that are kept as state ------------------------------------------------
+
+SEEN = "n long, mean double, m2 double"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class UserBaseline(StatefulProcessor):
+    """Number, mean and squared deviations of a user's windows so far; every window is scored before it counts."""
+
+    def __init__(self, column: str):
+        self.column = column
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", SEEN)
+
+    def handleInputRows(self, key, rows, timerValues):
+        n, mean, m2 = self.seen.get() if self.seen.exists() else (0, 0.0, 0.0)
+        pdf = pd.concat(list(rows)).sort_values("window", kind="stable")  # the closed windows of one user in one batch
+        scores = []
+        for x in pdf[self.column].astype(float):
+            spread = math.sqrt(m2 / n) if n else 0.0
+            scores.append((x - mean) / spread if spread > 0 else 0.0)
+            n += 1
+            step = x - mean
+            mean += step / n
+            m2 += step * (x - mean)
+        self.seen.update((n, mean, m2))
+        yield pdf.assign(score=scores, seen=range(n - len(pdf), n))
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_scores(windows: DataFrame, column: str = "total_events") -> DataFrame:
+    """Add ``score``, the deviation from the user's windows before, and ``seen``, their number.
+
+    The baseline is state of the query: it survives restarts and needs no table of earlier windows.
+    Windows are taken in order of time within a batch; batches in order of arrival.
+    """
+    schema = windows.schema.simpleString()[len("struct<"):-1]
+    return windows.groupBy("user_name").transformWithStateInPandas(
+        UserBaseline(column), f"{schema}, score double, seen long", outputMode="append", timeMode="None")
+
+
+def stream_model_alerts(windows: DataFrame, path: str, checkpoint: str, threshold: float = 3.0, warm_up: int = 2,
+                        model: str | None = None, columns: list[str] | None = None) -> None:
+    """Alerts from baselines kept as state and, with ``model``, from a saved scaler, model and threshold.
+
+    A window is an alert when its user has ``warm_up`` earlier ones and it is ``threshold`` deviations above
+    them, or when the saved model flags it.
+    """
+    spark = windows.sparkSession
+    ship_package(spark)
+    scored = keyed_scores(windows)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        hit = (F.col("score") > threshold) & (F.col("seen") >= warm_up)
+        if model is not None:
+            judged = score_new_rows(spark, batch.withColumnRenamed("score", "_score"), model, columns)
+            batch = judged.withColumnRenamed("score", "model_score").withColumnRenamed("_score", "score")
+            hit = hit | (F.col("pred") == 1)
+        add_alerts(batch.filter(hit), path, batch_id)
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        query = (scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    query.awaitTermination()

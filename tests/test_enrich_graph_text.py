@@ -199,6 +199,47 @@ def test_stream_equals_batch_and_alerts_are_not_repeated(spark, tmp_path):
     assert [(r.user_name, r.total_events, r.batch) for r in st.read_alerts(spark, str(tmp_path / "al")).collect()] == [("u", 50, 0)]
 
 
+def test_state_survives_a_restart_and_uses_saved_models(spark, tmp_path):
+    import numpy as np
+    from auditmill.operators import models as md
+    columns = ["total_events", "bytes_out_total"]
+    rng = np.random.default_rng(4)
+    rows = [(f"u{i % 3}", W0 + timedelta(minutes=5 * t), int(rng.integers(3, 8)) if t % 29 else 60, float(rng.random())) for i, t in enumerate(range(90))]
+    rows[50] = (*rows[50][:3], 500.0)  # only the model sees this one
+    windows = spark.createDataFrame(rows, "user_name string, window timestamp, total_events long, bytes_out_total double")
+    train = windows.filter("total_events < 20 and bytes_out_total < 2")
+    scaled = md.scale_rows(train, md.scaler(train, columns), columns)
+    model = md.autoencoder_fit(scaled, 1)
+    saved = str(tmp_path / "model")
+    md.save_model(saved, md.scaler(train, columns), model, spark.createDataFrame([(1000.0,)], "threshold double"))
+
+    def run(name, parts):
+        for part in parts:
+            part.write.mode("append").parquet(str(tmp_path / name))
+            stream = spark.readStream.schema(windows.schema).parquet(str(tmp_path / name))
+            st.stream_model_alerts(stream, str(tmp_path / f"{name}-alerts"), str(tmp_path / f"{name}-cp"), 3.0, model=saved, columns=columns)
+        found = st.read_alerts(spark, str(tmp_path / f"{name}-alerts"))
+        return sorted((r.user_name, r.window, r.total_events, round(r.score, 9), round(r.model_score, 6)) for r in found.collect())
+
+    cut = rows[60][1]
+    once = run("once", [windows])
+    assert once == run("twice", [windows.filter(F.col("window") < cut), windows.filter(F.col("window") >= cut)])
+    # batch form of the same
+    want, direct = [], {(r.user_name, r.window): r.score for r in md.score_new_rows(spark, windows, saved, columns).collect()}
+    for user in ("u0", "u1", "u2"):
+        before = []
+        for u, w, x, b in rows:
+            if u == user:
+                sd = np.std(before) if before else 0.0
+                w = w.replace(tzinfo=None)
+                score = (x - np.mean(before)) / sd if sd > 0 else 0.0
+                if (score > 3 and len(before) >= 2) or direct[u, w] >= 1000:
+                    want.append((u, w, x, round(float(score), 9), round(direct[u, w], 6)))
+                before.append(x)
+    assert [r[:3] for r in once] == [r[:3] for r in sorted(want)] and np.allclose([r[3:] for r in once], [r[3:] for r in sorted(want)])
+    assert any(r[3] < 3 for r in once) and any(r[3] > 3 for r in once)
+
+
 def test_trace_follows_chains_of_any_length(spark):
     nodes = [("n00", "Playbook")] + [(f"n{i:02d}", "Window") for i in range(1, 31)]
     nd = spark.createDataFrame([(i, t, i, i) for i, t in nodes], "id string, type string, key string, label string")
