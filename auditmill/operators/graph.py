@@ -310,38 +310,83 @@ def search_summary(matches: DataFrame, edges: DataFrame, top_types: int = 3, fir
 TRACE_TARGETS = ["Playbook", "MITRETechnique", "DetectionPattern"]
 
 
-def trace_paths(nodes: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """For every node the nearest pattern, technique or playbook other than itself.
+def nearest_targets(nodes: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(node, hops, target, via): the two nearest targets of every node, and the next node on the way.
 
-    A breadth-first search from all targets at once that keeps the two nearest targets of
-    each node (one of them may be the node itself): ``hops``, ``target`` and the next node
-    on the way (``via``).  Ties go to the smaller target, then the smaller next node.  Each
-    round is written to the shared folder, which cuts the lineage; the loop ends with the
-    frontier, and only that emptiness test returns to the driver.
+    A breadth-first search from all targets at once; a target is its own nearest one, with hops 0.  Ties go
+    to the smaller target, then the smaller next node.  A node that has its two leaves the search: links and
+    what is known are only those of open nodes.  Each round is written to the shared folder, which
+    cuts the lineage; the loop ends with the frontier, and only that emptiness test returns to the driver.
     """
     links = materialize(expand_all(edges).select("node", "neighbour").distinct(), "links")
-    frontier = nodes.filter(F.col("type").isin(TRACE_TARGETS)).select(
+    frontier = materialize(nodes.filter(F.col("type").isin(TRACE_TARGETS)).select(
         F.col("id").alias("node"), F.lit(0).alias("hops"), F.col("id").alias("target"),
-        F.lit(None).cast("string").alias("via"))
-    seen = frontier
+        F.lit(None).cast("string").alias("via")), "frontier-0")
+    rounds, open_nodes = [frontier], frontier.select("node", "target")
     order = Window.partitionBy("node").orderBy("target")
     for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         reach = (
             links.join(frontier.select(F.col("node").alias("neighbour"), "target"), "neighbour")
             .groupBy("node", "target").agg(F.min("neighbour").alias("via"))
-            .join(seen.select("node", "target"), ["node", "target"], "left_anti"))
-        known = seen.groupBy("node").agg(F.count(F.lit(1)).alias("known"))
+            .join(open_nodes, ["node", "target"], "left_anti"))
+        known = open_nodes.groupBy("node").agg(F.count(F.lit(1)).alias("known"))
         new = materialize(
-            reach.join(known, "node", "left").withColumn("r", F.row_number().over(order))
-            .filter(F.col("r") + F.coalesce("known", F.lit(0)) <= 2)
-            .select("node", F.lit(hop).alias("hops"), "target", "via"), f"frontier-{hop}")
+            reach.join(known, "node", "left").withColumn("r", F.row_number().over(order) + F.coalesce("known", F.lit(0)))
+            .filter(F.col("r") <= 2).select("node", F.lit(hop).alias("hops"), "target", "via", "r"), f"frontier-{hop}")
         if new.isEmpty():
             break
-        seen, frontier = seen.unionByName(new), new
-    return seen.filter(F.col("target") != F.col("node")).groupBy("node").agg(
+        closed = new.filter("r = 2").select("node").distinct()
+        links = materialize(links.join(closed, "node", "left_anti"), "links")
+        open_nodes = materialize(open_nodes.unionByName(new.select("node", "target")).join(closed, "node", "left_anti"), "open")
+        frontier = new.drop("r")
+        rounds.append(frontier)
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def trace_paths(nodes: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """For every node the nearest pattern, technique or playbook other than itself: node, hops, target, via."""
+    return nearest_of(nearest_targets(nodes, edges, max_hops))
+
+
+def nearest_of(found: DataFrame) -> DataFrame:
+    return found.filter(F.col("target") != F.col("node")).groupBy("node").agg(
         F.min(F.struct("hops", "target", "via")).alias("b")).select("node", "b.*")
 
 
+def trace_rows(nodes: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Every node's path to its nearest target as rows: start, step (from 0), node, node_type, edge_type, next.
+
+    ``edge_type`` is that of the edge to ``next``, null at the target.  Pointer doubling: a jump leads from a
+    (node, target) over a power of two of steps; the places of a path before that power give those after
+    it, so all paths unfold in log2(hops) joins.
+    """
+    found = materialize(nearest_targets(nodes, edges, max_hops), "nearest-targets")
+    steps = found.select("node", "target", "hops", "via")
+    jump = steps.filter("hops >= 1").select("node", "target", "hops", F.col("via").alias("to"))
+    rows = materialize(nearest_of(found).select(F.col("node").alias("start"), "target", F.lit(0).alias("step"), "node", F.col("hops").alias("left")), "places")
+    longest, reach = rows.agg(F.coalesce(F.max("left"), F.lit(0))).first()[0], 1
+    while reach <= longest:
+        # the nodes ``reach`` steps after every place that is known
+        further = rows.filter(F.col("left") >= reach).join(jump.select("node", "target", "to"), ["node", "target"])
+        rows = materialize(rows.unionByName(further.select(
+            "start", "target", (F.col("step") + reach).alias("step"), F.col("to").alias("node"), (F.col("left") - reach).alias("left"))), "places")
+        reach *= 2
+        if reach <= longest:
+            half = jump.select(F.col("node").alias("to"), "target", F.col("to").alias("end"))
+            jump = materialize(jump.filter(F.col("hops") >= reach).join(half, ["to", "target"]).select("node", "target", "hops", F.col("end").alias("to")), "jumps")
+    pair = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
+    kinds = edges.select(*pair, "type").groupBy("a", "b").agg(F.min("type").alias("edge_type"))
+    onward = rows.join(steps.select("node", "target", F.col("via").alias("next")), ["node", "target"])
+    onward = onward.withColumns({"next": F.when(F.col("left") > 0, F.col("next")), "a": F.least("node", "next"), "b": F.greatest("node", "next")})
+    named = onward.join(kinds, ["a", "b"], "left").join(nodes.select(F.col("id").alias("node"), F.col("type").alias("node_type")), "node", "left")
+    return named.select("start", "step", "node", "node_type", F.when(F.col("left") > 0, F.col("edge_type")).alias("edge_type"), "next")
+
+
+def path_of(rows: DataFrame, start: str) -> list[str]:
+    """Node ids from ``start`` to its nearest target, from ``trace_rows``."""
+    return [r.node for r in rows.filter(F.col("start") == start).orderBy("step").select("node").collect()]
+
+
 def trace_path(traces: DataFrame, start: str) -> list[str]:
     """Node ids from ``start`` to its nearest target, by following the next nodes."""
     path, row = [start], traces.filter(F.col("node") == start).first()  # one row per step

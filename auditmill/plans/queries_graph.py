@@ -538,13 +538,16 @@ def _(spark, sf):
     return gr.search_summary(gr.keyword_search(nodes, QUESTION), edges)
 
 
-@query("trace_path", """
-WITH RECURSIVE q_und AS (SELECT src AS a, dst AS b FROM q_edges UNION SELECT dst, src FROM q_edges),
-reach(target, node, hops) AS (
+fragment("q_und", "SELECT src AS a, dst AS b, min(type) AS type FROM (SELECT src, dst, type FROM q_edges UNION ALL SELECT dst, src, type FROM q_edges) GROUP BY 1, 2")
+_reach = """WITH RECURSIVE reach(target, node, hops) USING KEY (target, node) AS (
   SELECT id, id, 0 FROM q_nodes WHERE type IN ('Playbook', 'MITRETechnique', 'DetectionPattern')
-  UNION SELECT r.target, u.b, r.hops + 1 FROM reach r JOIN q_und u ON u.a = r.node WHERE r.hops < 4),
-dist AS (SELECT target, node, min(hops) AS hops FROM reach GROUP BY 1, 2),
-best AS (SELECT node, target, hops FROM dist WHERE target <> node QUALIFY row_number() OVER (PARTITION BY node ORDER BY hops, target) = 1)
+  UNION SELECT r.target, u.b, r.hops + 1 FROM reach r JOIN q_und u ON u.a = r.node
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.reach k WHERE k.target = r.target AND k.node = u.b)),
+dist AS MATERIALIZED (SELECT target, node, hops FROM reach),
+best AS MATERIALIZED (SELECT node, target, hops FROM dist WHERE target <> node QUALIFY row_number() OVER (PARTITION BY node ORDER BY hops, target) = 1)"""
+
+
+@query("trace_path", f"""{_reach}
 SELECT b.node, b.hops, b.target, min(u.b) AS via FROM best b JOIN q_und u ON u.a = b.node
 JOIN dist d ON d.node = u.b AND d.target = b.target AND d.hops = b.hops - 1 GROUP BY 1, 2, 3""")
 def _(spark, sf):
@@ -552,6 +555,18 @@ def _(spark, sf):
     return gr.trace_paths(nodes, edges)
 
 
+@query("trace_path_rows", f"""{_reach},
+onward AS MATERIALIZED (SELECT d.target, d.node, min(u.b) AS next FROM dist d JOIN q_und u ON u.a = d.node JOIN dist e ON e.target = d.target AND e.node = u.b AND e.hops = d.hops - 1 GROUP BY 1, 2),
+path(start, target, step, node, hops) AS (SELECT node, target, 0, node, hops FROM best
+  UNION ALL SELECT p.start, p.target, p.step + 1, o.next, p.hops - 1 FROM path p JOIN onward o ON o.target = p.target AND o.node = p.node WHERE p.hops > 0)
+SELECT p.start, p.step, p.node, n.type AS node_type, u.type AS edge_type, CASE WHEN p.hops > 0 THEN o.next END AS next FROM path p JOIN q_nodes n ON n.id = p.node
+LEFT JOIN onward o ON o.target = p.target AND o.node = p.node AND p.hops > 0 LEFT JOIN q_und u ON u.a = p.node AND u.b = o.next""")
+def _(spark, sf):
+    """All paths as rows of nodes with the edge that leads on."""
+    _w, _i, nodes, edges = adapter.graph(spark, sf)
+    return gr.trace_rows(nodes, edges)
+
+
 @query("shared_resource_users", """
 SELECT 'User:' || user_name AS "user", 'Resource:' || request_bucket_name AS resource, count(*) AS events,
   (SELECT count(DISTINCT x.user_name) FROM q_ev x WHERE x.request_bucket_name = e.request_bucket_name) - 1 AS other_users

@@ -246,6 +246,16 @@ def test_trace_follows_chains_of_any_length(spark):
     ed = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", "E") for i in range(30)], "src string, dst string, type string")
     got = {r.node: (r.hops, r.target) for r in gr.trace_paths(nd, ed).collect()}
     assert got == {f"n{i:02d}": (i, "n00") for i in range(1, 31)}
+    rows = gr.trace_rows(nd, ed)
+    steps = sorted((r.start, r.step, r.node, r.node_type, r.edge_type, r.next) for r in rows.collect())
+    want = []
+    for i in range(1, 31):
+        for j in range(i + 1):
+            at = i - j
+            want.append((f"n{i:02d}", j, f"n{at:02d}", "Window" if at else "Playbook", "E" if at else None, f"n{at - 1:02d}" if at else None))
+    assert steps == sorted(want)
+    assert gr.path_of(rows, "n03") == ["n03", "n02", "n01", "n00"] and gr.path_of(rows, "n00") == []
+    assert gr.trace_rows(nd.limit(0), ed.limit(0)).count() == 0
 
 
 THREAT = "user_name string, window timestamp, document_id int, rank int, content string, similarity double"
