@@ -217,15 +217,16 @@ def _(spark, sf):
 @query("grounding_context", """
 SELECT f.query_id, md5(string_agg('[Source ' || f.rank || ': ' || d.source || CASE WHEN d.doc_id % 2 = 0 THEN ' | T' || (1000 + d.doc_id) ELSE '' END
   || ']' || chr(10) || substr(d.text, 1, 600), chr(10) || chr(10) ORDER BY f.rank)
-  || chr(10) || chr(10) || any_value(e.t) || chr(10) || chr(10) || 'No relationships found.') AS context
+  || chr(10) || chr(10) || any_value(e.t) || chr(10) || chr(10) || any_value(e.r)) AS context
 FROM q_found f JOIN documents d ON d.doc_id = f.document_id
-JOIN (SELECT query_id, string_agg('  - [' || collection || '] ' || document_id || ': s', chr(10) ORDER BY rank) AS t FROM q_found GROUP BY 1) e
+JOIN (SELECT query_id, string_agg('  - [' || collection || '] ' || document_id || ': s', chr(10) ORDER BY rank) AS t,
+  string_agg('  - ' || collection || ' --[HOLDS]--> ' || document_id, chr(10) ORDER BY rank) AS r FROM q_found GROUP BY 1) e
   ON e.query_id = f.query_id GROUP BY 1""")
 def _(spark, sf):
     found = searched(spark, sf)
     nodes = found.select("query_id", "rank", F.col("collection").alias("type"), F.col("document_id").cast("string").alias("name"),
                          F.lit("s").alias("description"))
-    edges = found.filter("rank > 99").select("query_id", "rank", F.lit("a").alias("src"), F.lit("t").alias("type"), F.lit("b").alias("dst"))
+    edges = found.select("query_id", "rank", F.col("collection").alias("src"), F.lit("HOLDS").alias("type"), F.col("document_id").cast("string").alias("dst"))
     out = tx.grounding_context(found, search_documents(spark, sf), nodes, edges)
     return out.select("query_id", F.md5("context").alias("context"))
 

@@ -275,10 +275,8 @@ def small_document(spark, similar=None, **more):
 
 def test_prompt_is_whole(spark):
     closing = ("\nATTACK CLASSIFICATION: <one of: privilege_escalation | data_exfiltration | insider_threat | reconnaissance | backdoor_creation | unknown>"
-               "\n\nThen provide:\n1. Reasoning for your classification (2-3 sentences, cite specific MITRE technique IDs)\n2. Top 3 immediate actions for the analyst\n"
-               "3. Key investigation questions to confirm or rule out false positive\n4. Risk if unaddressed (1 sentence)\n\n"
-               "Be specific to AWS. Keep response under 400 words.")
-    past = "\n\nSIMILAR PAST INCIDENTS:\n  - data_exfiltration (similarity=0.75): " + "x" * 120 + "\n  - insider_threat (similarity=0.5): short\n\nYou MUST"
+               + vocab.PROMPT_CLOSING)
+    past = "\n\nSIMILAR PAST INCIDENTS:\n  - data_exfiltration (similarity=0.75): " + "x" * 120 + "\n  - insider_threat (similarity=0.5): short\n\nThe first line"
     doc = small_document(spark)
     text = en.analyst_prompt(doc).first().prompt
     assert text.endswith(closing) and past in text and "third" not in text
