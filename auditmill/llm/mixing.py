@@ -3,7 +3,9 @@
 The weight of a source is its share of tokens raised to an exponent, normalised.  The exponent is
 bisected to meet a target entropy or a limit on repetition; both change monotonically with it.
 A source's weight times the budget is its quota of tokens: whole passes over the source, each in an
-own permutation of blocks, and one pass that stops where the quota is used up.
+own permutation of blocks, and one part pass.  The part pass takes the permutation as far as the
+quota reaches; what the first document that is too long leaves over is filled by the shortest
+documents left, so a source stays below its quota by less than its shortest unused document.
 
 Defined results: a null source is a source of its own; texts without words cost nothing and are
 part of every whole pass; repeated rows are rows of their own; without tokens every row is used
@@ -90,12 +92,26 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: fl
     spark, kind = docs.sparkSession, docs.schema["source"].dataType
     fields = [T.StructField("_source", kind), T.StructField("weight", T.DoubleType()), *(T.StructField(n, T.LongType()) for n in ("_full", "_rest", "_blocks"))]
     quotas = F.broadcast(spark.createDataFrame(plan, T.StructType(fields)))
-    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_blocks"))
-    passes = rows.join(quotas, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_block", block).withColumn(
+    # ids may be missing or repeated: the text takes part in the place of a row
+    passes = rows.withColumn("_place", F.xxhash64("doc_id", "text", F.lit(seed))).join(quotas, F.col("source").eqNullSafe(F.col("_source")))
+    passes = passes.withColumn("_block", F.pmod("_place", "_blocks")).withColumn(
         "epoch", F.explode(F.when(F.col("_full") + (F.col("_rest") > 0).cast("int") > 0, F.sequence(F.lit(0).cast("long"), F.col("_full") - (F.col("_rest") == 0).cast("int")))))
-    order = [F.xxhash64("doc_id", "epoch", F.lit(seed)), F.col("doc_id")]
+    order = [F.xxhash64("_place", "epoch"), F.col("doc_id"), F.col("n_tokens")]
     # blocks in an order of their own in every pass
     ranked = dense_rank_in(passes, ["_source", "epoch"], order, F.xxhash64("_block", "epoch", "_source", F.lit(seed)), "position", {"_used": F.col("n_tokens")})
     whole = F.col("epoch") < F.col("_full")
-    part = (F.col("_used") + F.col("n_tokens") <= F.col("_rest")) & (F.col("n_tokens") > 0)
-    return ranked.filter(whole | part).drop("_source", "_full", "_rest", "_blocks", "_block", "_used")
+    part = ~whole & (F.col("_used") + F.col("n_tokens") <= F.col("_rest")) & (F.col("n_tokens") > 0)
+    taken = ranked.filter(whole | part)
+    helpers = ["_source", "_full", "_rest", "_blocks", "_block", "_used", "_place"]
+    filled = ranked.filter(part).groupBy("_source").agg(F.sum("n_tokens").alias("n")).collect() if any(p[3] for p in plan) else []
+    filled = {r["_source"]: r["n"] for r in filled}
+    gaps = [(p[0], p[3] - filled.get(p[0], 0)) for p in plan]
+    gaps = [g for g in gaps if g[1] > 0]
+    if not gaps:
+        return taken.drop(*helpers)
+    gap = F.broadcast(spark.createDataFrame(gaps, T.StructType([T.StructField("_gap_source", kind), T.StructField("_gap", T.LongType())])))
+    left = ranked.filter(~whole & ~part & (F.col("n_tokens") > 0)).join(gap, F.col("_source").eqNullSafe(F.col("_gap_source")))
+    left = left.filter(F.col("n_tokens") <= F.col("_gap")).drop("_used")
+    left = dense_rank_in(left, ["_source", "epoch"], order, F.col("n_tokens") * F.col("_blocks") + F.col("_block"), "_turn", {"_used": F.col("n_tokens")})
+    more = left.filter(F.col("_used") + F.col("n_tokens") <= F.col("_gap"))
+    return taken.drop(*helpers).unionByName(more.drop(*helpers, "_gap_source", "_gap", "_turn"))

@@ -48,6 +48,26 @@ def test_every_pass_is_whole_or_uses_its_quota(spark, monkeypatch, block):
     assert max(used[s] / n[s] for s in n if n[s]) < 2.6
 
 
+@pytest.mark.parametrize("block", [10_000, 3])
+def test_long_documents_leave_no_gap(spark, monkeypatch, block):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", block)
+    long_text = "w " * 300
+    rows = [(i, "v " * (20 + i % 7), "big") for i in range(300)]
+    rows += [(None if i % 3 == 0 else 1000 + i // 2, "u " * (10 + i % 11), "small") for i in range(60)] + [(2000, long_text, "small"), (2001, long_text, "small")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for budget, seed in ((None, 0), (4_000, 1)):
+        got = mixing.mix(df, max_repetition=1.7, budget=budget, seed=seed).collect()
+        total = budget or max(math.ceil(sum(r.n_tokens for r in got if r.source == s and r.epoch == 0) / w) for s, w in {(r.source, r.weight) for r in got} if s == "big")
+        for source, weight in {(r.source, r.weight) for r in got}:
+            mine = [r for r in got if r.source == source]
+            last = Counter((r.doc_id, r.text) for r in mine if r.epoch == max(r.epoch for r in mine))
+            unused = Counter((r[0], r[1]) for r in rows if r[2] == source) - last
+            quota = weight * total
+            assert sum(r.n_tokens for r in mine) <= quota + 1
+            if unused:
+                assert quota - sum(r.n_tokens for r in mine) < 1 + min(len(t.split()) for _, t in unused)
+
+
 def test_budget_and_empty(spark):
     df = spark.createDataFrame([(i, "a b", "s" if i < 8 else "t") for i in range(10)], "doc_id long, text string, source string")
     got = mixing.mix(df, max_repetition=1.0, budget=10).collect()
