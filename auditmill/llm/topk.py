@@ -9,13 +9,19 @@ The queries meet the candidates in a grid of cells: a task holds one bounded gro
 streams one group of candidates, longest first.  A first pass over the longest candidates gives
 every query a score to beat, so the other cells prune from the start.
 
-Defined results: vectors that are null, empty, hold null or non-finite components, or whose integer
-components need more than 31 bits, and rows without an id take no part; rows with the query's id are its own
-and no candidates; equal scores go to the smaller id; vectors of another length are no candidates.
+Vectors whose integers have a length of 2^31 or more are outliers: products with them may pass 63 bits, so
+they meet all rows in a second grid, in integers of any size.  A result that does not fit a long is an error.
+
+Defined results: vectors that are null, empty or hold null or non-finite components, and rows without an
+id take no part; rows with the query's id are its own and no candidates; equal scores go to the smaller
+id; vectors of another length are no candidates.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,16 +31,24 @@ from auditmill.session import materialize
 
 QUERIES_TOGETHER, CANDIDATES_TOGETHER, MOST_TASKS = 1024, 20_000, 100_000
 SEED_CANDIDATES, SAMPLE = 2_000, 4_096
+WIDE_TOGETHER = 500  # a side of a cell of outliers
 PAIRS = 1 << 20  # exact scores computed at a time
 
 
 def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, x, length): floor(scale * component) of the vectors that take part."""
-    x = F.transform(F.col("embedding").cast("array<double>"), lambda v: v * scale)
-    fits = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float(1 << 31)))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fits, F.transform(x, lambda v: F.floor(v))).alias("x"))
-    length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    return rows.filter(F.col("vec_id").isNotNull() & (F.size("x") > 0)).withColumn("length", length)
+    """(vec_id, x, length, wide): floor(scale * component) of the vectors that take part.
+
+    ``wide`` holds the components of vectors of length 2^31 or more, whose ``x`` is null; else it is null.
+    """
+    v = F.transform("v", lambda c: c * scale)
+    held = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & held)
+    narrow = F.forall(v, lambda c: F.abs(c) < float(1 << 31))
+    rows = rows.withColumn("x", F.when(narrow, F.transform(v, lambda c: F.floor(c))))
+    rows = rows.withColumn("length", F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, c: s + c * c)))
+    fits = F.coalesce(F.col("length") < float(1 << 31), F.lit(False))
+    return rows.select("vec_id", F.when(fits, F.col("x")).alias("x"), F.when(fits, F.col("length")).alias("length"), F.when(~fits, F.col("v")).alias("wide"))
 
 
 def rotations(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -133,8 +147,51 @@ def search_cells(rows: DataFrame, rotation: dict[int, np.ndarray], k: int, tasks
     return python_ready(rows).mapInArrow(run, "query_id long, vec_id long, score long")
 
 
+def whole_numbers(v, scale: int) -> list[int]:
+    """floor(scale * component) at any size; doubles from 2^53 on are whole."""
+    return [int(c) * scale if abs(c) >= 2.0 ** 53 else math.floor(c * scale) for c in v]
+
+
+def search_wide(rows: DataFrame, k: int, scale: int, tasks: int) -> DataFrame:
+    """``rows(cell, kind, vec_id, x, wide)``: as ``search_cells``, for pairs with an outlier, without bounds.
+
+    ``over`` tells the sign of a score that does not fit a long.
+    """
+    rows = rows.repartition(min(tasks, MOST_TASKS), "cell").sortWithinPartitions("cell", "kind", "vec_id")
+    top, low = (1 << 63) - 1, -(1 << 63)
+
+    def out(asked, found):
+        rows = [(q, vec, min(max(-s, low), top), 0 if low <= -s <= top else 1 if s < 0 else -1) for (q, _, _), best in zip(asked, found) for s, vec in best]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, [pa.int64()] * 3 + [pa.int32()])],
+                                          names=["query_id", "vec_id", "score", "over"])
+
+    def run(batches):
+        at, asked, found = None, [], []  # queries, and the best candidates of each
+        for batch in batches:
+            for cell, kind, vec, x, wide in zip(*(batch[c].to_pylist() for c in ("cell", "kind", "vec_id", "x", "wide"))):
+                if cell != at:
+                    if asked:
+                        yield out(asked, found)
+                    at, asked, found = cell, [], []
+                y = x if x is not None else whole_numbers(wide, scale)
+                if kind == 0:
+                    asked.append((vec, y, x is None))
+                    found.append([])
+                    continue
+                for (q, z, is_wide), best in zip(asked, found):
+                    if q != vec and (is_wide or x is None):  # pairs without an outlier are the first grid's
+                        best.append((-sum(a * b for a, b in zip(y, z)), vec))
+                        if len(best) > 8 * k:
+                            best[:] = heapq.nsmallest(k, best)
+            found = [heapq.nsmallest(k, best) for best in found]
+        if asked:
+            yield out(asked, found)
+
+    return python_ready(rows).mapInArrow(run, "query_id long, vec_id long, score long, over int")
+
+
 def first_k(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(*([F.desc("over")] if "over" in found.columns else []), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -143,11 +200,12 @@ def top_k(vectors: DataFrame, is_query: str | Column, k: int = 5, scale: int = 2
 
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on vec_id, as SQL
     or made of ``F.col``.  Repeated query ids
-    are one query (that of the smaller vector).
+    are one query (that of the smaller vector, one that is no outlier first).
     """
-    rows = materialize(integers(vectors.select("vec_id", "embedding"), scale).withColumn("dim", F.size("x")), "integers")
-    queries = rows.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("x", "length", "dim")).alias("r")).select("vec_id", "r.x", "r.length", "r.dim")
-    n_queries, n_rows = queries.count(), rows.count()
+    every = materialize(integers(vectors.select("vec_id", "embedding"), scale).withColumn("dim", F.size(F.coalesce(F.col("x").cast("array<double>"), "wide"))), "integers")
+    all_queries = every.filter(is_query).groupBy("vec_id").agg(F.min(F.struct(F.col("x").isNull(), "x", "length", "dim", "wide")).alias("r")).select("vec_id", "r.x", "r.length", "r.dim", "r.wide")
+    rows, queries = every.filter("wide is null").drop("wide"), all_queries.filter("wide is null").drop("wide")
+    n_queries, n_rows, n_wide = queries.count(), rows.count(), every.filter("wide is not null").count()
     q_groups, c_groups = 1 + n_queries // QUERIES_TOGETHER, 1 + n_rows // CANDIDATES_TOGETHER
     rotation = rotations(rows)
     lowest = F.lit(float("-inf"))
@@ -163,4 +221,20 @@ def top_k(vectors: DataFrame, is_query: str | Column, k: int = 5, scale: int = 2
     beat = materialize(seed.filter(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("score").cast("double").alias("s")), "seed")
     asked = queries.join(beat, F.col("vec_id") == F.col("q"), "left").select("vec_id", "x", "length", "dim", F.coalesce("s", lowest).alias("to_beat"))
     found = first_k(search_cells(cells(asked, rows, c_groups), rotation, k, q_groups * c_groups), k)
+    if n_wide:
+        def outlier_cells(asked: DataFrame, base: DataFrame) -> tuple[DataFrame, int]:
+            qn, cn = 1 + asked.count() // WIDE_TOGETHER, 1 + base.count() // WIDE_TOGETHER
+            other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+            left = asked.withColumn("qg", F.pmod(F.xxhash64("vec_id"), F.lit(qn))).withColumn("cg", other(cn)).withColumn("kind", F.lit(0))
+            right = base.withColumns({"cg": F.pmod(F.xxhash64("vec_id"), F.lit(cn)), "kind": F.lit(1)}).withColumn("qg", other(qn))
+            return left.unionByName(right).select(F.xxhash64("dim", "qg", "cg").alias("cell"), "kind", "vec_id", "x", "wide"), qn * cn
+
+        no_wide = rows.withColumn("wide", F.lit(None).cast("array<double>"))
+        outliers = every.filter("wide is not null")
+        found = found.select("query_id", "vec_id", "score", F.lit(0).alias("over"))
+        for asked_too, base in ((all_queries, outliers), (all_queries.filter("wide is not null"), no_wide)):
+            grid, tasks = outlier_cells(asked_too, base)
+            found = found.unionByName(search_wide(grid, k, scale, tasks))
+        found = first_k(found, k)
+        found = found.withColumn("score", F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit 63 bits")).cast("long")))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
