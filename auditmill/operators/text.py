@@ -13,6 +13,7 @@ from auditmill.functions.scalars import any_contains, fixed, ts_text
 from auditmill.operators.embedding import TextModel
 from auditmill.operators.graph import type_bonus
 from auditmill.operators.knn import MetricIndex, knn_join
+from auditmill.session import materialize
 
 
 def _count(c: str) -> Column:
@@ -212,30 +213,60 @@ def question_keywords(text: Column) -> Column:
 GRAM = 4
 
 
-def entity_focus(questions: DataFrame, nodes: DataFrame, max_terms: int | None = None, per_term: int | None = None) -> DataFrame:
+def grams(text: Column) -> Column:
+    """The distinct pieces of ``GRAM`` letters, the text itself where it is shorter."""
+    return F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(GRAM))))
+
+
+class GramIndex:
+    """Stored posting rows of the pieces of texts, for exact substring search.
+
+    ``nodes(id, type, text)`` in lower case; nodes without an id or text are not found.  The postings hold ids
+    only, one row for each (piece, node), so a frequent piece is many rows and no long list.
+    """
+
+    def __init__(self, nodes: DataFrame):
+        self.nodes = materialize(nodes.select("id", "type", "text").filter(F.col("id").isNotNull() & F.col("text").isNotNull()), "gram-nodes")
+        self.postings = materialize(self.nodes.select(F.explode(grams(F.col("text"))).alias("gram"), "id").distinct(), "gram-postings")
+        self.lengths = materialize(self.postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram-lengths")
+
+    def find(self, terms: DataFrame) -> DataFrame:
+        """(term, id, type) of the nodes that contain each distinct ``term`` of at least ``GRAM`` letters.
+
+        A term is looked up by its rarest piece; one with a piece that no text holds is found nowhere.
+        """
+        asked = terms.select("term").distinct().filter(F.length("term") >= GRAM).withColumn("pieces", grams(F.col("term")))
+        known = asked.select("term", F.size("pieces").alias("of"), F.explode("pieces").alias("gram")).join(self.lengths, "gram")
+        rarest = known.groupBy("term").agg(
+            F.min(F.struct("n", "gram")).alias("r"), F.count(F.lit(1)).alias("held"), F.first("of").alias("of")).filter("held = of")
+        at = rarest.select("term", F.col("r.gram").alias("gram")).join(self.postings, "gram").select("term", "id").distinct()
+        return at.join(self.nodes, "id").filter(F.col("text").contains(F.col("term"))).select("term", "id", "type").distinct()
+
+
+def entity_focus(questions: DataFrame, nodes: DataFrame | GramIndex, max_terms: int | None = None, per_term: int | None = None) -> DataFrame:
     """Best node per question over the nodes that contain one of its terms.
 
-    ``questions(question_id, text)``; ``nodes(id, type, text)`` in lower case.  Terms have at
-    least four letters, so a term is looked up by its first four: the substring join is an
-    equi-join on four-letter pieces, verified afterwards.  Each distinct term is searched
-    once, whatever the number of questions that use it.  ``max_terms`` and ``per_term`` limit
-    the terms of a question and the nodes of a term; without them all count.
+    ``questions(question_id, text)``; ``nodes(id, type, text)`` in lower case, or their index.  Each distinct
+    list of terms is answered once, whatever the number of questions that have it, and each distinct
+    term searched once.  ``max_terms`` and ``per_term`` limit the terms of a question and the nodes of a
+    term; without them all count.  Questions without a hit give no row.
     """
+    index = nodes if isinstance(nodes, GramIndex) else GramIndex(nodes)
     all_terms = F.concat(F.transform(extract_entities(F.col("text")), F.lower), question_keywords(F.col("text")))
     if max_terms is not None:
         all_terms = F.slice(all_terms, 1, max_terms)
-    asked = questions.select("question_id", F.posexplode(all_terms).alias("pos", "term"))
-    terms = asked.select("term").distinct().withColumn("gram", F.substring("term", 1, GRAM))
-    pieces = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("text") - (GRAM - 1), F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(GRAM))))
-    indexed = nodes.select("id", "type", "text", F.explode(pieces).alias("gram"))
-    hits = indexed.join(terms, "gram").filter(F.col("text").contains(F.col("term"))).select("term", "id", "type")
+    asked = questions.select("question_id", all_terms.alias("terms")).withColumn("list_id", F.sha2(F.to_json("terms"), 256))
+    lists = materialize(asked.groupBy("list_id").agg(F.first("terms").alias("terms")), "term-lists")
+    rows = lists.select("list_id", F.posexplode("terms").alias("pos", "term"))
+    hits = index.find(rows)
     if per_term is not None:
         order = Window.partitionBy("term").orderBy("id")
         hits = hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_term)
-    found = asked.join(hits, "term").groupBy("question_id", "id", "type").agg(F.min("pos").alias("pos"))
+    found = rows.join(hits, "term").groupBy("list_id", "id", "type").agg(F.min("pos").alias("pos"))
     best = F.max_by(F.struct("id", "type"), F.struct(type_bonus(F.col("type"), vocab.FOCUS_PRIORITY), -F.col("pos")))
-    return found.groupBy("question_id").agg(F.count(F.lit(1)).alias("candidates"), best["type"].alias("focus_type"))
+    answers = found.groupBy("list_id").agg(F.count(F.lit(1)).alias("candidates"), best["type"].alias("focus_type"))
+    return asked.select("question_id", "list_id").join(answers, "list_id").select("question_id", "candidates", "focus_type")
 
 
 def classify_query(text: Column) -> Column:

@@ -777,7 +777,7 @@ def _events_stream(spark, sf, path):
     return spark.readStream.schema(adapter.events(spark, sf).schema).parquet(path)
 
 
-STREAM_COUNTS = ["total_events", *ft.FLAG_COUNTS]
+STREAM_COUNTS = ["total_events", *ft.FLAG_COUNTS, *st.DISTINCT_COUNTS]
 
 
 @query("stream_window_counts", f"""

@@ -35,24 +35,34 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
      .outputMode(mode).trigger(availableNow=True).start().awaitTermination())
 
 
+DISTINCT_COUNTS = {"unique_resources": "request_bucket_name", "unique_ips": "sourceIPAddress", "unique_event_types": "eventName"}
+
+
 def stream_window_counts(events: DataFrame, window_minutes: int = 5, delay: str = "10 minutes") -> DataFrame:
     """Window counts on a stream; rows later than ``delay`` are dropped.
 
-    Exact distinct counts of several columns are not available on streams, so the three
-    distinct counts are approximate here.
+    Two aggregations in a chain: the first keeps one row for each value of a window, the second counts
+    these, so the distinct counts are exact.  The state holds the distinct values of the open windows; a
+    busy user is spread by them in the first aggregation.
     """
+    size = f"{window_minutes} minutes"
     rows = event_flags(events.filter(F.col("user_name").isNotNull()).withColumn(
         "is_business_hours", F.coalesce(is_business_hours(F.col("eventTime")), F.lit(False))))
-    counted = (
-        rows.withWatermark("eventTime", delay)
-        .groupBy("user_name", F.window("eventTime", f"{window_minutes} minutes").alias("w"))
-        .agg(F.count("eventID").alias("total_events"),
-             *[F.sum(F.col(flag).cast("long")).alias(name) for name, flag in FLAG_COUNTS.items()],
-             F.approx_count_distinct("request_bucket_name").alias("unique_resources"),
-             F.approx_count_distinct("sourceIPAddress").alias("unique_ips"),
-             F.approx_count_distinct("eventName").alias("unique_event_types"),
-             F.sum("bytes_transferred_out").alias("bytes_out_total"), F.max("bytes_transferred_out").alias("bytes_out_max")))
-    return with_ratios(counted.withColumn("window", F.col("w.start")).drop("w"))
+    parts = F.array(F.struct(F.lit("all").alias("part"), F.xxhash64("eventID").bitwiseAND(F.lit(63)).cast("string").alias("value")), *[
+        F.struct(F.lit(name).alias("part"), F.col(column).alias("value")) for name, column in DISTINCT_COUNTS.items()])
+    sums = {name: F.sum(F.col(flag).cast("long")) for name, flag in FLAG_COUNTS.items()}
+    sums |= {"total_events": F.count("eventID"), "bytes_out_total": F.sum("bytes_transferred_out")}
+    values = (
+        rows.withWatermark("eventTime", delay).withColumn("p", F.explode(parts))
+        .groupBy("user_name", F.window("eventTime", size).alias("w"), F.col("p.part").alias("part"), F.col("p.value").alias("value"))
+        .agg(*[c.alias(name) for name, c in sums.items()], F.max("bytes_transferred_out").alias("bytes_out_max")))
+    whole = F.col("part") == "all"
+    counted = values.groupBy("user_name", F.window("w", size).alias("v")).agg(
+        F.sum(F.when(whole, F.col("total_events"))).alias("total_events"),
+        *[F.sum(F.when(whole, F.col(name))).alias(name) for name in FLAG_COUNTS],
+        *[F.count(F.when(F.col("part") == name, F.col("value"))).alias(name) for name in DISTINCT_COUNTS],
+        F.sum(F.when(whole, F.col("bytes_out_total"))).alias("bytes_out_total"), F.max("bytes_out_max").alias("bytes_out_max"))
+    return with_ratios(counted.withColumn("window", F.col("v.start")).drop("v"))
 
 
 def stream_dedup(events: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -178,7 +178,8 @@ def test_playbook_scores(spark):
 
 
 def test_stream_equals_batch_and_alerts_are_not_repeated(spark, tmp_path):
-    rows = [(f"e{i}", f"u{i % 3}", W0 + timedelta(minutes=7 * i), "GetObject", "s3", True, False, "b", "ip", 1.0) for i in range(120)]
+    rows = [(f"e{i}", f"u{i % 3}", W0 + timedelta(minutes=7 * i), "GetObject" if i % 5 else "PutObject", "s3", True, False,
+             None if i % 4 == 0 else f"b{i % 3 + i % 2}", "ip" if i % 2 else None, 1.0) for i in range(120)]
     rows.append(("last", "z", W0 + timedelta(days=9), "GetObject", "s3", True, False, "b", "ip", 1.0))
     ddl = ("eventID string, user_name string, eventTime timestamp, eventName string, service string, is_read_only boolean, is_error boolean, "
            "request_bucket_name string, sourceIPAddress string, bytes_transferred_out double")
@@ -186,7 +187,7 @@ def test_stream_equals_batch_and_alerts_are_not_repeated(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = st.stream_window_counts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 60)
     st.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
-    pick = ["user_name", "window", "total_events", "s3_get_events", "unique_resources"]
+    pick = ["user_name", "window", "total_events", "s3_get_events", "unique_resources", "unique_ips", "unique_event_types", "bytes_out_total", "bytes_out_max"]
     got = {tuple(r) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).select(*pick).collect()}
     batch = ft.user_window_counts(df.withColumn("is_business_hours", F.lit(True)), 60).filter("user_name <> 'z'")
     assert got == {tuple(r) for r in batch.select(*pick).collect()}
@@ -309,3 +310,25 @@ def test_document_by_the_graph(spark):
     assert found(indicator_edges=edges, alert_vectors=av.limit(0), pattern_vectors=pv)[1] == [("IOC-IAM-001", by, None, ["f"]), ("IOC-BEHAV-001", by, None, ["f"])]
     # without an edge the window's events tell
     assert found(indicator_edges=edges.limit(0))[1] == [(f"IOC-S3-00{i}", "graph_bridge_event_match", None, []) for i in (1, 2)]
+
+
+def test_gram_index_finds_every_substring(spark):
+    import random
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randrange(0, 30))) for _ in range(150)]
+    rows = [(f"n{i}", "Playbook", t) for i, t in enumerate(texts)] + [("none", "Playbook", None), (None, "Playbook", "abca"), ("n1", "Playbook", texts[1])]
+    terms = ["".join(rng.choice("abc ") for _ in range(rng.randrange(4, 8))) for _ in range(80)] + ["zzzz", texts[3] + texts[4], "abc"]
+    index = tx.GramIndex(spark.createDataFrame(rows, "id string, type string, text string"))
+    got = index.find(spark.createDataFrame([(t,) for t in terms] * 2, "term string"))
+    assert sorted((r.term, r.id) for r in got.collect()) == sorted({(t, f"n{i}") for t in terms if len(t) >= 4 for i, text in enumerate(texts) if t in text})
+    lengths = {r.gram: r.n for r in index.lengths.collect()}
+    assert lengths["abca"] == sum("abca" in t for t in texts)
+
+
+def test_equal_questions_are_answered_once(spark):
+    nodes = spark.createDataFrame([("a", "Playbook", "rotate keys quickly"), ("b", "MITRETechnique", "t1098 account keys"), ("c", "Playbook", "nothing")], "id string, type string, text string")
+    asked = [(1, "how to rotate keys"), (2, "how to rotate keys"), (3, "what is T1098"), (4, None), (5, ""), (6, "unheardof words")]
+    index = tx.GramIndex(nodes)
+    for where in (nodes, index):
+        got = tx.entity_focus(spark.createDataFrame(asked, "question_id long, text string"), where)
+        assert sorted(tuple(r) for r in got.collect()) == [(1, 2, "MITRETechnique"), (2, 2, "MITRETechnique"), (3, 1, "MITRETechnique")]
