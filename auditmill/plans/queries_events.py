@@ -164,6 +164,18 @@ def _(spark, sf):
     return src.read_audit_json(spark, _buckets(spark, sf)).select(*RAW_OUT)
 
 
+@query("skipped_audit_files", """
+SELECT 'c_nationkey=' || c_nationkey AS folder, count(DISTINCT c_nationkey) AS files FROM customer WHERE c_nationkey IS NOT NULL GROUP BY c_nationkey""")
+def _(spark, sf):
+    """Logs of all events, and beside them JSON documents of another kind."""
+    path = _buckets(spark, sf)
+    other = adapter.table(spark, sf, "customer").select("c_nationkey", F.to_json(F.struct("c_custkey", "c_name")).alias("c")).filter("c_nationkey is not null")
+    (other.groupBy("c_nationkey").agg(F.min("c").alias("first_customer")).write.partitionBy("c_nationkey").option("compression", "gzip")
+     .mode("append").json(f"{path}/other"))
+    skipped = src.skipped_audit_files(spark, path)
+    return skipped.groupBy(F.element_at(F.split("file", "/"), -2).alias("folder")).agg(F.count(F.lit(1)).alias("files"))
+
+
 @query("read_audit_json_range",
        _raw_sql + " WHERE q_flat.eventTime >= TIMESTAMP '2024-01-05' AND q_flat.eventTime < TIMESTAMP '2024-01-13'")
 def _(spark, sf):

@@ -626,6 +626,16 @@ def _(spark, sf):
     return out.select("key", "truth", F.round("context_precision", 6).alias("context_precision"), F.round("context_recall", 6).alias("context_recall"))
 
 
+@query("expected_term_coverage_mean", """
+SELECT count(*) AS incidents, round(avg(p), 6) AS context_precision, round(avg(r), 6) AS context_recall FROM (
+  SELECT i.key, avg(CAST(contains(lower(i.header), e.term) AS INT)) AS p, avg(CAST(contains(lower(i."full"), e.term) AS INT)) AS r
+  FROM q_inc i JOIN q_truth t ON t."user" = i."user" JOIN q_terms e ON e.attack = t.truth GROUP BY 1)""")
+def _(spark, sf):
+    names = ["context_precision", "context_recall"]
+    out = ev.mean_metrics(ev.expected_term_coverage(incidents(spark, sf), ev.user_truth(adapter.alerts(spark, sf))), names)
+    return out.select("incidents", *[F.round(c, 6).alias(c) for c in names])
+
+
 def _class_sql(c):
     scan = " ".join("WHEN " + " OR ".join(f"regexp_matches(lower({c}), '{p}')" for p in ps) + f" THEN '{k}'" for k, ps in vocab.CLASS_PATTERNS.items())
     stated = f"lower(regexp_extract({c}, '(?i)ATTACK CLASSIFICATION[:\\s]+(\\w+)', 1))"

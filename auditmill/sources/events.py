@@ -18,12 +18,6 @@ def read_audit_json(spark: SparkSession, path, max_files: int | None = None) ->
     are not splittable, so parallelism comes from the number of files.  ``max_files``
     keeps the first files by name, as a listing only (no content is read for it).
     """
-    reader = (
-        spark.read.schema(schema.RAW_FILE)
-        .option("multiLine", True).option("mode", "PERMISSIVE")
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json.gz")
-        .option("ignoreCorruptFiles", True)
-    )
     if max_files:
         names = (
             spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -31,7 +25,30 @@ def read_audit_json(spark: SparkSession, path, max_files: int | None = None) ->
             .select("path").orderBy("path").limit(max_files)
         )
         path = [r.path for r in names.collect()]  # at most max_files names
-    return reader.json(path).select(F.explode("Records").alias("r")).select("r.*")
+    return _documents(spark, path).select(F.explode("Records").alias("r")).select("r.*")
+
+
+def _documents(spark: SparkSession, path) -> DataFrame:
+    """One row for each file that can be decoded; ``Records`` is null where it has none."""
+    return (
+        spark.read.schema(schema.RAW_FILE)
+        .option("multiLine", True).option("mode", "PERMISSIVE")
+        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json.gz")
+        .option("ignoreCorruptFiles", True).json(path)
+    )
+
+
+def skipped_audit_files(spark: SparkSession, path) -> DataFrame:
+    """(file, bytes) of the ``*.json.gz`` files below ``path`` that ``read_audit_json`` takes nothing from.
+
+    These are files that cannot be decoded and files without ``Records``; a file with an empty list is read.
+    The listing reads no content.
+    """
+    name = F.col("_metadata.file_path").alias("file")
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json.gz").load(path)
+              .select(name, F.col("length").alias("bytes")))
+    read = _documents(spark, path).filter("Records is not null").select(name).distinct()
+    return listed.join(read, "file", "left_anti")
 
 
 def day_paths(base: str, start: str, end: str) -> list[str]:

@@ -186,3 +186,18 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(unset)
+
+
+def test_skipped_files_are_named(spark, tmp_path):
+    record = {"eventID": "a", "eventTime": "2026-02-23T10:00:00Z", "eventName": "GetObject"}
+    whole = gzip.compress(json.dumps({"Records": [record] * 500 + [{**record, "eventID": str(i)} for i in range(2000)]}).encode())
+    files = {"2026/02/23/good one.json.gz": whole, "2026/02/23/empty.json.gz": gzip.compress(b'{"Records": []}'),
+             "2026/02/24/cut.json.gz": whole[:len(whole) // 2], "2026/02/24/none.json.gz": gzip.compress(b'{"Other": 1}'),
+             "2026/02/24/junk.json.gz": b"no gzip at all", "2026/02/24/text.json.gz": gzip.compress(b"no json"), "2026/02/24/notes.txt": b"x"}
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = src.skipped_audit_files(spark, str(tmp_path)).collect()
+    assert sorted(r.file.rsplit("/", 1)[1] for r in got) == ["cut.json.gz", "junk.json.gz", "none.json.gz", "text.json.gz"]
+    assert {r.file.rsplit("/", 1)[1]: r.bytes for r in got}["junk.json.gz"] == 14
+    assert src.read_audit_json(spark, str(tmp_path)).count() == 2500
