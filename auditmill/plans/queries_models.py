@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditmill import vocab
-from auditmill.operators import alerts as al, models as md, scoring as sc
+from auditmill.operators import alerts as al, autoencoder as ae, models as md, scoring as sc
 from auditmill.operators.knn import knn_join
 from auditmill.plans import adapter
 from auditmill.plans.fragments import grid_sql
@@ -158,6 +158,55 @@ def _(spark, sf):
         "user_name", "window", F.round("score", 6).alias("score"), "pred")
 
 
+_NETWORKS: dict = {}
+
+
+def networks(spark, sf):
+    """Networks for all rates, trained once per session over the normal windows and stored as a table; with their losses."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _NETWORKS:
+        train, rows = scaled(spark, sf)
+        trained = ae.fit(train, len(vocab.FEATURE_COLUMNS))
+        _NETWORKS[key] = materialize(ae.to_table(spark, trained), "networks"), [n.losses for n in trained], rows
+    table, losses, rows = _NETWORKS[key]
+    return ae.from_table(table), losses, rows
+
+
+@query("autoencoder_selection", """
+SELECT network, rate, windows, CAST(0 AS BIGINT) AS below_zero, true AS learned, true AS flags_known, CAST(1 AS BIGINT) AS n_best
+FROM (SELECT unnest([0, 1, 2]) AS network, unnest([0.02, 0.01, 0.005])::DOUBLE AS rate) CROSS JOIN (SELECT count(*) AS windows FROM q_feat)""")
+def _(spark, sf):
+    """The networks of all rates on all windows, with the properties that hold whatever was learned.
+
+    ``flags_known``: the chosen threshold flags no fewer windows than its percentile leaves above it.
+    """
+    trained, losses, rows = networks(spark, sf)
+    table, scored = ae.selection(rows, trained, vocab.MODEL_PERCENTILES)
+    table = materialize(table, "network-grid")
+    learned = F.array(*[F.lit(bool(x and x[-1] < x[0])) for x in losses])
+    counted = scored.join(F.broadcast(table), "network").groupBy("network", "rate").agg(
+        F.count("score").alias("windows"), F.count_if(F.col("score") < 0).alias("below_zero"),
+        (F.count_if(F.col("score") >= F.col("threshold")) >= F.floor(F.count("score") * (100 - F.max("percentile")) / 100)).alias("flags_known"))
+    n_best = table.agg(F.count_if("best")).scalar()
+    return counted.select("network", "rate", "windows", "below_zero", F.element_at(learned, F.col("network") + 1).alias("learned"), "flags_known", n_best.alias("n_best"))
+
+
+@query("autoencoder_score_new", """
+SELECT user_name, w AS "window", true AS same, true AS flagged_right FROM q_feat""")
+def _(spark, sf):
+    """Scores by the saved scaler, network and threshold beside those of the network in memory."""
+    trained, _, rows = networks(spark, sf)
+    direct = materialize(ae.score(rows, trained[0]), "network-scores")
+    cut = md.contamination_threshold(direct.filter("not is_attack"), 0.05)
+    feats, path = features(spark, sf), scratch_path(spark, "network")
+    ae.save(path, md.scaler(md.normal_only_split(feats)[0]), trained[0], cut)
+    saved = ae.score_new_rows(spark, feats, path).select("user_name", "window", "score", "pred")
+    both = saved.join(direct.select("user_name", "window", F.col("score").alias("direct")), ["user_name", "window"])
+    limit = spark.read.parquet(f"{path}/threshold").select("threshold").scalar()
+    return both.select("user_name", "window", (F.abs(F.col("score") - F.col("direct")) <= 1e-6 * (1 + F.col("direct"))).alias("same"),
+                       (F.col("pred") == (F.col("score") >= limit).cast("int")).alias("flagged_right"))
+
+
 @query("best_f1_threshold", f"""
 SELECT 'model' AS grid, percentile, round(threshold, 6) AS threshold, round(f1, 6) AS f1
 FROM (SELECT * FROM ({grid_sql('q_sc', 'lof_score', vocab.MODEL_PERCENTILES)}) ORDER BY f1 DESC, percentile LIMIT 1)
