@@ -9,6 +9,10 @@ Training is one pass over all labelled texts: the expected count of every piece
 posterior over segmentations of a language-neutral start model, summed per language.  Only the
 table of languages times pieces leaves the tasks; its size is bound by the vocabulary.
 
+The posterior compares the learned languages with each other only, so letter junk gets a high score as well.
+``understood`` tells it apart: a text goes with its language while its log-likelihood per character is at most
+``TIMES`` as bad as that of the language's middle labelled text.
+
 Defined results: a null text or one without a letter is ``und`` with score 0, and so is every text
 if nothing was labelled; equal scores go to the alphabetically first language; texts are read whole.
 """
@@ -30,6 +34,8 @@ LONGEST = 16  # characters of a piece, mark included; longer pieces of the vocab
 SMOOTHING = 0.5  # added to each expected count
 START = 1e-3  # what each piece costs in the start model
 KNOWN_WORDS, TOGETHER = 150_000, 20_000
+TIMES = 2.0  # how much worse per character than the middle labelled text a text may be
+MARGIN = 10.0  # what is allowed beyond, in nats over the whole text: a few characters prove little
 PART = 64  # characters after which a very long word is cut
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -213,11 +219,17 @@ def train(labelled: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
     return langs, (table / table.sum(axis=0)).astype(np.float32)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (posterior under equal priors) to ``docs``, from ``text`` alone."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, text: str = "text", fit: bool = False) -> DataFrame:
+    """Add ``lang_pred`` and ``score`` (posterior under equal priors) to ``docs``, from ``text`` alone.
+
+    With ``fit``, also ``log_likelihood`` of the text in its language and ``chars_read``, the characters of its
+    words with their marks; both are 0 for ``und``.
+    """
     langs, table = model
     made = [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)]
-    rest = docs.drop("lang_pred", "score")
+    if fit:
+        made += [T.StructField("log_likelihood", T.DoubleType(), False), T.StructField("chars_read", T.LongType(), False)]
+    rest = docs.drop(*[f.name for f in made])
     schema = T.StructType([*rest.schema.fields, *made])
     sent = docs.sparkSession.sparkContext.broadcast(table)  # languages x vocabulary: bounded
 
@@ -234,16 +246,34 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, te
             new = list(dict.fromkeys(w for ws in words for w in ws if w not in number))
             number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
             rows = np.concatenate([rows, *(log_likelihoods(new[a:a + TOGETHER], pieces, probabilities) for a in range(0, len(new), TOGETHER))])
-            pred, score = [], []
+            pred, score, likely, chars = [], [], [], []
             for ws in words:
+                chars.append(sum(map(len, ws)) if fit else 0)
                 if not ws:
                     pred.append(UNDETERMINED)
                     score.append(0.0)
+                    likely.append(0.0)
                     continue
                 total = rows[list(map(number.__getitem__, ws))].sum(axis=0)
                 best = int(total.argmax())
                 pred.append(langs[best])
                 score.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*[batch[n] for n in schema.names[:-2]], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=schema.names)
+                likely.append(float(total[best]))
+            told = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(likely, pa.float64()), pa.array(chars, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[batch[n] for n in schema.names[:-len(made)]], *told[:len(made)]], names=schema.names)
 
     return python_ready(rest).mapInArrow(run, schema)
+
+
+def understood(told: DataFrame, lang: str = "lang") -> DataFrame:
+    """The rows of ``told`` (of ``identify`` with ``fit``, written once) that read like their language.
+
+    The middle text of a language is the median over all rows labelled with the language that was
+    predicted; where there is none, its rows stay.  ``und`` goes.
+    """
+    per_char = F.col("log_likelihood") / F.col("chars_read")
+    middle = told.filter((F.col(lang) == F.col("lang_pred")) & (F.col("chars_read") > 0)).groupBy(
+        F.col("lang_pred").alias("_lang")).agg(F.percentile_approx(per_char, 0.5, 10_000).alias("_middle"))
+    least = TIMES * F.col("_middle") * F.col("chars_read") - MARGIN
+    rows = told.filter(F.col("lang_pred") != UNDETERMINED).join(middle, F.col("lang_pred") == F.col("_lang"), "left")
+    return rows.filter(F.coalesce(F.col("log_likelihood") >= least, F.lit(True))).drop("_lang", "_middle")

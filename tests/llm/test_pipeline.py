@@ -1,11 +1,13 @@
 """The stages of the corpus pipeline, each against brute force on its own input."""
 
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from auditmill.llm import bpe
@@ -51,6 +53,27 @@ def test_language_keeps_texts_with_letters(steps):
     assert all(i not in ids(steps[2]) for i, t in before.items() if not any(c.isalpha() for c in t or ""))
 
 
+def test_language_drops_letter_junk_and_keeps_every_language(spark, steps):
+    """Random letters go, labelled clean documents of every language stay, short texts and rows of any kind are judged."""
+    rng = random.Random(9)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 10)))
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшщыэюя"]
+    junk = [(-1 - i, " ".join(word(alphabets[i % 3]) for _ in range(rng.choice([8, 30, 200]))), None, "s", 0) for i in range(300)]
+    odd = [(-1000, None, "en", "s", 0), (-1001, "", "en", "s", 0), (-1002, "12 34", "en", "s", 0), (-1003, "the", None, "s", 3), (-1003, "the", None, "s", 3)]
+    docs = steps[1].unionByName(spark.createDataFrame([*junk, *odd], steps[1].schema)).withColumn("lang_pred", F.lit("x")).withColumn("chars_read", F.lit("y"))
+    got = corpus_pipeline.known_language(spark, docs, SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    kept = ids(got)
+    assert sum(-300 <= i < 0 for i in kept) <= 0.1 * len(junk)
+    assert sorted(i for i in kept if i < -300) == [-1003, -1003]
+    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    clean = [(r.doc_id, r.lang) for r in steps[1].collect() if labels.get(r.doc_id) == (1, 0)]
+    for lang in {x for _, x in clean}:
+        mine = [i for i, x in clean if x == lang]
+        assert len(set(mine) & set(kept)) >= 0.98 * len(mine)
+    assert corpus_pipeline.known_language(spark, docs.limit(0), SF).count() == 0
+
+
 def test_near_duplicates_equal_brute_force(steps):
     rows = [(r.doc_id, r.text) for r in steps[2].collect()]
     assert sorted(ids(steps[3])) == sorted(i for i, _, _, kept in brute(rows, 5, 80) if kept)
