@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditmill.llm import bpe, langid, minhash, mixing, quality
-from auditmill.session import scratch_path
+from auditmill.session import materialize, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.5  # of the language
@@ -22,10 +22,10 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those whose language stays open."""
+    """Drop documents without a letter, those whose language stays open and those that read like none."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    told = langid.identify(docs, langid.train(docs.select("text", "lang"), path), path)
-    return told.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    told = langid.identify(docs.select(*COLUMNS), langid.train(docs.select("text", "lang"), path), path, fit=True)
+    return langid.understood(materialize(told, "told")).filter(F.col("score") >= LEAST_SCORE).select(*COLUMNS)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
