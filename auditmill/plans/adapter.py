@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditmill import vocab
 from auditmill.functions.scalars import is_business_hours
-from auditmill.session import ensure_utc, scratch_path
+from auditmill.session import ensure_sizes, ensure_utc, scratch_path
 
 FINE_MINUTES = 720
 CONTEXT_MINUTES = 10080
@@ -20,7 +20,7 @@ CONTEXT_MINUTES = 10080
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table, read as it is stored."""
-    ensure_utc(spark)
+    ensure_sizes(ensure_utc(spark))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -150,6 +150,7 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     Windows, scores and alerts are stage outputs that later steps read from storage;
     queries about a stage itself (such as ``feature_matrix``) compute it from the events.
     """
+    ensure_sizes(spark)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STAGES:
         df, path = build(), scratch_path(spark, name)

@@ -14,6 +14,9 @@ from pyspark.sql import SparkSession
 
 
 _OWN: set[str] = set()
+#: Rows in memory over their size in compressed columns.  Spark compares file sizes with its limit for broadcasts; windows
+#: and scores of a few bytes a row would be sent whole to every executor, as hash tables some 70 times their files.
+FILE_COMPRESSION = "spark.sql.sources.fileCompressionFactor", "40"
 
 
 def build_session(app: str = "auditmill", master: str | None = None, **conf) -> SparkSession:
@@ -26,6 +29,7 @@ def build_session(app: str = "auditmill", master: str | None = None, **conf) ->
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config(*FILE_COMPRESSION)
     )
     if master:
         b = b.master(master)
@@ -41,6 +45,14 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ensure_sizes(spark: SparkSession) -> SparkSession:
+    """Let Spark judge broadcasts by the size in memory, where the session does not say otherwise."""
+    name, factor = FILE_COMPRESSION
+    if float(spark.conf.get(name)) == 1.0:
+        spark.conf.set(name, factor)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
