@@ -47,3 +47,33 @@ def test_a_chunk_holds_a_bounded_number_of_neighbours(monkeypatch):
     assert told["rep"].to_pylist() == list(range(40))
     for i, ids in enumerate(told["ids"].to_pylist()):
         assert ids == np.argsort(((x - q[i]) ** 2).sum(1), kind="stable")[:keep].tolist()
+
+
+def test_chunks_are_held_together_where_that_moves_fewer_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(knn, "LEAST_TOGETHER", 50)
+    monkeypatch.setattr(knn, "CHUNKS", 12)
+    rng = np.random.default_rng(8)
+    x, q = rng.normal(size=(900, 24)), rng.normal(size=(700, 24))
+    x[300:600] = x[:300]  # copies are told apart by their ids
+    df = spark.createDataFrame([(f"p{i}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id long, vector array<double>")
+    index = MetricIndex.fit(df, most=5, path=f"{tmp_path}/index", block_rows=50, points_per_cell=50)
+    wanted, chunks = index._dealt(asked.select(F.col("vector").alias("vec")), 5)
+    rows, groups, parts = index._moved(wanted.withColumn("limit", F.lit(float("inf"))), chunks, 5)
+    assert chunks == 12 and groups < chunks and groups * parts >= chunks
+    assert rows.count() <= 600 * groups + 700 * parts <= 0.6 * (600 * chunks + 700)
+    got = {}
+    for r in index.search(asked, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.neighbor_id)
+    for i in range(0, 700, 7):
+        d = np.sqrt(((x - q[i]) ** 2).sum(1))
+        assert got[i] == [f"p{j}" for j in sorted(range(900), key=lambda j: (round(d[j], 12), f"p{j}"))[:5]]
+
+
+def test_a_group_of_chunks_stays_within_what_a_task_may_hold():
+    for points, queries, chunks in ((1_000_000, 500_000, 24), (100, 500_000, 24), (5_000_000, 3_000_000, 46), (10_000, 40, 1)):
+        together, parts = knn.grid(points, points * chunks, queries, chunks, 65_536)
+        groups = -(-chunks // together)
+        assert together == 1 or together * -(-queries // chunks) <= 65_536
+        assert groups * parts >= min(chunks, knn.CHUNKS) and points * groups + queries * parts <= points * chunks + queries
+    assert knn.grid(1_000_000, 1_000_000, 500_000, 24, 65_536) == (1, 1)  # chunks that ask for different points
