@@ -31,7 +31,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from auditmill.llm.common import components, mix, python_ready, runs
 from auditmill.session import materialize
@@ -41,6 +41,7 @@ LEAST = 0.75  # share of the threshold that the sketches must show
 #: Of SIZE single bits 0.9 agree at the threshold; fewer than 3/4 do with a probability of about 4e-7.
 BITS_APART = SIZE // 4
 BLOCK = 256
+SLOTS = 1 << 26  # bits that tell which texts are asked for: 8 MB, however many there are
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -109,6 +110,27 @@ def sketch_table(docs: DataFrame, width: int) -> DataFrame:
     return python_ready(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary, bits1 long, bits2 long")
 
 
+def among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts(doc_id, text)`` that a join with ``ids(id)`` may need, so that it does not move all texts.
+
+    Every id sets one of ``SLOTS`` bits; rows whose bit another id has set come along, and the join drops them.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    at = ids.select(slot("id").alias("s")).select(F.floor(F.col("s") / 64).alias("word"), F.expr("shiftleft(1L, cast(s % 64 as int))").alias("bit"))
+    words = at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # SLOTS / 64 rows at most
+    bits = np.zeros(SLOTS // 64, np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            s = batch["slot"].to_numpy()
+            asked = (sent.value[s >> 6] >> (s & 63) & 1).astype(bool)
+            yield batch.select(["doc_id", "text"]).filter(pa.array(asked, pa.bool_()))
+
+    return python_ready(texts.select("doc_id", "text", slot("doc_id").alias("slot"))).mapInArrow(run, "doc_id long, text string")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold.
 
@@ -119,7 +141,8 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     dealt = pairs.join(blocks, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), "_n").alias("block"))
     wanted = dealt.select("a", "block", F.lit(0).alias("kind"), F.col("a").alias("id")).distinct().unionByName(
         dealt.select("a", "block", F.lit(1).alias("kind"), F.col("b").alias("id")))
-    rows = wanted.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    wanted = materialize(wanted, "wanted")
+    rows = wanted.join(among(texts, wanted).select(F.col("doc_id").alias("id"), "text"), "id")
     rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", "kind")
 
     def run(batches):
@@ -194,7 +217,8 @@ def cluster_links(members: DataFrame, texts: DataFrame, width: int, percent: int
     Exact on full sets.  Blocks of a cluster meet in pairs; a task returns the links that join
     components in it, and leaves out what these have joined already.
     """
-    cells = in_pairs_of_blocks(members, ["cluster"], "m", BLOCK // 2).join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    asked = among(texts, members.select(F.col("rep").alias("id")))
+    cells = in_pairs_of_blocks(members, ["cluster"], "m", BLOCK // 2).join(asked.select(F.col("doc_id").alias("rep"), "text"), "rep")
     cells = cells.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
 
     def run(batches):
@@ -237,12 +261,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = texts.filter(~standing).unionByName(texts.filter(standing).dropDuplicates(["doc_id"]))
 
     bands = F.posexplode(F.array(*[F.xxhash64(F.substring("sketch", 4 * BAND * i + 1, 4 * BAND), F.lit(i)) for i in range(SIZE // BAND)])).alias("band", "bucket")
-    banded = classes.select("rep", "n", "bits1", "bits2", bands)
-    heads = banded.groupBy("bucket", "band").agg(F.min(F.struct("rep", "n", "bits1", "bits2")).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    met = materialize(banded.join(heads, ["bucket", "band"]), "met")
+    bucket = Window.partitionBy("bucket", "band")
+    met = materialize(classes.select("rep", "n", bands).withColumns({
+        "head": F.min(F.struct("rep", "n")).over(bucket), "c": F.count(F.lit(1)).over(bucket)}).filter("c > 1"), "met")
     close = 100 * F.least("n", "head.n") >= percent * F.greatest("n", "head.n")
-    apart = F.bit_count(F.col("bits1").bitwiseXOR(F.col("head.bits1"))) + F.bit_count(F.col("bits2").bitwiseXOR(F.col("head.bits2")))
-    first = met.filter((F.col("rep") != F.col("head.rep")) & close & (apart <= BITS_APART)).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    meet = met.filter((F.col("rep") != F.col("head.rep")) & close).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    # bits are fetched for pairs, as they would be most of what the buckets move
+    bits = lambda c: classes.select(F.col("rep").alias(c), F.array("bits1", "bits2").alias(f"{c}_bits"))
+    apart = sum(F.bit_count(F.get("a_bits", i).bitwiseXOR(F.get("b_bits", i))) for i in range(2))
+    first = meet.join(bits("a"), "a").join(bits("b"), "b").filter(apart <= BITS_APART).select("a", "b")
     links = materialize(verify(first, named, width, percent), "links")
     found = components(links)
 

@@ -105,3 +105,11 @@ def test_rows_without_ids_are_linked(spark):
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     assert compare(queries.QUERIES["op7_minhash"](spark, sf), connect(sf), queries.ORACLES["op7_minhash"]) is None
+
+
+def test_only_texts_that_are_asked_for_move(spark):
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(2_000)] + [(None, "none"), (7, "again")], "doc_id long, text string")
+    ids = spark.createDataFrame([(7,), (7,), (1_999,), (5_000,)], "id long")
+    got = sorted(tuple(r) for r in minhash.among(texts, ids).collect())
+    assert {(7, "text 7"), (7, "again"), (1_999, "text 1999")} <= set(got) and len(got) <= 10
+    assert minhash.among(texts, ids.filter("id < 0")).count() == 0
