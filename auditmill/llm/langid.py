@@ -19,11 +19,11 @@ if nothing was labelled; equal scores go to the alphabetically first language; t
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from auditmill.llm.common import mix, python_ready
@@ -33,7 +33,8 @@ MARK = "▁"
 LONGEST = 16  # characters of a piece, mark included; longer pieces of the vocabulary are not used
 SMOOTHING = 0.5  # added to each expected count
 START = 1e-3  # what each piece costs in the start model
-KNOWN_WORDS, TOGETHER = 150_000, 20_000
+KNOWN = 800_000  # numbers kept of words that were met before, one per language
+TOGETHER = 200_000  # characters of words that are computed side by side
 TIMES = 2.0  # how much worse per character than the middle labelled text a text may be
 MARGIN = 10.0  # what is allowed beyond, in nats over the whole text: a few characters prove little
 PART = 64  # characters after which a very long word is cut
@@ -80,6 +81,8 @@ class Lattice:
 class Lexicon:
     """Pieces of the vocabulary by hash; ``other`` stands for any other single character."""
 
+    SHIFT = np.uint64(44)  # leaves 20 bits
+
     def __init__(self, pieces: list[str]):
         self.other, self.size = len(pieces), len(pieces) + 1
         self.key, self.number = np.zeros(1, np.uint64), np.zeros(1, np.int64)
@@ -91,14 +94,24 @@ class Lexicon:
             key[lattice.order[mine]] = lattice.hashes(length, length, n)[mine]
         self.number = np.argsort(key, kind="stable")
         self.key = key[self.number]
-        self.may = np.zeros(1 << 22, bool)  # most substrings are no pieces: one look tells
-        self.may[key >> np.uint64(42)] = True
+        self.place(self.key)
+
+    def place(self, key: np.ndarray) -> None:
+        """Where the keys that share their first bits begin; most substrings are no pieces: one look tells."""
+        first, start, size = np.unique(key >> self.SHIFT, return_index=True, return_counts=True)
+        self.first = np.full(1 << 20, -1, np.int32)
+        self.first[first] = start
+        self.deepest = int(size.max(initial=1))
 
     def find(self, h: np.ndarray, every: bool):
         """Positions in ``h`` that are pieces and their numbers; with ``every``, all positions."""
-        rows = np.flatnonzero(self.may[h >> np.uint64(42)])
-        at = np.minimum(np.searchsorted(self.key, h[rows]), len(self.key) - 1)
-        good = self.key[at] == h[rows]
+        at = self.first[h >> self.SHIFT]
+        rows = np.flatnonzero(at >= 0)
+        at, wanted = at[rows], h[rows]
+        good = self.key[at] == wanted
+        for _ in range(1, self.deepest):  # a few keys share their first bits
+            at = np.where(good, at, np.minimum(at + 1, len(self.key) - 1))
+            good = self.key[at] == wanted
         if not every:
             return rows[good], self.number[at[good]]
         found = np.full(len(h), self.other)
@@ -166,36 +179,87 @@ def log_likelihoods(words: list[str], pieces: Lexicon, table: np.ndarray) -> np.
     return out
 
 
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of ``texts``, which of them each word is, and the text it comes from.
+
+    Split at what Python takes as white space.
+    """
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    flat = lists.flatten()
+    some = pc.not_equal(flat, "")  # blanks at either end leave an empty word
+    coded = flat.filter(some).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), row[some.to_numpy(zero_copy_only=False)]
+
+
+def numbered(words: pa.Array, known: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The place of each of ``words`` in ``known`` followed by the new ones, and these."""
+    at = pc.index_in(words, value_set=known)
+    new = at.is_null().to_numpy(zero_copy_only=False)
+    place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    place[new] = len(known) + np.arange(new.sum())
+    return place, words.filter(pa.array(new))
+
+
+def parts_of(words: pa.Array):
+    """(parts, word of each part) in groups of bounded size: words with the mark; very long ones in parts, so that a text
+    without blanks stays bounded."""
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    upto, a = np.cumsum(size), 0
+    while a < len(words):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + TOGETHER)))
+        parts, owner = [MARK + w for w in words[a:b].to_pylist()], np.arange(a, b)
+        if size[a:b].max() > PART:
+            parts = [w[i:i + PART] for w in parts for i in range(0, len(w), PART)]
+            owner = np.repeat(owner, -(-size[a:b] // PART))
+        most = TOGETHER // PART if b == a + 1 else len(parts)  # a word longer than a group comes alone
+        for i in range(0, len(parts), most):
+            yield parts[i:i + most], owner[i:i + most]
+        a = b
+
+
 def words_of(text: str) -> list[str]:
-    """Words with the mark; very long ones in parts, so that a text without blanks stays bounded."""
-    words = [MARK + w for w in text.split()]
-    if max(map(len, words), default=0) <= PART:
-        return words
-    return [w[i:i + PART] for w in words for i in range(0, len(w), PART)]
+    """The words of a text in the order they come, with marks and in parts."""
+    return [part for parts, _ in parts_of(pa.array(text.split(), pa.string())) for part in parts]
+
+
+def strings(texts: pa.Array) -> pa.Array:
+    return texts if pa.types.is_string(texts.type) else texts.cast(pa.string())
 
 
 def piece_counts(labelled: DataFrame, path: str) -> DataFrame:
     """(lang, piece, count): expected piece counts per language over all rows of ``labelled(text, lang)``."""
     def run(batches):
-        pieces, totals, seen = lexicon(path), {}, {}
+        pieces, totals, langs = lexicon(path), {}, {}
+        words, seen = pa.array([], pa.string()), []  # seen: (word, language, times)
 
         def settle():
             """Turn the words counted so far into piece counts."""
-            langs = sorted(seen)
-            every = list(dict.fromkeys(w for c in seen.values() for w in c))
-            for a in range(0, len(every), TOGETHER):
-                words = every[a:a + TOGETHER]
-                weights = np.array([[seen[x].get(w, 0) for x in langs] for w in words], np.float64)
-                for x, counts in zip(langs, expected(words, weights, pieces).T, strict=True):
-                    totals[x] = totals.get(x, 0) + counts
-            seen.clear()
+            if not seen:
+                return
+            word, lang, times = (np.concatenate(x) for x in zip(*seen, strict=True))
+            order = np.argsort(word, kind="stable")
+            word, lang, times = word[order], lang[order], times[order]
+            for group, owner in parts_of(words):
+                a, b = np.searchsorted(word, [owner[0], owner[-1] + 1])
+                weights = np.zeros((owner[-1] + 1 - owner[0], len(langs)))
+                np.add.at(weights, (word[a:b] - owner[0], lang[a:b]), times[a:b])
+                for name, counts in zip(langs, expected(group, weights[owner - owner[0]], pieces).T, strict=True):
+                    totals[name] = totals.get(name, 0) + counts
 
         for batch in batches:
-            for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-                if text:
-                    seen.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, seen.values())) > KNOWN_WORDS:
+            names = batch["lang"].to_pylist()
+            number = np.array([langs.setdefault(x, len(langs)) for x in names], np.int64)
+            mine, code, row = distinct_words(strings(batch["text"]))
+            if not len(code):
+                continue
+            place, new = numbered(mine, words)
+            words = pa.concat_arrays([words, new])
+            pair, times = np.unique(code.astype(np.int64) * len(langs) + number[row], return_counts=True)
+            seen.append((place[pair // len(langs)], pair % len(langs), times))
+            if len(words) * len(langs) > KNOWN:
                 settle()
+                words, seen = words[:0], []
         settle()
         for lang, counts in totals.items():
             k = np.flatnonzero(counts)
@@ -235,32 +299,29 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, te
 
     def run(batches):
         pieces, probabilities = lexicon(path), sent.value.astype(np.float64)
-        number: dict[str, int] = {}
-        rows = np.zeros((0, len(langs)))
+        known, rows = pa.array([], pa.string()), np.zeros((0, len(langs)))
         for batch in batches:
-            if len(number) > KNOWN_WORDS:
-                number, rows = {}, rows[:0]
-            values = batch[text].to_pylist()
-            told = [bool(langs) and bool(v) and any(map(str.isalpha, v)) for v in values]
-            words = [words_of(v) if t else [] for v, t in zip(values, told, strict=True)]
-            new = list(dict.fromkeys(w for ws in words for w in ws if w not in number))
-            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-            rows = np.concatenate([rows, *(log_likelihoods(new[a:a + TOGETHER], pieces, probabilities) for a in range(0, len(new), TOGETHER))])
-            pred, score, likely, chars = [], [], [], []
-            for ws in words:
-                chars.append(sum(map(len, ws)) if fit else 0)
-                if not ws:
-                    pred.append(UNDETERMINED)
-                    score.append(0.0)
-                    likely.append(0.0)
-                    continue
-                total = rows[list(map(number.__getitem__, ws))].sum(axis=0)
-                best = int(total.argmax())
-                pred.append(langs[best])
-                score.append(float(1 / np.exp(total - total[best]).sum()))
-                likely.append(float(total[best]))
-            told = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(likely, pa.float64()), pa.array(chars, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*[batch[n] for n in schema.names[:-len(made)]], *told[:len(made)]], names=schema.names)
+            if rows.size > KNOWN:
+                known, rows = known[:0], rows[:0]
+            n = batch.num_rows
+            told = np.array([bool(langs) and bool(v) and any(map(str.isalpha, v)) for v in batch[text].to_pylist()], bool)
+            mine, code, row = distinct_words(pc.if_else(pa.array(told, pa.bool_()), strings(batch[text]), ""))
+            place, new = numbered(mine, known)
+            fresh = np.zeros((len(new), len(langs)))
+            for group, owner in parts_of(new):
+                np.add.at(fresh, owner, log_likelihoods(group, pieces, probabilities))
+            known, rows = pa.concat_arrays([known, new]), np.concatenate([rows, fresh])
+            at = place[code]
+            total = np.stack([np.bincount(row, rows[at, c], n) for c in range(len(langs))], axis=1) if langs else np.zeros((n, 1))
+            best = total.argmax(axis=1)
+            top = total[np.arange(n), best]
+            score = np.where(told, 1 / np.exp(total - top[:, None]).sum(axis=1), 0.0)
+            pred = [langs[i] if t else UNDETERMINED for i, t in zip(best.tolist(), told.tolist(), strict=True)]
+            made_here = [pa.array(pred, pa.string()), pa.array(score)]
+            if fit:
+                size = pc.utf8_length(mine).to_numpy(zero_copy_only=False) + 1
+                made_here += [pa.array(np.where(told, top, 0.0)), pa.array(np.bincount(row, size[code], n).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*[batch[x] for x in schema.names[:-len(made)]], *made_here], names=schema.names)
 
     return python_ready(rest).mapInArrow(run, schema)
 

@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -77,3 +78,23 @@ def test_odd_rows(spark):
     none = langid.train(df.filter("false"), PATH)
     assert {r.lang_pred for r in langid.identify(df, none, PATH).collect()} == {"und"}
     assert langid.identify(df.limit(0), model, PATH).count() == 0
+
+
+def test_words_are_computed_in_groups_of_bounded_size():
+    words = pa.array([chr(0x4E00 + i % 5000) * 60 + str(i) for i in range(8000)] + ["语" * 500_000, "end"])
+    back = {}
+    for parts, owner in langid.parts_of(words):
+        assert sum(map(len, parts)) <= langid.TOGETHER
+        for part, i in zip(parts, owner.tolist(), strict=True):
+            back[i] = back.get(i, "") + part
+    assert [back[i] for i in range(len(words))] == ["▁" + w for w in words.to_pylist()]
+
+
+def test_words_are_split_as_python_does():
+    blanks = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
+    texts = [None, "", blanks, *(f"a{b} b a{b}" for b in blanks), "\u200ba\u2060b \ufeffc"]
+    names, code, row = langid.distinct_words(pa.array(texts, pa.string()))
+    got = [[] for _ in texts]
+    for c, r in zip(code.tolist(), row.tolist(), strict=True):
+        got[r].append(names[c].as_py())
+    assert got == [(t or "").split() for t in texts]
