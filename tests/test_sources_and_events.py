@@ -127,6 +127,21 @@ def test_windows_and_baseline_of_a_single_window(spark):
     assert z == {"v": 0.0}
 
 
+def test_distinct_counts_move_the_events_once(spark):
+    buckets, names = ["b", None, "c", "b"], ["GetObject", "PutObject", None]
+    ev = events(spark, [("u" if i % 3 else "v", T(20, i % 2, i % 50), names[i % 5 % 3], buckets[i % 7 % 4], 0) for i in range(120)])
+    out = ft.user_window_counts(ev, 5)
+    seen = {}
+    for r in ev.collect():
+        key = r.user_name, r.eventTime.replace(minute=r.eventTime.minute // 5 * 5)
+        for one, c in zip(seen.setdefault(key, (set(), set(), set())), ("request_bucket_name", "sourceIPAddress", "eventName")):
+            one |= {r[c]} - {None}
+    got = {(r.user_name, r.window): (r.unique_resources, r.unique_ips, r.unique_event_types) for r in out.collect()}
+    assert got == {k: tuple(map(len, v)) for k, v in seen.items()}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan  # a row for each distinct count
+
+
 @pytest.mark.parametrize("counts,slopes", [([1, 2, 4], [None, None, 1.5]), ([5, 5, 5], [None, None, 0.0])])
 def test_slope(spark, counts, slopes):
     rows = [("u", T(1 + d, 3), "GetObject", "b", 0) for d, c in enumerate(counts) for _ in range(c)]
