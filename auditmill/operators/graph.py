@@ -133,19 +133,22 @@ def indicator_hits(rows: DataFrame, keys: list[str], features: list[str], patter
     The rule base is one array that every row reads; the counts are formed inside the row, so
     nothing is shuffled.  Patterns without a hit give no row.
     """
-    entry = F.struct("pattern_id", F.size("indicators").alias("total"), F.map_entries("indicators").alias("rules"))
-    base = patterns.agg(F.collect_list(entry).alias("base")).scalar()
-    values = F.create_map(*[x for f in features for x in (F.lit(f), F.col(f).cast("double"))])
     known = F.array(*[F.lit(f) for f in features])
+    # what a rule compares is settled once for the rule base: rows only look up a place and compare two numbers
+    placed = F.transform(F.map_entries("indicators"), lambda r: F.struct(
+        r["key"].alias("key"), F.array_position(known, r["key"]).cast("int").alias("at"), r["value"]["threshold"].alias("limit"),
+        F.coalesce(r["value"]["direction"] == "below", F.lit(False)).alias("below")))
+    entry = F.struct("pattern_id", F.size("indicators").alias("total"), F.filter(placed, lambda r: r["at"] > 0).alias("rules"))
+    base = patterns.agg(F.collect_list(entry).alias("base")).scalar()
+    values = F.array(*[F.col(f).cast("double") for f in features])
 
     def is_hit(rule):
-        value, limit = F.col("_values")[rule["key"]], rule["value"]["threshold"]
-        return F.coalesce(F.when(rule["value"]["direction"] == "below", value < limit).otherwise(value > limit), F.lit(False))
+        value, limit = F.get(F.col("_values"), rule["at"] - 1), rule["limit"]
+        return F.coalesce(F.when(rule["below"], value < limit).otherwise(value > limit), F.lit(False))
 
     def counted(p):
-        comparable = F.filter(p["rules"], lambda r: F.array_contains(known, r["key"]))
-        return F.struct(p["pattern_id"].alias("pattern_id"), p["total"].alias("total"), F.size(comparable).alias("comparable"),
-                        F.filter(comparable, is_hit).alias("found"))
+        return F.struct(p["pattern_id"].alias("pattern_id"), p["total"].alias("total"), F.size(p["rules"]).alias("comparable"),
+                        F.filter(p["rules"], is_hit).alias("found"))
 
     per_row = rows.select(*keys, values.alias("_values"), base.alias("_base")).select(
         *keys, F.explode(F.filter(F.transform("_base", counted), lambda p: F.size(p["found"]) > 0)).alias("p"))

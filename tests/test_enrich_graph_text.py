@@ -51,6 +51,17 @@ def test_two_denominators(spark):
     assert (hit.hits, hit.comparable, hit.total, hit.matched_features) == (1, 2, 3, ["a"])
 
 
+def test_rules_without_limit_or_direction(spark):
+    pats = spark.createDataFrame([("P", {"a": {"threshold": 1.0, "direction": None}, "b": {"threshold": None, "direction": "below"}}),
+                                  ("Q", {"a": {"threshold": 9.0, "direction": "below"}}), ("N", None)],
+                                 "pattern_id string, indicators map<string,struct<threshold:double,direction:string>>")
+    rows = spark.createDataFrame([(1, 2.0, 1.0), (2, None, 1.0)], "id int, a double, b double")
+    out = gr.indicator_hits(rows, ["id"], ["a", "b"], pats)
+    assert sorted(map(tuple, out.collect())) == [(1, "P", 2, 2, 1, ["a"]), (1, "Q", 1, 1, 1, ["a"])]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert " map(" not in plan and "map_keys" not in plan  # rows look values up by place
+
+
 def test_severity_scales(spark):
     rows = spark.createDataFrame([(0.86, 0, False), (0.2, 3, True), (0.2, 3, False), (0.71, 0, False), (0.6, 1, False), (0.5, 1, False)],
                                  "ensemble_score double, vote_count int, c boolean")
