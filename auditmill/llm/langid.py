@@ -34,7 +34,7 @@ LONGEST = 16  # characters of a piece, mark included; longer pieces of the vocab
 SMOOTHING = 0.5  # added to each expected count
 START = 1e-3  # what each piece costs in the start model
 KNOWN = 800_000  # numbers kept of words that were met before, one per language
-TOGETHER = 200_000  # characters of words that are computed side by side
+TOGETHER = 50_000  # characters of words that are computed side by side
 TIMES = 2.0  # how much worse per character than the middle labelled text a text may be
 MARGIN = 10.0  # what is allowed beyond, in nats over the whole text: a few characters prove little
 PART = 64  # characters after which a very long word is cut
@@ -330,11 +330,12 @@ def understood(told: DataFrame, lang: str = "lang") -> DataFrame:
     """The rows of ``told`` (of ``identify`` with ``fit``, written once) that read like their language.
 
     The middle text of a language is the median over all rows labelled with the language that was
-    predicted; where there is none, its rows stay.  ``und`` goes.
+    predicted; where there is none, its rows stay.  ``und`` goes.  The middles, a row for each language of the
+    model, are sent to the texts: dealt by language, all texts of one would meet in one task.
     """
     per_char = F.col("log_likelihood") / F.col("chars_read")
     middle = told.filter((F.col(lang) == F.col("lang_pred")) & (F.col("chars_read") > 0)).groupBy(
         F.col("lang_pred").alias("_lang")).agg(F.percentile_approx(per_char, 0.5, 10_000).alias("_middle"))
     least = TIMES * F.col("_middle") * F.col("chars_read") - MARGIN
-    rows = told.filter(F.col("lang_pred") != UNDETERMINED).join(middle, F.col("lang_pred") == F.col("_lang"), "left")
+    rows = told.filter(F.col("lang_pred") != UNDETERMINED).join(F.broadcast(middle), F.col("lang_pred") == F.col("_lang"), "left")
     return rows.filter(F.coalesce(F.col("log_likelihood") >= least, F.lit(True))).drop("_lang", "_middle")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from auditmill.llm import langid, queries
 
@@ -98,3 +99,17 @@ def test_words_are_split_as_python_does():
     for c, r in zip(code.tolist(), row.tolist(), strict=True):
         got[r].append(names[c].as_py())
     assert got == [(t or "").split() for t in texts]
+
+
+def test_texts_of_one_language_are_not_dealt_to_one_task(spark):
+    """Most texts share a few languages: joined with the middles by language, they would be sorted in as many tasks."""
+    rows = [(i, "aa", "aa", -100.0 if i % 10 else -900.0, 50) for i in range(80)] + [(80, None, "bb", -9000.0, 50), (81, None, langid.UNDETERMINED, 0.0, 0)]
+    told = spark.createDataFrame(rows, "doc_id long, lang string, lang_pred string, log_likelihood double, chars_read long").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = langid.understood(told).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.doc_id for r in kept} == {i for i in range(81) if i % 10} | {80}
+    assert len({r.task for r in kept if r.lang_pred == "aa"}) > 1
