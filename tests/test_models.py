@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from auditmill.functions.ranks import auc, exact_percentiles
 from auditmill.operators import models as md, scoring as sc
 from auditmill.operators.knn import MetricIndex, knn_join
+from tools.check import compare
 
 
 def frame(spark, x, **cols):
@@ -187,3 +189,27 @@ def test_scored_pipeline_fuses_the_three_models(spark):
         total = sum(w * r[f"{m}_norm"] for m, w in vocab.ENSEMBLE_WEIGHTS.items())
         assert abs(total - r.ensemble_score) < 1e-5
         assert r.vote_count == r.if_pred + r.lof_pred + r.ae_pred and r.majority_vote == int(r.vote_count >= 2)
+
+
+def test_lof_k_grid_takes_the_whole_list_of_k(spark):
+    rng = np.random.default_rng(4)
+    train = frame(spark, rng.normal(size=(26, 2)))
+    found = {r.k: r["count"] for r in md.lof_k_grid(train, train).groupBy("k").count().collect()}
+    assert found == {k: 26 for k in (5, 10, 15, 20)}  # 5 and 15 are the root and ten more; 30 and 50 are too many
+    assert md.lof_k_grid(train.limit(1), train).count() == 0
+
+
+def test_the_registered_lof_k_grid_has_every_candidate(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist(), i % 8) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = entry.queries()["lof_k_grid"](spark, str(tmp_path))
+    assert {r.k: r["count"] for r in out.groupBy("k").count().collect()} == {k: 80 for k in md.lof_candidates(70)}
+    assert compare(out, connect_one(tmp_path), entry.oracle_sql()["lof_k_grid"]) is None
+
+
+def connect_one(path):
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/embeddings.parquet/*.parquet')")
+    return con
