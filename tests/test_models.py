@@ -1,13 +1,17 @@
 """Distributed ranks, neighbours, outlier factor, forest and metrics against brute force."""
 
+import os
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from auditmill.functions.ranks import auc, exact_percentiles
-from auditmill.operators import models as md, scoring as sc
+from auditmill.operators import knn, models as md, scoring as sc
 from auditmill.operators.knn import MetricIndex, knn_join
+from auditmill.session import own_dir
 from tools.check import compare
 
 
@@ -191,6 +195,50 @@ def test_scored_pipeline_fuses_the_three_models(spark):
         assert r.vote_count == r.if_pred + r.lof_pred + r.ae_pred and r.majority_vote == int(r.vote_count >= 2)
 
 
+def brute_lof(train, test, k):
+    """Novelty LOF by all pairs; ties go to the row that comes first."""
+    def near(x, own):
+        d = np.sqrt(((x[:, None] - train[None]) ** 2).sum(2))
+        if own:
+            d[np.arange(len(train)), np.arange(len(train))] = np.inf
+        at = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :k]
+        return at, np.take_along_axis(d, at, axis=1)
+
+    (i, d), (j, e) = near(train, True), near(test, False)
+    reach = d[:, -1]
+    density = [1 / (np.maximum(dist, reach[at]).mean(1) + 1e-10) for at, dist in ((i, d), (j, e))]
+    return density[0][j].mean(1) / density[1]
+
+
+@pytest.mark.parametrize("together", [10, 1 << 22])
+def test_lof_of_copies_in_blocks_and_waves(spark, monkeypatch, together):
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(260, 3)) * 2)  # many ties and copies
+    x[40:70] = x[3]                              # more copies than k
+    test = np.vstack([x, rng.normal(size=(40, 3)) * 4])
+    monkeypatch.setattr(md, "NUMBERS_TOGETHER", 3 * together)
+    monkeypatch.setattr(knn, "MOVED_TOGETHER", 50 * together)
+    monkeypatch.setattr(knn, "LEAST_TOGETHER", 20)
+    waves = []
+    made = MetricIndex._waves
+    monkeypatch.setattr(MetricIndex, "_waves", lambda *a: waves.append(made(*a)) or waves[-1])
+    monkeypatch.setattr(MetricIndex.fit.__func__, "__defaults__", (*MetricIndex.fit.__func__.__defaults__[:-2], 20, 20))
+    got = {}
+    for r in md.lof_k_grid(frame(spark, x), frame(spark, test), [4, 7, 9]).collect():
+        got[r.k, r.id] = r.score
+    assert len(got) == 3 * 300 and (len(waves[-1]) > 1) == (together == 10)
+    for k in (4, 7, 9):
+        assert [got[k, i] for i in range(300)] == pytest.approx(brute_lof(x, test, k).tolist(), rel=1e-9)
+
+
+def test_lof_where_ids_repeat_is_that_of_their_rows_together(spark):
+    x = np.array([[i * 1.5, j] for i in range(9) for j in range(9)], dtype=float)
+    df, twice = frame(spark, x), frame(spark, np.vstack([x, x]))
+    ids = F.col("id") % 81
+    got = {r.id: r.score for r in md.lof_score(twice.withColumn("id", ids), df, 6).collect()}
+    assert len(got) == 81 and all(v > 0 for v in got.values())
+
+
 def test_lof_k_grid_takes_the_whole_list_of_k(spark):
     rng = np.random.default_rng(4)
     train = frame(spark, rng.normal(size=(26, 2)))
@@ -213,3 +261,27 @@ def connect_one(path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/embeddings.parquet/*.parquet')")
     return con
+
+
+def test_a_step_leaves_neither_shuffle_files_nor_tables(spark):
+    rng = np.random.default_rng(7)
+    df = frame(spark, rng.normal(size=(400, 3)))
+    md.lof_score(df, df, 5).count()  # compiled, and the session's folders are made
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(f.startswith("shuffle_") for d in blocks.localDirsString() for _, _, files in os.walk(d) for f in files)
+    tables = lambda: set(os.listdir(own_dir(spark).removeprefix("file:")))
+    files, before = held(), tables()
+    scores = md.lof_score(df, df, 5)
+    left = sorted(t.rsplit("-", 1)[0] for t in tables() - before)
+    assert left == ["factors"] and scores.count() == 400
+    until = time.time() + 20
+    while held() > files + 40 and time.time() < until:
+        time.sleep(0.5)
+    assert held() <= files + 40
+
+
+def test_a_tree_grows_where_a_cut_is_rounded_up(spark):
+    one = float(np.nextafter(1.0, 2.0))  # no number lies between the two values
+    df = frame(spark, [[1.0], [one]] * 100)
+    trees = md.isolation_forest_fit(df, ["id"], 20).filter("left >= 0").count()
+    assert trees == 20
