@@ -794,10 +794,12 @@ STREAM_COUNTS = ["total_events", *ft.FLAG_COUNTS, *st.DISTINCT_COUNTS]
 SELECT user_name, {W}, {', '.join(STREAM_COUNTS)}, round(write_ratio, 6) AS write_ratio, round(bytes_out_total, 4) AS bytes_out_total FROM q_wf
 WHERE w + INTERVAL {adapter.FINE_MINUTES} MINUTE <= (SELECT date_trunc('milliseconds', max(eventTime)) - INTERVAL 10 MINUTE FROM q_ev)""")
 def _(spark, sf):
-    out = scratch_path(spark, "stream-windows")
-    counts = st.stream_window_counts(_events_stream(spark, sf, _event_files(spark, sf)), adapter.FINE_MINUTES, "10 minutes")
-    st.run_to_table(counts, out, scratch_path(spark, "checkpoint"))
-    return spark.read.schema(counts.schema).parquet(out).select(
+    events = adapter.events(spark, sf)
+    out, source = scratch_path(spark, "stream-windows"), scratch_path(spark, "event-files")
+    slices = st.time_slices(events, scratch_path(spark, "event-slices"))
+    counted = lambda stream: st.stream_window_counts(stream, adapter.FINE_MINUTES, "10 minutes")
+    st.replay(slices, source, counted, out, scratch_path(spark, "checkpoint"))
+    return spark.read.schema(counted(_events_stream(spark, sf, source)).schema).parquet(out).select(
         "user_name", "window", *STREAM_COUNTS, F.round("write_ratio", 6).alias("write_ratio"),
         F.round("bytes_out_total", 4).alias("bytes_out_total"))
 

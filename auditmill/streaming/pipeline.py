@@ -7,9 +7,10 @@ Each function starts a query that processes what is available and stops
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from auditmill import schema
@@ -18,7 +19,7 @@ from auditmill.operators.features import FLAG_COUNTS, event_flags, with_ratios
 from auditmill.operators.models import score_new_rows
 from auditmill.operators.normalize import flatten_events
 from auditmill.operators.scoring import KEYS
-from auditmill.session import ship_package
+from auditmill.session import ship_package, write_table
 
 
 def read_audit_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -29,10 +30,59 @@ def read_audit_stream(spark: SparkSession, path: str, files_per_trigger: int = 1
     return flatten_events(docs.select(F.explode("Records").alias("r")).select("r.*"))
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = {"stateStore.providerClass": ROCKS, "stateStore.rocksdb.boundedMemoryUsage": "true", "stateStore.rocksdb.maxMemoryUsageMB": "300", "minBatchesToRetain": "2"}
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """Queries that start inside keep their state in files, with a bounded part of each executor's memory, and two versions of it."""
+    names = {f"spark.sql.streaming.{k}": v for k, v in STATE.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Write a stream to a parquet table, exactly once per checkpoint."""
-    (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-     .outputMode(mode).trigger(availableNow=True).start().awaitTermination())
+    with state_on_disk(stream.sparkSession):
+        query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+                 .outputMode(mode).trigger(availableNow=True).start())
+        query.awaitTermination()
+
+
+EVENTS_TOGETHER = 1 << 20
+
+
+def time_slices(events: DataFrame, path: str, time: str = "eventTime", files: int = 8) -> list[DataFrame]:
+    """Store a table of events below ``path`` in slices that follow each other in time, of about ``EVENTS_TOGETHER`` rows each.
+
+    A slice has time-ordered files.  Rows without a time are in the first one.
+    """
+    micros = F.unix_micros(F.col(time))
+    n = events.count()
+    slices = max(1, -(-n // EVENTS_TOGETHER))
+    cuts = sorted(set(events.agg(F.percentile_approx(micros, [i / slices for i in range(1, slices)], 10_000)).first()[0] or [])) if slices > 1 else []
+    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: F.coalesce(micros > c, F.lit(False))))
+    dealt = events.repartitionByRange(files * (len(cuts) + 1), time).sortWithinPartitions(time)
+    write_table(dealt.withColumn("slice", number), path, by="slice")
+    stored = events.sparkSession.read.schema(T.StructType([*events.schema.fields, T.StructField("slice", T.IntegerType())])).parquet(path)
+    return [stored.filter(F.col("slice") == i).drop("slice") for i in range(len(cuts) + 1)]
+
+
+def replay(slices: list[DataFrame], source: str, counted, path: str, checkpoint: str) -> None:
+    """Let ``counted(stream)`` read ``slices`` one after the other, as if each arrived when the one before was done.
+
+    A run takes what one slice brings, so its state is that of the windows which are open then.
+    """
+    for rows in slices:
+        rows.write.mode("append").parquet(source)
+        run_to_table(counted(rows.sparkSession.readStream.schema(rows.schema).parquet(source)), path, checkpoint)
 
 
 DISTINCT_COUNTS = {"unique_resources": "request_bucket_name", "unique_ips": "sourceIPAddress", "unique_event_types": "eventName"}
@@ -119,7 +169,6 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame | None:
 # --- baselines that are kept as state ------------------------------------------------
 
 SEEN = "n long, mean double, m2 double"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class UserBaseline(StatefulProcessor):

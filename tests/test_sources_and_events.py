@@ -216,3 +216,42 @@ def test_skipped_files_are_named(spark, tmp_path):
     assert sorted(r.file.rsplit("/", 1)[1] for r in got) == ["cut.json.gz", "junk.json.gz", "none.json.gz", "text.json.gz"]
     assert {r.file.rsplit("/", 1)[1]: r.bytes for r in got}["junk.json.gz"] == 14
     assert src.read_audit_json(spark, str(tmp_path)).count() == 2500
+
+
+def test_a_stream_in_slices_of_time_keeps_the_state_of_open_windows_only(spark, tmp_path, monkeypatch):
+    from datetime import datetime, timedelta
+
+    from auditmill.operators import features as ft
+    from auditmill.streaming import pipeline as st
+
+    start = datetime(2024, 1, 1)
+    rows = [(f"e{i}", f"u{i % 7}", start + timedelta(minutes=i * 11), "GetObject" if i % 5 else "PutObject", "s3", True, False, f"b{i % 3}", "ip", 1.0) for i in range(3_000)]
+    rows.append(("none", "u0", None, "GetObject", "s3", True, False, "b", "ip", 1.0))
+    ddl = ("eventID string, user_name string, eventTime timestamp, eventName string, service string, is_read_only boolean, is_error boolean, "
+           "request_bucket_name string, sourceIPAddress string, bytes_transferred_out double")
+    df = spark.createDataFrame(rows, ddl)
+    monkeypatch.setattr(st, "EVENTS_TOGETHER", 500)
+    slices = st.time_slices(df, str(tmp_path / "slices"))
+    assert len(slices) == 7 and sum(s.count() for s in slices) == 3_001
+    spans = [s.agg(F.min("eventTime"), F.max("eventTime")).first() for s in slices]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    held = []
+    made = st.run_to_table
+
+    def run(stream, path, checkpoint):
+        made(stream, path, checkpoint)
+        told = spark.read.format("statestore").load(checkpoint)
+        held.append(told.count())
+
+    monkeypatch.setattr(st, "run_to_table", run)
+    counted = lambda s: st.stream_window_counts(s, 720)
+    st.replay(slices, str(tmp_path / "in"), counted, str(tmp_path / "out"), str(tmp_path / "cp"))
+    pick = ["user_name", "window", "total_events", "s3_get_events", "unique_resources", "unique_ips"]
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*pick).collect()}
+    whole = ft.user_window_counts(df.withColumn("is_business_hours", F.lit(True)), 720)
+    last = start + timedelta(minutes=2_999 * 11 - 10)
+    closed = whole.filter(F.col("window") + F.expr("interval 12 hours") <= F.lit(last))
+    assert got == {tuple(r) for r in closed.select(*pick).collect()}
+    assert len(held) == 7 and max(held) < 1_000  # of the 3,000 events, each with four values
+    empty = st.time_slices(df.limit(0), str(tmp_path / "none"))
+    assert len(empty) == 1 and empty[0].count() == 0
