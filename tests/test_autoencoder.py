@@ -93,3 +93,12 @@ def test_odd_rows(spark):
     empty = ae.fit(df.limit(0), 2, (2, 1), rates=(0.01,), epochs=2)
     assert empty[0].losses == [] and np.array_equal(empty[0].flat, ae.seeded(empty[0].sizes, 42))
     assert ae.score(df.limit(0), networks[0]).count() == 0
+
+
+def test_rows_are_scored_once_for_thresholds_and_results(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in x], i % 9 == 0) for i, x in enumerate(rng.normal(size=(60, 4)))]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, is_attack boolean")
+    nets = [ae.Network(r, ae.sizes_of(4), ae.seeded(ae.sizes_of(4), 1)) for r in (0.1, 0.2)]
+    _, scored = ae.selection(df, nets, [90])
+    assert scored.count() == 120 and "MapInArrow" not in scored._jdf.queryExecution().toString()

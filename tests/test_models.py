@@ -285,3 +285,26 @@ def test_a_tree_grows_where_a_cut_is_rounded_up(spark):
     df = frame(spark, [[1.0], [one]] * 100)
     trees = md.isolation_forest_fit(df, ["id"], 20).filter("left >= 0").count()
     assert trees == 20
+
+
+def test_cuts_below_a_value_are_found_by_halving(spark):
+    from auditmill.functions.ranks import cuts_below
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 100, 255):
+        cuts = sorted(float(v) for v in rng.integers(0, 60, n))
+        values = [float(v) / 2 for v in range(-4, 130)] + [float("nan")]
+        df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("cuts", F.lit(cuts).cast("array<double>") if n else F.array().cast("array<double>"))
+        column = cuts_below(F.col("cuts"), F.col("v"), 256)
+        assert "filter(" not in str(column)  # 8 steps for a row, not one for each cut
+        for r in df.select("v", column.alias("n")).collect():
+            assert r.n == (n if np.isnan(r.v) else sum(c < r.v for c in cuts))
+
+
+def test_the_scaler_of_many_columns_is_one_row(spark):
+    rng = np.random.default_rng(9)
+    names = [f"c{i}" for i in range(19)]
+    x = rng.normal(size=(50, 19))
+    x[:, 3] = 7.0
+    row = md.scaler(spark.createDataFrame([[float(v) for v in r] for r in x], names), names).collect()
+    assert len(row) == 1 and list(row[0].mean) == pytest.approx(x.mean(0).tolist())
+    assert list(row[0]["std"]) == pytest.approx(np.where(np.arange(19) == 3, 1.0, x.std(0)).tolist())
