@@ -77,3 +77,9 @@ def test_a_group_of_chunks_stays_within_what_a_task_may_hold():
         assert together == 1 or together * -(-queries // chunks) <= 65_536
         assert groups * parts >= min(chunks, knn.CHUNKS) and points * groups + queries * parts <= points * chunks + queries
     assert knn.grid(1_000_000, 1_000_000, 500_000, 24, 65_536) == (1, 1)  # chunks that ask for different points
+
+
+def test_a_wave_of_few_chunks_still_makes_as_many_tasks():
+    for chunks in (1, 3, 24):
+        together, parts = knn.grid(1_000_000, 1_000_000 * chunks, 44_000 * chunks, chunks, 50_000, 24)
+        assert -(-chunks // together) * parts >= 24
